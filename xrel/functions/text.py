@@ -19,7 +19,7 @@ def non_empty(text: Column) -> Column:
 
 
 def nbsp_to_space(text: Column) -> Column:
-    return F.translate(text, " ", " ")
+    return F.translate(text, "\u00a0", " ")
 
 
 def camel_to_snake(text: Column) -> Column:

@@ -1 +1,4 @@
+from xrel.plans import edge_queries, entity_queries  # noqa: F401
+from xrel.plans.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]
