@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from xrel.functions import keys
 from xrel.operators.relations import FOREIGN_KEYS, REFERENCES, TYPE_GRAPH, ForeignKey, Reference
-from xrel.sources.entities import EntitySet, external_key
+from xrel.sources.entities import EntitySet
 
 EDGE_COLUMNS = ("src_type", "src_id", "src_key", "field", "dst_type", "dst_id", "dst_key")
 
 # (source type, field) -> rows of src_id, src_key, dst_id, dst_key.
 EdgeReader = Callable[[str, str], DataFrame]
 
-_COMPOSITE = ("staff", "ranking", "keyMoment")
-
 
 def _key_seen_from_parent(fk: ForeignKey) -> Column:
     """The child's key as its parent lists it; composite keys name that parent."""
@@ -28,8 +26,7 @@ def _key_seen_from_parent(fk: ForeignKey) -> Column:
         return keys.ranking_key(fk.prefix)
     if fk.child == "keyMoment":
         return keys.key_moment_key(strict=False)
-    named = (F.col("ext_id") != "") & (F.col("ext_scope") != "")
-    return F.when(named, external_key(fk.child))
+    return F.expr("if(ext_id != '' and ext_scope != '', external_key, null)")
 
 
 def _forward_holds(fk: ForeignKey) -> Column:
@@ -40,75 +37,65 @@ def _forward_holds(fk: ForeignKey) -> Column:
     return F.coalesce(keys.ranking_kind().isin(kinds), F.lit(False))
 
 
-def _parents(entities: EntitySet, parent: str) -> DataFrame:
-    return entities.rows(parent).select(
-        F.col("id").alias("parent_id"),
-        F.col("external_key").alias("parent_key"),
-        F.col("ext_id").alias("_ext_id"),
-        F.col("ext_scope").alias("_ext_scope"),
+def _join_parents(children: DataFrame, entities: EntitySet, parent: str, *columns: str) -> DataFrame:
+    """Children with `_ref_id`, `_ref_scope` joined to the parents they name."""
+    parents = entities.rows(parent).selectExpr(
+        "id as parent_id", "external_key as parent_key", "ext_id as _ext_id", "ext_scope as _ext_scope"
     )
-
-
-def _join_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
-    on = (F.col("_ref_id") == F.col("_ext_id")) & (F.col("_ref_scope") == F.col("_ext_scope"))
-    return children.join(parents, on).drop("_ref_id", "_ref_scope", "_ext_id", "_ext_scope")
+    on = F.expr("_ref_id = _ext_id and _ref_scope = _ext_scope")
+    return children.join(parents, on).selectExpr(*columns, "parent_id", "parent_key")
 
 
 def fk_links(entities: EntitySet, fk: ForeignKey) -> DataFrame:
     """Child and parent rows joined on the natural key pair."""
     children = entities.rows(fk.child).select(
-        F.col("id").alias("child_id"),
-        F.col("external_key").alias("child_key"),
+        F.expr("id as child_id"),
+        F.expr("external_key as child_key"),
         _key_seen_from_parent(fk).alias("child_key_seen"),
-        _forward_holds(fk).alias("forward_holds"),
-        F.col(f"{fk.prefix}_id").alias("_ref_id"),
-        F.col(f"{fk.prefix}_scope").alias("_ref_scope"),
+        _forward_holds(fk).alias("in_kind"),
+        F.expr(f"{fk.prefix}_id as _ref_id"),
+        F.expr(f"{fk.prefix}_scope as _ref_scope"),
     )
-    linked = _join_parents(children, _parents(entities, fk.parent))
-    return (
-        linked.withColumn("forward_holds", F.col("forward_holds") & F.col("child_key").isNotNull())
-        .withColumn("inverse_holds", F.col("child_key_seen").isNotNull())
+    return _join_parents(
+        children, entities, fk.parent, "child_id", "child_key", "child_key_seen",
+        "in_kind and child_key is not null as forward_holds", "child_key_seen is not null as inverse_holds",
     )
 
 
 def reference_links(entities: EntitySet, ref: Reference, forward: bool = True, inverse: bool = True) -> DataFrame:
     """Distinct references of each owner joined to the rows they name."""
-    ref_id, ref_scope = F.col(f"{ref.prefix}_id"), F.col(f"{ref.prefix}_scope")
-    rows = entities.ref_rows(ref.child, ref.array).where(ref_id.isNotNull() & ref_scope.isNotNull())
-    alone = F.lit(True)
+    named = f"{ref.prefix}_id is not null and {ref.prefix}_scope is not null"
+    alone = "true"
     if ref.prefix == "sp":
-        rows = rows.where((ref_id != "") & (ref_scope != ""))
+        named += " and sp_id != '' and sp_scope != ''"
     elif ref.alone:
-        alone = ~keys.has_pair("sp")
+        alone = "not (sp_id is not null and sp_scope is not null)"
         if ref.inverse_alone or not inverse:
-            rows, alone = rows.where(alone), F.lit(True)
-    distinct = rows.groupBy("owner_id", "owner_key", ref_id.alias("_ref_id"), ref_scope.alias("_ref_scope")).agg(
-        F.max(alone).alias("forward_holds")
+            named, alone = f"{named} and {alone}", "true"
+    distinct = (
+        entities.ref_rows(ref.child, ref.array)
+        .where(named)
+        .selectExpr(
+            "owner_id", "owner_key", f"{ref.prefix}_id as _ref_id", f"{ref.prefix}_scope as _ref_scope", f"{alone} as alone"
+        )
+        .groupBy("owner_id", "owner_key", "_ref_id", "_ref_scope")
+        .agg(F.expr("max(alone) as alone"))
     )
-    linked = _join_parents(distinct, _parents(entities, ref.parent))
-    key = F.col("owner_key")
-    return linked.select(
-        F.col("owner_id").alias("child_id"),
-        key.alias("child_key"),
-        key.alias("child_key_seen"),
-        (F.col("forward_holds") & key.isNotNull()).alias("forward_holds"),
-        key.isNotNull().alias("inverse_holds"),
-        "parent_id",
-        "parent_key",
+    return _join_parents(
+        distinct, entities, ref.parent, "owner_id as child_id", "owner_key as child_key", "owner_key as child_key_seen",
+        "alone and owner_key is not null as forward_holds", "owner_key is not null as inverse_holds",
     )
 
 
 def _forward(links: DataFrame) -> DataFrame:
-    return links.where("forward_holds").select(
-        F.col("child_id").alias("src_id"), F.col("child_key").alias("src_key"),
-        F.col("parent_id").alias("dst_id"), F.col("parent_key").alias("dst_key"),
+    return links.where("forward_holds").selectExpr(
+        "child_id as src_id", "child_key as src_key", "parent_id as dst_id", "parent_key as dst_key"
     )
 
 
 def _inverse(links: DataFrame) -> DataFrame:
-    return links.where("inverse_holds").select(
-        F.col("parent_id").alias("src_id"), F.col("parent_key").alias("src_key"),
-        F.col("child_id").alias("dst_id"), F.col("child_key_seen").alias("dst_key"),
+    return links.where("inverse_holds").selectExpr(
+        "parent_id as src_id", "parent_key as src_key", "child_id as dst_id", "child_key_seen as dst_key"
     )
 
 
@@ -141,9 +128,9 @@ def edges_from_type(entities: EntitySet, src_type: str) -> DataFrame:
 
 
 def labelled(edges: DataFrame, src_type: str, field: str) -> DataFrame:
-    return edges.select(
-        F.lit(src_type).alias("src_type"), "src_id", "src_key", F.lit(field).alias("field"),
-        F.lit(TYPE_GRAPH[src_type][field]).alias("dst_type"), "dst_id", "dst_key",
+    return edges.selectExpr(
+        f"'{src_type}' as src_type", "src_id", "src_key", f"'{field}' as field",
+        f"'{TYPE_GRAPH[src_type][field]}' as dst_type", "dst_id", "dst_key",
     )
 
 
@@ -151,12 +138,10 @@ def _both_ways(links: DataFrame, child: str, forward: str | None, parent: str, i
     """Each joined row gives its edge in both directions, so a relation is joined once."""
 
     def side(holds, src_type, src, src_key, field, dst_type, dst, dst_key):
-        edge = F.struct(
-            F.lit(src_type).alias("src_type"), F.col(src).alias("src_id"), F.col(src_key).alias("src_key"),
-            F.lit(field).alias("field"), F.lit(dst_type).alias("dst_type"),
-            F.col(dst).alias("dst_id"), F.col(dst_key).alias("dst_key"),
+        return (
+            f"if({holds}, named_struct('src_type', '{src_type}', 'src_id', {src}, 'src_key', {src_key}, 'field', '{field}', "
+            f"'dst_type', '{dst_type}', 'dst_id', {dst}, 'dst_key', {dst_key}), null)"
         )
-        return F.when(F.col(holds), edge)
 
     sides = []
     if forward:
@@ -165,7 +150,7 @@ def _both_ways(links: DataFrame, child: str, forward: str | None, parent: str, i
         sides.append(
             side("inverse_holds", parent, "parent_id", "parent_key", inverse, child, "child_id", "child_key_seen")
         )
-    return links.select(F.explode(F.array_compact(F.array(*sides))).alias("e")).select("e.*")
+    return links.selectExpr(f"inline(array_compact(array({', '.join(sides)})))")
 
 
 def all_edges(entities: EntitySet) -> DataFrame:
@@ -193,6 +178,6 @@ def reader(entities: EntitySet) -> EdgeReader:
 
 def stored_reader(edges: DataFrame) -> EdgeReader:
     """Edges read from a table partitioned by src_type and field, so a hop reads one partition."""
-    return lambda src_type, field: edges.where(
-        (F.col("src_type") == src_type) & (F.col("field") == field)
-    ).select("src_id", "src_key", "dst_id", "dst_key")
+    return lambda src_type, field: edges.where(f"src_type = '{src_type}' and field = '{field}'").select(
+        "src_id", "src_key", "dst_id", "dst_key"
+    )

@@ -49,16 +49,21 @@ def inverse_field(src_type: str, dst_type: str) -> str | None:
     return next((f for f, to in TYPE_GRAPH[dst_type].items() if to == src_type), None)
 
 
+def _values(spark: SparkSession, rows: list[tuple[str, ...]], columns: str) -> DataFrame:
+    listed = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
+    return spark.sql(f"select * from values {listed} as t({columns})")
+
+
 def type_edges(spark: SparkSession) -> DataFrame:
     """The type graph as rows of (from_type, field, to_type); its size is fixed."""
     rows = [(s, f, t) for s, fields in TYPE_GRAPH.items() for f, t in fields.items()]
-    return spark.createDataFrame(rows, "from_type string, field string, to_type string")
+    return _values(spark, rows, "from_type, field, to_type")
 
 
 def type_aliases(spark: SparkSession) -> DataFrame:
     """Every accepted spelling of a type, in lower case."""
     rows = [(n.lower(), t) for t, a in TYPE_ALIAS.items() for n in (t, a)]
-    return spark.createDataFrame(rows, "alias string, type string")
+    return _values(spark, rows, "alias, type")
 
 
 @dataclass(frozen=True)

@@ -63,10 +63,13 @@ class EntitySet:
 
     def __post_init__(self):
         self.tables, self.refs = OnDemand(self.tables), OnDemand(self.refs)
+        self._keyed: dict[str, DataFrame] = {}
 
     def rows(self, entity_type: str) -> DataFrame:
         """Entity rows with their external key."""
-        return self.tables[entity_type].withColumn("external_key", external_key(entity_type))
+        if entity_type not in self._keyed:
+            self._keyed[entity_type] = self.tables[entity_type].withColumn("external_key", external_key(entity_type))
+        return self._keyed[entity_type]
 
     def ref_rows(self, entity_type: str, array: str) -> DataFrame:
         given = self.refs.get((entity_type, array))
