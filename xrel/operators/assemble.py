@@ -175,7 +175,7 @@ def overflow_pages(rest: DataFrame, page_size: int, bucket_rows: int = 1_000_000
 
 def views_normalise(requests: DataFrame, text: str = "views") -> DataFrame:
     """One row per view of a comma-separated list: trimmed, no blanks, the first of equal ones, in order."""
-    views = F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda v: v != ""))
+    views = F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")), lambda v: v != ""))
     others = [c for c in requests.columns if c != text]
     return requests.select(*others, F.posexplode(views).alias("view_no", "view"))
 
