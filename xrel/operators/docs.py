@@ -75,10 +75,21 @@ def headers(entities: EntitySet, doc_type: str) -> DataFrame:
     return header
 
 
-def build_docs(entities: EntitySet, doc_type: str, part_rows: int = PART_ROWS, edges: DataFrame | None = None) -> DataFrame:
-    """Documents of one type; entities without relations keep empty lists."""
+def build_docs(
+    entities: EntitySet,
+    doc_type: str,
+    part_rows: int = PART_ROWS,
+    edges: DataFrame | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """Documents of one type; entities without relations keep empty lists.
+
+    `only` (column id) limits the work to those entities: the semi joins sink to the tables below.
+    """
     fields = TYPE_GRAPH[doc_type]
     edges = edges_from_type(entities, doc_type) if edges is None else edges
+    if only is not None:
+        edges = edges.join(only.select(F.col("id").alias("src_id")), "src_id", "left_semi")
     gathered = (
         with_part(edges.select("src_id", "field", "dst_id", "dst_key"), part_rows)
         .groupBy("src_id", "part_no")
@@ -91,6 +102,8 @@ def build_docs(entities: EntitySet, doc_type: str, part_rows: int = PART_ROWS, e
         lists += [_ids(pairs).alias(f), _key_map(pairs).alias(key_map_name(dst_type))]
     gathered = gathered.select("src_id", "part_no", *lists)
     header = headers(entities, doc_type)
+    if only is not None:
+        header = header.join(only.select("id"), "id", "left_semi")
     joined = header.join(gathered, header["id"] == gathered["src_id"], "left").drop("src_id")
     no_ids = F.array().cast("array<string>")
     no_keys = F.create_map().cast("map<string,string>")

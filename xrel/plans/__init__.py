@@ -1,4 +1,4 @@
-from xrel.plans import assemble_queries, edge_queries, entity_queries, route_queries  # noqa: F401
+from xrel.plans import assemble_queries, edge_queries, entity_queries, maintain_queries, route_queries  # noqa: F401
 from xrel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -81,8 +81,9 @@ class EntitySet:
             .select("owner_id", "owner_key", *(F.col(f"r.{c}").alias(c) for c in REF_COLUMNS[array]))
         )
 
-    def replaced(self, **changes: DataFrame) -> "EntitySet":
-        return EntitySet({**self.tables, **changes}, self.refs)
+    def replaced(self, tables: dict[str, DataFrame], refs: dict[tuple[str, str], DataFrame] | None = None) -> "EntitySet":
+        """The same set with some tables and reference rows exchanged."""
+        return EntitySet({**dict(self.tables.items()), **tables}, {**dict(self.refs.items()), **(refs or {})})
 
 
 def load_entities(spark: SparkSession, root: str, fmt: str = "parquet") -> EntitySet:

@@ -80,6 +80,19 @@ def participants(lines: DataFrame) -> DataFrame:
     )
 
 
+def key_moments(events: DataFrame) -> DataFrame:
+    """Key moments from event records, with their key and the person each names."""
+    rows = _entity(
+        events, "keyMoment", F.col("event_id"), F.lit(None).cast("string"),
+        *_fk("event", F.col("event_id")),
+        F.col("event_type").alias("type"),
+        F.get_json_object("props", "$.k").alias("sub_type"),
+        F.col("ts").cast("timestamp_ntz").alias("date_time"),
+        *_fk("sp", F.col("user_id")),
+    )
+    return rows.withColumn("external_key", external_key("keyMoment"))
+
+
 def _rankings(orders: DataFrame, lines: DataFrame) -> DataFrame:
     months = orders.select("o_orderkey", month_of("o_orderdate").alias("month"))
     sales = (
@@ -222,21 +235,10 @@ def entities(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, o
             F.create_map(F.lit("en"), F.col("p_name")).alias("last_name"),
         )
 
-    def key_moment(*extra: Column):
-        return _entity(
-            read["events"], "keyMoment", F.col("event_id"), F.lit(None).cast("string"),
-            *_fk("event", F.col("event_id")),
-            F.col("event_type").alias("type"),
-            F.get_json_object("props", "$.k").alias("sub_type"),
-            F.col("ts").cast("timestamp_ntz").alias("date_time"),
-            *extra,
-        )
-
     def key_moment_participants():
-        moments = key_moment(F.col("user_id")).withColumn("external_key", external_key("keyMoment"))
-        return moments.select(
+        return key_moments(read["events"]).select(
             F.col("id").alias("owner_id"), F.col("external_key").alias("owner_key"),
-            *_no_fk("team"), *_fk("sp", F.col("user_id")),
+            *_no_fk("team"), "sp_id", "sp_scope",
         )
 
     def competition_memberships():
@@ -257,7 +259,7 @@ def entities(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, o
         "sportsPerson": sports_person,
         "staff": lambda: _staff(read["part"], lines),
         "ranking": lambda: _rankings(orders, lines),
-        "keyMoment": key_moment,
+        "keyMoment": lambda: key_moments(read["events"]).drop("external_key", "sp_id", "sp_scope"),
     }
     refs = {
         ("event", "participants"): lambda: participants(lines),
