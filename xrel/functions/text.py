@@ -32,7 +32,7 @@ def split_camel(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("([A-Z][a-z0-9]*)"), F.lit(1))
     has_words = F.size(words) > 0
     title = F.when(has_words, F.array_join(words, " ")).otherwise(text)
-    tail = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), F.lower)
+    tail = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.lower(w))
     sentence = F.when(has_words, F.array_join(F.concat(F.slice(words, 1, 1), tail), " ")).otherwise(text)
     full = F.length(text) > 0
     return F.struct(

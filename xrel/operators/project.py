@@ -133,6 +133,10 @@ def _without(rows: DataFrame, path: str) -> DataFrame:
     return rows.withColumn(top, F.col(top).dropFields(rest))
 
 
+def _only_keys(column: str, names: list[str]) -> Column:
+    return F.map_filter(column, lambda k, _: k.isin(*names))
+
+
 def include_fields(rows: DataFrame, rules: Rules) -> DataFrame:
     """Keep `id` and the named fields; nothing named keeps all."""
     wanted = list(rules.fields)
@@ -157,7 +161,7 @@ def include_fields(rows: DataFrame, rules: Rules) -> DataFrame:
         if parts is None:
             columns.append(F.col(c))
         elif isinstance(rows.schema[c].dataType, T.MapType):
-            columns.append(F.map_filter(c, lambda k, _, names=tuple(parts): k.isin(*names)).alias(c))
+            columns.append(_only_keys(c, parts).alias(c))
         else:
             columns.append(F.struct(*(F.col(f"{c}.{p}").alias(p) for p in parts)).alias(c))
     return rows.select(*columns)
@@ -184,7 +188,7 @@ def parse_request(params: DataFrame) -> DataFrame:
     """
     pattern = r"^projection([.~])(.+)$"
     mode = F.when(F.regexp_extract("name", pattern, 1) == ".", "include").otherwise("exclude")
-    keys = F.filter(F.transform(F.split("value", ","), F.trim), lambda k: k != "")
+    keys = F.filter(F.transform(F.split("value", ","), lambda k: F.trim(k)), lambda k: k != "")
     return params.where(F.col("name").rlike(pattern)).select(
         "request_id", F.regexp_extract("name", pattern, 2).alias("type"), mode.alias("mode"),
         F.explode(F.array_distinct(keys)).alias("key"),
