@@ -64,7 +64,8 @@ def apply_ops(edges: DataFrame, ops: DataFrame) -> DataFrame:
     removed = ops.where("op = 'remove'").select(*link).distinct()
     added = ops.where("op = 'add'").drop("op").dropDuplicates(link)
     present = edges.select(*link).join(added.select(*link), link, "left_semi")
-    return edges.join(removed, link, "left_anti").unionByName(added.join(present, link, "left_anti"))
+    kept = edges.join(removed, link, "left_anti")
+    return kept.unionByName(added.join(present, link, "left_anti")).select(*edges.columns)
 
 
 def stub_docs(ops: DataFrame, docs: DataFrame) -> DataFrame:

@@ -256,13 +256,13 @@ def result_shape(spark, sf_dir):
 
 
 @register(
-    "result_counts",
+    "counts",
     oracle.query(
         "select request_id, dst_type, count(*) as n from w_ids group by all union all select request_id, null, count(*) from w_ids group by all",
         **_competitions(50),
     ),
 )
-def result_counts(spark, sf_dir):
+def counts(spark, sf_dir):
     _, got = _from_competitions(spark, sf_dir, None)
     return A.counts(got.ids)
 

@@ -162,12 +162,12 @@ def share_of_total(spark, sf_dir):
 
 
 @register(
-    "pivot_quarters",
+    "pivot",
     "select p_type, " + ", ".join(
         f"coalesce({_SUM.format(f'case when quarter(l_shipdate) = {q} then l_extendedprice end')}, 0) as q{q}" for q in (1, 2, 3, 4)
     ) + " from lineitem join part on l_partkey = p_partkey group by 1",
 )
-def pivot_quarters(spark, sf_dir):
+def pivot(spark, sf_dir):
     lines = tpch.table(spark, sf_dir, "lineitem").select("l_partkey", F.quarter("l_shipdate").alias("q"), _money("l_extendedprice").alias("price"))
     by_part = lines.groupBy("l_partkey", "q").agg(F.sum("price").alias("price"))
     parts = tpch.table(spark, sf_dir, "part").select("p_partkey", "p_type")
