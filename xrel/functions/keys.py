@@ -34,18 +34,22 @@ def pair_key(id_: Column, scope: Column) -> Column:
     return F.concat(id_, F.lit(PAIR), scope)
 
 
-def fk_key(prefix: str) -> Column:
-    return pair_key(F.col(f"{prefix}_id"), F.col(f"{prefix}_scope"))
+def fk_key_sql(prefix: str) -> str:
+    return f"concat({prefix}_id, '{PAIR}', {prefix}_scope)"
+
+
+def has_pair_sql(prefix: str) -> str:
+    return f"({prefix}_id is not null and {prefix}_scope is not null)"
 
 
 def has_pair(prefix: str) -> Column:
-    return F.col(f"{prefix}_id").isNotNull() & F.col(f"{prefix}_scope").isNotNull()
+    return F.expr(has_pair_sql(prefix))
 
 
-def number_text(value: Column) -> Column:
+def number_text_sql(value: str) -> str:
     """A double as a key shows it: no fraction for whole numbers."""
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e18))
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    whole = f"{value} = floor({value}) and abs({value}) < 1e18"
+    return f"if({whole}, string(bigint({value})), string({value}))"
 
 
 def staff_key(org: str | None = None) -> Column:
@@ -54,37 +58,36 @@ def staff_key(org: str | None = None) -> Column:
     With `org` only that organisation counts, as seen from its own side.
     """
     variants = [
-        F.concat(fk_key("sp"), F.lit(sep), fk_key(kind))
+        f"concat({fk_key_sql('sp')}, '{sep}', {fk_key_sql(kind)})"
         for kind, sep in STAFF_SEPARATORS.items()
         if org in (None, kind)
     ]
-    return F.coalesce(*variants)
+    return F.expr(f"coalesce({', '.join(variants)})")
 
 
 def staff_org_count() -> Column:
     """How many organisation pairs a staff row names; a staff document needs exactly one."""
-    return sum((has_pair(kind).cast("int") for kind in STAFF_SEPARATORS), F.lit(0))
+    return F.expr(" + ".join(f"int{has_pair_sql(kind)}" for kind in STAFF_SEPARATORS))
 
 
 def ranking_kind() -> Column:
     """First kind whose owner and subject pairs are both complete, else null."""
-    chain = F
-    for kind, (owner, subject, _) in RANKING_KINDS.items():
-        chain = chain.when(has_pair(owner) & has_pair(subject), F.lit(kind))
-    return chain.otherwise(F.lit(None).cast("string"))
+    cases = [
+        f"when {has_pair_sql(owner)} and {has_pair_sql(subject)} then '{kind}'"
+        for kind, (owner, subject, _) in RANKING_KINDS.items()
+    ]
+    return F.expr(f"case {' '.join(cases)} end")
 
 
 def ranking_key(side: str | None = None) -> Column:
     """Composite ranking key; `side` keeps the kinds that name that side."""
-    tail = F.concat(
-        F.lit(RANK_LABEL), F.col("date_time_label"), F.lit(RANK_POSITION), number_text(F.col("ranking"))
-    )
+    tail = f"concat('{RANK_LABEL}', date_time_label, '{RANK_POSITION}', {number_text_sql('ranking')})"
     variants = [
-        F.concat(fk_key(owner), F.lit(sep), fk_key(subject), tail)
+        f"concat({fk_key_sql(owner)}, '{sep}', {fk_key_sql(subject)}, {tail})"
         for owner, subject, sep in RANKING_KINDS.values()
         if side in (None, owner, subject)
     ]
-    return F.coalesce(*variants)
+    return F.expr(f"coalesce({', '.join(variants)})")
 
 
 def ranking_is_valid() -> Column:

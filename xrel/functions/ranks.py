@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from xrel.session import cut_lineage
+
 # A group's cut points travel as one array, so their number is bounded.
 MAX_CUTS = 1024
 
@@ -16,9 +18,12 @@ def distributed_rank(
 
     Groups above `bucket_rows` are cut into ranges at values picked by hash, each range is
     numbered on its own, and the sizes of the ranges before it are added. Smaller groups are
-    one range. `group` columns must not be null.
+    one range, and without any large group this is a plain window. `group` columns must not be
+    null; `df` is read several times, so it should be a stored or written-out table.
     """
-    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket_rows)
+    large = cut_lineage(df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > bucket_rows))
+    if large.isEmpty():
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(order)).cast("bigint"))
     step = F.ceil(F.greatest(F.lit(bucket_rows), F.col("_n") / F.lit(MAX_CUTS))).cast("bigint")
     cuts = (
         df.select(*group, order)

@@ -14,24 +14,33 @@ from pyspark.sql import functions as F
 from xrel.functions import keys
 from xrel.operators.edges import edges_from_type
 from xrel.operators.relations import TYPE_GRAPH
+from xrel.session import cut_lineage
 from xrel.sources.entities import EntitySet, meta
 
 PART_ROWS = 10_000
+# Rows of two short columns; some tens of megabytes at most.
+BROADCAST_ROWS = 200_000
 
 
 def with_part(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add `part_no`: 0 everywhere but in fields with more than `part_rows` edges."""
-    hubs = (
+    """Add `part_no`: 0 everywhere but in fields with more than `part_rows` edges.
+
+    Hubs are counted first: mostly there are none and edges need no join, a list of known and
+    modest length is broadcast, and a longer one is joined like any table.
+    """
+    hubs = cut_lineage(
         edges.groupBy("src_id", "field")
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > part_rows)
-        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(part_rows)))
-        .drop("_n")
+        .select("src_id", "field", F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts"))
     )
+    n_hubs = hubs.count()
+    if n_hubs == 0:
+        return edges.withColumn("part_no", F.lit(0))
     # Entries with one key stay together: the key map keeps one id per key.
     spread = F.pmod(F.xxhash64(F.coalesce("dst_key", "dst_id")), F.col("_parts"))
     return (
-        edges.join(hubs, ["src_id", "field"], "left")
+        edges.join(F.broadcast(hubs) if n_hubs <= BROADCAST_ROWS else hubs, ["src_id", "field"], "left")
         .withColumn("part_no", F.coalesce(spread, F.lit(0)).cast("int"))
         .drop("_parts")
     )

@@ -61,6 +61,8 @@ def apply_ops(edges: DataFrame, ops: DataFrame) -> DataFrame:
     Only the ops are matched against the edge table, so it need not be shuffled while they are few.
     """
     link = [*LINK, "field"]
+    # Read three times below.
+    ops = cut_lineage(ops)
     removed = ops.where("op = 'remove'").select(*link).distinct()
     added = ops.where("op = 'add'").drop("op").dropDuplicates(link)
     present = edges.select(*link).join(added.select(*link), link, "left_semi")

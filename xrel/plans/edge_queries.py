@@ -116,7 +116,7 @@ def _doc_query(doc_type):
     def run(spark, sf_dir):
         es = tpch.entities(spark, sf_dir)
         # The edges are read twice (to find hubs, then to gather), so they are written out once.
-        edges = cut_lineage(edges_from_type(es, doc_type))
+        edges = cut_lineage(edges_from_type(es, doc_type).select("src_id", "field", "dst_id", "dst_key"))
         return flat_docs(build_docs(es, doc_type, edges=edges), doc_type)
 
     return run

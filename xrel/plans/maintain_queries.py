@@ -287,4 +287,4 @@ def stream_materialise(spark, sf_dir):
         )
 
     run_stream(arriving, tpch.key_moments, entities_with, target, f"{folder}/checkpoint").awaitTermination()
-    return flat_docs(target.docs.read(), "keyMoment")
+    return flat_docs(target.docs.read().where("resource_type = 'keyMoment'"), "keyMoment")

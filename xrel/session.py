@@ -15,6 +15,7 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         # A skewed join may cost one more shuffle downstream; that beats one huge task.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
     )
 
