@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from xrel.sources import schemas
-from xrel.sources.entities import EntitySet
+from xrel.sources.entities import EntitySet, load_entities
 
 S = "x"
 
@@ -72,6 +73,19 @@ ROWS = {
 
 
 def entities(spark) -> EntitySet:
+    """The rows above, written once per test run and read back with the declared schemas."""
+    global _folder
+    if _folder is None:
+        _folder = tempfile.mkdtemp(prefix="small-")
+        for t, df in _frames(spark).items():
+            df.coalesce(1).write.parquet(f"{_folder}/{t}")
+    return load_entities(spark, _folder)
+
+
+_folder: str | None = None
+
+
+def _frames(spark):
     tables = {}
     for t in schemas.TYPES:
         schema = spark.createDataFrame([], schemas.ddl(t)).schema
@@ -83,7 +97,7 @@ def entities(spark) -> EntitySet:
             }
             rows.append(tuple(full.get(f.name) for f in schema.fields))
         tables[t] = spark.createDataFrame([_nested(r, schema) for r in rows], schema)
-    return EntitySet(tables)
+    return tables
 
 
 def _nested(row, schema):

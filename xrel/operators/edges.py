@@ -171,6 +171,15 @@ def all_edges(entities: EntitySet) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Store edges for `stored_reader`: one folder per type and field, rows in order of their source.
+
+    A task holds edges of one relation, so it opens two folders at most.
+    """
+    ordered = edges.sortWithinPartitions("src_type", "field", "src_id")
+    ordered.write.mode("errorifexists").partitionBy("src_type", "field").parquet(path)
+
+
 def reader(entities: EntitySet) -> EdgeReader:
     """Edges worked out from the entity tables when asked for."""
     return lambda src_type, field: edges_of(entities, src_type, field)

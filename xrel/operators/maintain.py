@@ -15,6 +15,8 @@ from xrel.operators.relations import TYPE_GRAPH, type_edges
 from xrel.session import cut_lineage
 from xrel.sources.entities import EntitySet
 
+# Levels of a closure held as separate tables.
+MAX_LEVELS = 16
 LINK = ("src_type", "src_key", "dst_type", "dst_key")
 
 
@@ -129,7 +131,8 @@ def _step(nodes: DataFrame, read: EdgeReader, src_type: str, field: str) -> Data
 
 def recursive_closure(roots: DataFrame, types: list[str], read: EdgeReader) -> DataFrame:
     """All (request_id, type, id, key) reached from roots (same columns) over edges into `types`, each once."""
-    seen = frontier = cut_lineage(roots.select("request_id", "type", "id", "key"))
+    frontier = cut_lineage(roots.select("request_id", "type", "id", "key"))
+    levels = [frontier]
     sources = {r.type for r in roots.select("type").distinct().limit(len(TYPE_GRAPH) + 1).collect()}
     while True:
         steps = [
@@ -138,13 +141,15 @@ def recursive_closure(roots: DataFrame, types: list[str], read: EdgeReader) -> D
             for f, t in TYPE_GRAPH[s].items()
             if t in types
         ]
+        seen = reduce(DataFrame.unionByName, levels)
         if not steps:
             return seen
         found = reduce(DataFrame.unionByName, steps).dropDuplicates(["request_id", "type", "id"])
         frontier = cut_lineage(found.join(seen, ["request_id", "type", "id"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier))
+        # Each level is written once; long chains are put together now and then to keep the plan short.
+        levels = [*levels, frontier] if len(levels) < MAX_LEVELS else [cut_lineage(seen.unionByName(frontier))]
         sources = set(types)
 
 

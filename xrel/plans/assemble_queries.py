@@ -13,9 +13,9 @@ from xrel.operators.edges import edges_of, reader
 from xrel.operators.relations import TYPE_GRAPH
 from xrel.plans import oracle
 from xrel.plans.registry import register
+from xrel.plans.request import Request, answer
 from xrel.session import cut_lineage
 from xrel.sources import tpch
-from xrel.sources.entities import meta
 
 STAGES, EVENTS = "competition.stages->stage", "stage.events->event"
 TEAMS, VENUES, PERSONS = "event.teams->team", "event.venues->venue", "event.sportsPersons->sportsPerson"
@@ -346,3 +346,31 @@ def assemble_from_events(spark, sf_dir):
     es = tpch.entities(spark, sf_dir)
     got = A.assemble(roots_of(es, "event"), "event", _EVENT_ROUTES, _EVENT_TYPES, reader(es), 5)
     return got.included.select("request_id", "dst_type", "dst_id", F.col("place").cast("bigint").alias("place"))
+
+
+# What the search finds for these views: bodies lead to venues in two hops, events in three.
+_ANSWER_ROUTES = [A.route(STAGES), A.route(STAGES, EVENTS, TEAMS), A.route(SGOS, "sgo.venues->venue")]
+_ANSWER_TYPES = ["team", "venue", "stage"]
+
+
+@register(
+    "request",
+    oracle.query(
+        "select i.request_id, i.dst_type, i.dst_id as id, coalesce(t.name_en, s.name_en, case when v.lang = 'en' then v.name_en end) as name, "
+        "(select count(*) from w_rest o where o.request_id = i.request_id and o.dst_type = i.dst_type) as beyond "
+        "from w_in i left join team t on i.dst_id = t.id left join stage s on i.dst_id = s.id left join venue v on i.dst_id = v.id",
+        **_parts("competition", _ANSWER_ROUTES, _ANSWER_TYPES, 40),
+    ),
+)
+def request(spark, sf_dir):
+    """The whole read: views as text, routes chosen, rows fetched and projected, counts of what lies beyond."""
+    es = tpch.entities(spark, sf_dir)
+    roots = es.rows("competition").select(F.col("id").alias("request_id"), F.col("external_key").alias("root_key"))
+    asked = Request("competition", " team, venue,,stage,team", max_items=40, include={"all": ["name.en", "default_language"]})
+    got = answer(es, reader(es), roots, asked)
+    parts = [
+        rows.select("request_id", F.lit(t).alias("dst_type"), "id", localised(F.col("name"), F.col("default_language")).alias("name"))
+        for t, rows in got.items.items()
+    ]
+    beyond = got.shape.select("request_id", "dst_type", F.col("overflow").alias("beyond"))
+    return reduce(DataFrame.unionByName, parts).join(beyond, ["request_id", "dst_type"])

@@ -93,6 +93,13 @@ def load_entities(spark: SparkSession, root: str, fmt: str = "parquet") -> Entit
     )
 
 
+def load_lookup_only(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """A raw table that is read by key but never related to others."""
+    if name not in schemas.LOOKUP_ONLY:
+        raise ValueError(f"{name} is not one of {', '.join(schemas.LOOKUP_ONLY)}")
+    return spark.read.format(fmt).load(f"{root}/{name}")
+
+
 # Header columns besides the common ones, per type.
 META_EXTRA = {
     "staff": [f"{p}_{c}" for p in ("sp", "team", "club", "nation") for c in ("id", "scope")],
