@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from xrel.llm.decontaminate import clean_documents
 from xrel.llm.mixing import mixed_documents
+from xrel.llm.near_duplicates import one_of_each
 from xrel.llm.queries import END_ID
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_files import token_index, write_tokens
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
@@ -22,7 +32,12 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
-STAGES = [("mix_sources", mix_stage), ("token_files", token_stage)]
+STAGES = [
+    ("near_duplicates", near_duplicates_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mix_sources", mix_stage),
+    ("token_files", token_stage),
+]
 
 # Learned rules and tokenizers are beyond SQL.
 ORACLE_SQL = None

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xrel.llm.decontaminate import benchmark_hits
 from xrel.llm.mixing import mix
-from xrel.llm.shared import documents
+from xrel.llm.near_duplicates import near_duplicates
+from xrel.llm.shared import documents, new_path
 from xrel.llm.token_counts import token_counts
 from xrel.llm.token_files import token_index, write_tokens
-from xrel.llm.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,49 @@ from rated
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP2_SQL = r"""
+with docs as (
+    select doc_id, row_number() over () as rid, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+items as (
+    select coalesce(item_id::varchar, 'null') as item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark),
+windows as (
+    select distinct item, least(10, len(w)) as n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') as win
+    from (select item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from items where len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (
+    select rid, n, unnest(range(1, len(w) - n + 2)) as s, w from docs, sizes where len(w) >= n),
+hits as (
+    select rid, s, p.n, item from places p join windows v
+    on p.n = v.n and array_to_string(p.w[s : s + p.n - 1], ' ') = v.win),
+covered as (
+    select rid, count(distinct pos) as n_hit from (select rid, unnest(range(s, s + n)) as pos from hits) group by rid),
+named as (
+    select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as names
+    from hits group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (rid) left join named using (rid)
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +107,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), percent=85)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +121,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op3_token_files, op10_token_counts)}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op8_near_duplicates, op10_token_counts)}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
