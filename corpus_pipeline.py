@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from xrel.llm.decontaminate import clean_documents
 from xrel.llm.mixing import mixed_documents
 from xrel.llm.near_duplicates import one_of_each
+from xrel.llm.quality_rules import good_documents
 from xrel.llm.queries import END_ID
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_files import token_index, write_tokens
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
@@ -33,6 +38,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_stage),
     ("near_duplicates", near_duplicates_stage),
     ("decontaminate", decontaminate_stage),
     ("mix_sources", mix_stage),

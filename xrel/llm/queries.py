@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xrel.llm.decontaminate import benchmark_hits
 from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
+from xrel.llm.quality_rules import STATISTICS, quality_verdicts
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_counts import token_counts
 from xrel.llm.token_files import token_index, write_tokens
@@ -107,6 +108,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts, _ = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return verdicts.select("doc_id", *STATISTICS, "base_failed", "kept")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), percent=85)
     return found.select(
@@ -121,5 +127,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op8_near_duplicates, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op7_quality_rules, op8_near_duplicates, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
