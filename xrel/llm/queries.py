@@ -11,6 +11,7 @@ from xrel.llm.decontaminate import benchmark_hits
 from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
 from xrel.llm.quality_rules import STATISTICS, quality_verdicts
+from xrel.llm.secrets import joined_spans, secrets
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_counts import token_counts
 from xrel.llm.token_files import token_index, write_tokens
@@ -120,6 +121,23 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(documents(spark, sf_dir))
+    as_spans = lambda name, kind: F.transform(
+        name, lambda s: F.struct(s["start"].alias("start"), kind(s).alias("kind"), s["end"].alias("end"))
+    )
+    base, random = as_spans("base", lambda s: s["kind"]), as_spans("random", lambda s: F.lit(3))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(base, random).alias("spans"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -127,5 +145,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op7_quality_rules, op8_near_duplicates, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op7_quality_rules, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
