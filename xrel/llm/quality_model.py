@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     vectors = map_arrow(rows, _vectors, "turn bigint, label int, features array<int>, values array<float>")
     # The updates go through the bounded sample one by one, in an order of their own.
     ordered = stored(vectors, "vectors").repartition(1).sortWithinPartitions("turn", "label", F.xxhash64("features", "values"))
-    return np.frombuffer(map_arrow(ordered, _fit_sample, "weights binary").first()[0], "<f4").astype(np.float64)
+    fitted = map_arrow(ordered, _fit_sample, "weights binary").first()
+    return np.frombuffer(fitted[0], "<f4").astype(np.float64) if fitted else np.zeros((1 << BITS) + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

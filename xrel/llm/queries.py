@@ -12,6 +12,7 @@ from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
 from xrel.llm.quality_model import quality_scores
 from xrel.llm.quality_rules import STATISTICS, quality_verdicts
+from xrel.llm.repeated_bytes import removed_bytes
 from xrel.llm.secrets import joined_spans, secrets
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_counts import token_counts
@@ -114,6 +115,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_bytes(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return verdicts.select("doc_id", *STATISTICS, "base_failed", "kept")
@@ -150,5 +157,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op4_quality_classifier, op7_quality_rules, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op4_quality_classifier, op6_repeated_bytes, op7_quality_rules, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
