@@ -124,3 +124,26 @@ def base_secrets(text: str | None) -> list[tuple[str, int, int]]:
             if length >= {"assign": 8, "access": 16, "hex": 32}[kind]:
                 found.append((m.start(), ("assign", "access", "hex").index(kind), kind, m.end()))
     return [(kind, s, e) for s, _, kind, e in sorted(found)]
+
+
+def repeated_paragraphs(docs, percent=80, least=20):
+    """docs: (doc_id, text) in order -> (doc_id, n_removed bytes, places, kept text)."""
+    lines = [(d, k, x) for d, (_, t) in enumerate(docs) for k, x in enumerate((t or "").split("\n")) if len(white_words(x)) >= least]
+    sets = [shingle_set(x) for _, _, x in lines]
+    links = []
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines)):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * len(sets[i] | sets[j]):
+                links.append((i, j))
+    part = groups(len(lines), links)
+    gone = {(d, k) for i, (d, k, _) in enumerate(lines) if part[i] != i}
+    out = []
+    for d, (doc_id, text) in enumerate(docs):
+        parts = [x + "\n" for x in (text or "").split("\n")]
+        parts[-1] = parts[-1][:-1]
+        places = [k for k in range(len(parts)) if (d, k) in gone]
+        kept = "".join(x for k, x in enumerate(parts) if (d, k) not in gone)
+        size = sum(len(parts[k].encode()) for k in places)
+        out.append((doc_id, size, places, None if text is None else kept))
+    return out

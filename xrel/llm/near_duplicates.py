@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from xrel.llm.buckets import linked
 from xrel.llm.graph import components
-from xrel.llm.shared import NO_ID, map_arrow, stored
+from xrel.llm.shared import BROADCAST_ROWS, NO_ID, map_arrow, stored
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
 SHINGLE = 5
@@ -130,8 +130,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         pairs = stored(sized.where(close).select("a", "b"), "candidates")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = classes.join(ids, "id", "left_semi").select("id", "first.doc", "first.text_key")
-        own = texts.join(wanted, ["doc", "text_key"]).select("id", "text")
+        wanted = stored(classes.join(ids, "id", "left_semi").select("id", "first.doc", "first.text_key"), "wanted")
+        # Texts move only where more documents are wanted than may be broadcast.
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        own = texts.join(few, ["doc", "text_key"]).select("id", "text")
         sets = stored(map_arrow(own, _set_rows, "id bigint, items binary").dropDuplicates(["id"]), "sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return map_arrow(both, _confirmed(percent), "a bigint, b bigint")

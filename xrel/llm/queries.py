@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xrel.llm.decontaminate import benchmark_hits
 from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
+from xrel.llm.paragraphs import without_repeated_paragraphs
 from xrel.llm.quality_model import quality_scores
 from xrel.llm.quality_rules import STATISTICS, quality_verdicts
 from xrel.llm.repeated_bytes import removed_bytes
@@ -115,6 +116,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_paragraphs(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_removed",
+        F.size("removed").cast("bigint").alias("n_paragraphs"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("paragraphs"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256"
@@ -157,5 +168,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_token_files, op4_quality_classifier, op6_repeated_bytes, op7_quality_rules, op8_near_duplicates, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_decontaminate,
+        op3_token_files,
+        op4_quality_classifier,
+        op5_repeated_paragraphs,
+        op6_repeated_bytes,
+        op7_quality_rules,
+        op8_near_duplicates,
+        op9_secret_scan,
+        op10_token_counts,
+    )
+}
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
