@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests import small
 from xrel.operators import maintain as M
@@ -8,7 +9,8 @@ from xrel.operators.docs import build_docs, flat_docs
 from xrel.operators.edges import edges_from_type, edges_of, labelled, reader
 from xrel.sources import tpch
 from xrel.sources.store import VersionedTable
-from xrel.streaming.materialise import Materialiser, stream_materialise
+from xrel.functions.version import json_text
+from xrel.streaming.materialise import Materialiser, newest_rows, stream_materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,6 +83,37 @@ def test_versions(spark, tmp_path):
     assert state() == [(1, 0, "x"), (2, 0, "again"), (3, 0, "z")]
 
 
+def test_versions_after_a_batch_is_run_again(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["k"])
+    frame = lambda *items: spark.createDataFrame(list(items), "k int, v string")
+    state = lambda **at: sorted(tuple(r) for r in table.read(**at).select("k", "v").collect())
+    table.upsert(frame((1, "a")), number=1)
+    table.upsert(frame((1, "b"), (2, "c")), number=2)
+    assert table.compact() == table.compact() == 2
+    assert not table.is_empty(before=2) and state(before=2) == [(1, "a")]
+    table.upsert(frame((1, "x"), (2, "c")), number=2)
+    assert state() == [(1, "x"), (2, "c")]
+    table.compact()
+    table.upsert(frame((3, "d")), frame((2, "")), number=3)
+    table.compact()
+    table.expire(fulls=1)
+    assert table.versions() == [(3, "full")] and state() == [(1, "x"), (3, "d")]
+
+
+def test_newest_rows(spark):
+    rows = spark.createDataFrame([(1, "old", 1, False), (1, "new", 2, False), (2, "a", 1, False), (2, "a", 3, True)], "id int, v string, seq int, gone boolean")
+    got = {r.id: (r.v, r["_at"], r["_gone"]) for r in newest_rows(rows, "seq", "gone").collect()}
+    assert got == {1: ("new", 2, False), 2: ("a", 3, True)}
+
+
+def test_doubles_differ(spark):
+    values = [1.2345678901234567e-5, 1.23456789012399e-5, 0.1, -0.001, 123456.789, 1234567890.125, 1e-6, 1.5e300, -2.5e-7, 12345678.5, 0.0001]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", json_text(F.col("v"), T.DoubleType()).alias("t")).collect()
+    assert len({r.t for r in rows}) == len(values)
+    for r in rows:
+        assert float(r.t) == r.v and ("e" in r.t) == (not 1e-6 <= abs(r.v) < 1e21)
+
+
 def test_stream_in_batches_equals_one_build(spark, tmp_path):
     es = tpch.entities(spark, SF)
     events = tpch.table(spark, SF, "events")
@@ -100,10 +133,12 @@ def test_stream_in_batches_equals_one_build(spark, tmp_path):
         )
         return es.replaced({"keyMoment": changed.drop("external_key", "sp_id", "sp_scope")}, {("keyMoment", "participants"): refs})
 
-    for batch in (first, second):
+    for turn, batch in enumerate((first, second)):
+        batch = batch.withColumn("seq", F.lit(turn))
         batch.coalesce(1).write.mode("append").parquet(inbox)
-        arriving = spark.readStream.schema(events.schema).parquet(inbox)
-        stream_materialise(arriving, tpch.key_moments, entities_with, target, str(tmp_path / "cp")).awaitTermination()
+        arriving = spark.readStream.schema(batch.schema).parquet(inbox)
+        to_rows = lambda records: tpch.key_moments(records, "seq")
+        stream_materialise(arriving, to_rows, entities_with, target, str(tmp_path / "cp"), "seq").awaitTermination()
     want = build_docs(es, "keyMoment")
     docs = target.docs.read()
     events_with_moments = build_docs(es, "event").where("size(keyMoments) > 0")

@@ -171,6 +171,36 @@ def all_edges(entities: EntitySet) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def edges_touching(entities: EntitySet, changed: dict[str, DataFrame]) -> DataFrame:
+    """Edges with a changed row at either end, each from the rule of its own direction.
+
+    `changed` holds ids (column id) per type. Whether an edge exists depends on the rows at its two ends alone, so
+    between two states only these edges can differ. Relations without a changed type are not read.
+    """
+
+    def near(links: DataFrame, child: str, parent: str) -> DataFrame:
+        seen = []
+        for kind, end in ((child, "child_id"), (parent, "parent_id")):
+            if kind in changed:
+                mark = f"_{end}_changed"
+                seen.append(mark)
+                links = links.join(changed[kind].select(F.col("id").alias(end), F.lit(True).alias(mark)), end, "left")
+        # One semi join where one end can have changed; either of two marks otherwise.
+        return links.where(" or ".join(f"coalesce({m}, false)" for m in seen)).drop(*seen)
+
+    parts = []
+    for ref in REFERENCES:
+        if ref.child in changed or ref.parent in changed:
+            links = near(reference_links(entities, ref), ref.child, ref.parent)
+            parts.append(_both_ways(links, ref.child, ref.forward, ref.parent, ref.inverse))
+    for fk in FOREIGN_KEYS:
+        if fk.child in changed or fk.parent in changed:
+            links = near(fk_links(entities, fk), fk.child, fk.parent)
+            parts.append(_both_ways(links, fk.child, fk.forward, fk.parent, fk.inverse))
+    # Fields fed by two relations may give an edge twice.
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     """Store edges for `stored_reader`: one folder per type and field, rows in order of their source.
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from xrel.functions.version import content_version
 from xrel.operators.assemble import Route, hop_parts
 from xrel.operators.docs import build_docs, headers
-from xrel.operators.edges import EdgeReader
-from xrel.operators.relations import TYPE_GRAPH, type_edges
+from xrel.operators.edges import EDGE_COLUMNS, EdgeReader, edges_touching
+from xrel.operators.relations import REFERENCES, TYPE_GRAPH, type_edges
 from xrel.session import cut_lineage
 from xrel.sources.entities import EntitySet
 
@@ -43,8 +43,59 @@ def reference_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def edge_ops(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Whole edges that went away or came, as rows with `op`; one shuffle for both sides."""
+    both = old.select(*EDGE_COLUMNS, F.lit(True).alias("is_old")).unionByName(
+        new.select(*EDGE_COLUMNS, F.lit(False).alias("is_old"))
+    )
+    return (
+        both.groupBy(*EDGE_COLUMNS)
+        .agg(F.min("is_old").alias("only_old"), F.max("is_old").alias("any_old"))
+        .where("only_old or not any_old")
+        .select(F.expr("if(only_old, 'remove', 'add')").alias("op"), *EDGE_COLUMNS)
+    )
+
+
+def changed_ids(before: EntitySet, after: EntitySet) -> dict[str, DataFrame]:
+    """Per type the ids (column id) of rows that came, went or differ, in columns or in any reference list.
+
+    A row and its references are summed up as hashes that do not depend on order, so no list is gathered.
+    """
+    arrays = sorted({(r.child, r.array) for r in REFERENCES})
+
+    def prints(entities: EntitySet, kind: str, old: bool) -> DataFrame:
+        rows = entities.rows(kind)
+        parts = [rows.select("id", content_version(rows.drop("last_updated")).alias("print"))]
+        for child, array in arrays:
+            if child == kind:
+                refs = entities.ref_rows(child, array).distinct()
+                named = F.concat(F.lit(array), content_version(refs.drop("owner_key")))
+                parts.append(refs.select(F.col("owner_id").alias("id"), named.alias("print")))
+        return reduce(DataFrame.unionByName, parts).withColumn("side", F.lit(1 if old else -1))
+
+    sides = [
+        prints(entities, kind, old).withColumn("kind", F.lit(kind))
+        for kind in TYPE_GRAPH
+        for entities, old in ((before, True), (after, False))
+    ]
+    apart = reduce(DataFrame.unionByName, sides).groupBy("kind", "id", "print").agg(F.sum("side").alias("left")).where("left <> 0")
+    found = cut_lineage(apart.where("id is not null").select("kind", "id").distinct())
+    # Types are few by nature.
+    kinds = sorted(r.kind for r in found.select("kind").distinct().collect())
+    return {kind: found.where(F.col("kind") == kind).select("id") for kind in kinds}
+
+
+def maintain_ops(before: EntitySet, after: EntitySet, changed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What turns the edges of one state into those of the next: both directions, each by its own rule."""
+    changed = changed_ids(before, after) if changed is None else changed
+    return edge_ops(edges_touching(before, changed), edges_touching(after, changed))
+
+
 def inverse_ops(ops: DataFrame) -> DataFrame:
-    """The change each op means for the document at the other end."""
+    """The change each op means for the document at the other end, where both directions follow one rule.
+
+    Relations with rules of their own per direction (participants, kinds of ranking, staff) need `maintain_ops`.
+    """
     back = type_edges(ops.sparkSession).select(
         F.col("from_type").alias("dst_type"), F.col("to_type").alias("src_type"), F.col("field").alias("_back")
     )
@@ -65,10 +116,12 @@ def apply_ops(edges: DataFrame, ops: DataFrame) -> DataFrame:
     link = [*LINK, "field"]
     # Read three times below.
     ops = cut_lineage(ops)
-    removed = ops.where("op = 'remove'").select(*link).distinct()
-    added = ops.where("op = 'add'").drop("op").dropDuplicates(link)
-    present = edges.select(*link).join(added.select(*link), link, "left_semi")
-    kept = edges.join(removed, link, "left_anti")
+    whole = [c for c in EDGE_COLUMNS if c in edges.columns]
+    removed = ops.where("op = 'remove'").select(*whole).distinct()
+    added = ops.where("op = 'add'").drop("op").dropDuplicates(whole)
+    same = " and ".join(f"e.{c} <=> r.{c}" for c in whole)
+    kept = edges.alias("e").join(removed.alias("r"), F.expr(same), "left_anti")
+    present = kept.select(*link).join(added.select(*link), link, "left_semi")
     return kept.unionByName(added.join(present, link, "left_anti")).select(*edges.columns)
 
 
@@ -133,7 +186,10 @@ def recursive_closure(roots: DataFrame, types: list[str], read: EdgeReader) -> D
     """All (request_id, type, id, key) reached from roots (same columns) over edges into `types`, each once."""
     frontier = cut_lineage(roots.select("request_id", "type", "id", "key"))
     levels = [frontier]
-    sources = {r.type for r in roots.select("type").distinct().limit(len(TYPE_GRAPH) + 1).collect()}
+    # Types are few by nature; one that is unknown is an error.
+    sources = {r.type for r in roots.select("type").distinct().collect()}
+    if unknown := sources - set(TYPE_GRAPH):
+        raise ValueError(f"unknown types: {sorted(map(str, unknown))}")
     while True:
         steps = [
             _step(frontier.where(F.col("type") == s), read, s, f).withColumn("type", F.lit(t))

@@ -5,6 +5,7 @@ The older state holds the lines shipped before 2000; the newer one holds all lin
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -15,7 +16,7 @@ from xrel.functions import keys
 from xrel.operators import maintain as M
 from xrel.operators.assemble import route
 from xrel.operators.docs import build_docs, flat_docs
-from xrel.operators.edges import edges_from_type, edges_of, labelled, reader
+from xrel.operators.edges import all_edges, edges_from_type, edges_of, labelled, reader
 from xrel.plans import oracle
 from xrel.plans.assemble_queries import EVENTS, SGO_TEAMS, SGOS, STAGES, TEAMS, walk_sql
 from xrel.plans.edge_queries import doc_sql
@@ -68,6 +69,20 @@ def reference_diff(spark, sf_dir):
     return M.reference_diff(old, new)
 
 
+def _new_state_sql() -> str:
+    """All edges of the newer state: the same SQL over the lines of that state."""
+    parts = {k: re.sub(r"\bfrom lineitem\b", "from new_lineitem", v) for k, v in oracle.PARTS.items()}
+    parts = {"new_lineitem": f"select * from lineitem where {_NEW_SQL}", **parts}
+    return oracle.query("select * from all_edges", **parts)
+
+
+@register("maintain_all", _new_state_sql())
+def maintain_all(spark, sf_dir):
+    """The older state's edges, maintained for every changed row of every type, are the newer state's edges."""
+    before, after = _states(spark, sf_dir)
+    return M.apply_ops(all_edges(before), M.maintain_ops(before, after))
+
+
 def _member_ops(spark, sf_dir):
     before, after = _states(spark, sf_dir)
     old, new = (labelled(edges_of(es, "team", "sportsPersons"), "team", "sportsPersons") for es in (before, after))
@@ -270,12 +285,25 @@ def affected_roots(spark, sf_dir):
 
 @register("stream_materialise", oracle.query(doc_sql("keyMoment")))
 def stream_materialise(spark, sf_dir):
-    """Key moment documents from the event table read as a stream of files."""
+    """Key moment documents from three batches of files made from the event table.
+
+    The first batch holds every second event with another person, the second takes each tenth away again and brings the
+    stale state of some, the third brings all events as they are, some of them twice with the older state last.
+    """
     es = tpch.entities(spark, sf_dir)
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    target = Materialiser(spark, f"{folder}/tables", "keyMoment")
-    source = tpch.table(spark, sf_dir, "events")
-    arriving = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    target = Materialiser(spark, f"{folder}/tables", "keyMoment", compact_every=2)
+    events = tpch.table(spark, sf_dir, "events")
+    other = events.withColumn("user_id", F.greatest(F.col("user_id") - 1, F.lit(0)))
+    flags = lambda df, seq, gone: df.withColumns({"seq": F.lit(seq), "gone": F.lit(gone)})
+    batches = [
+        flags(other.where("event_id % 2 = 0"), 1, False),
+        flags(other.where("event_id % 10 = 0"), 2, True).unionByName(flags(events.where("event_id % 10 = 2"), 0, False)),
+        flags(events, 4, False).unionByName(flags(other.where("event_id % 7 = 0"), 3, False)),
+    ]
+
+    def to_rows(records):
+        return tpch.key_moments(records, "seq", "gone")
 
     def entities_with(rows):
         refs = rows.select(
@@ -286,5 +314,9 @@ def stream_materialise(spark, sf_dir):
             {"keyMoment": rows.drop("external_key", "sp_id", "sp_scope")}, {("keyMoment", "participants"): refs}
         )
 
-    run_stream(arriving, tpch.key_moments, entities_with, target, f"{folder}/checkpoint").awaitTermination()
-    return flat_docs(target.docs.read().where("resource_type = 'keyMoment'"), "keyMoment")
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{folder}/inbox")
+        arriving = spark.readStream.schema(batch.schema).parquet(f"{folder}/inbox")
+        run_stream(arriving, to_rows, entities_with, target, f"{folder}/checkpoint", "seq", "gone").awaitTermination()
+    docs = target.docs.read().where("resource_type = 'keyMoment'")
+    return flat_docs(docs, "keyMoment")

@@ -205,7 +205,7 @@ def fields_of(src: str) -> list[tuple[str, str]]:
 
 def query(body: str, **extra: str) -> str:
     """`body` with the parts it needs as WITH clauses; `extra` adds parts of its own, in order."""
-    parts = {**PARTS, **extra}
+    parts = {**{k: v for k, v in extra.items() if k.startswith("new_")}, **PARTS, **extra}
     order = list(parts)
     needed: set[str] = set()
     todo = [body]

@@ -80,8 +80,8 @@ def participants(lines: DataFrame) -> DataFrame:
     )
 
 
-def key_moments(events: DataFrame) -> DataFrame:
-    """Key moments from event records, with their key and the person each names."""
+def key_moments(events: DataFrame, *keep: str) -> DataFrame:
+    """Key moments from event records, with their key, the person each names and the columns to keep."""
     rows = _entity(
         events, "keyMoment", F.col("event_id"), F.lit(None).cast("string"),
         *_fk("event", F.col("event_id")),
@@ -89,6 +89,7 @@ def key_moments(events: DataFrame) -> DataFrame:
         F.get_json_object("props", "$.k").alias("sub_type"),
         F.col("ts").cast("timestamp_ntz").alias("date_time"),
         *_fk("sp", F.col("user_id")),
+        *keep,
     )
     return rows.withColumn("external_key", external_key("keyMoment"))
 
