@@ -4,59 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xrel.llm.graph import components
 from xrel.llm.shared import stored
 
-# Buckets up to this size give all their pairs at once; larger ones are linked through one member at a time.
-SMALL = 6
-# Rounds of one member against the rest; then what is still apart in a bucket is compared pair by pair.
-ROUNDS = 2
+# Rounds in which every item is compared with one member of another part; what is still apart then is compared in full.
+ROUNDS = 3
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right, "key").where("a < b").select("a", "b").distinct()
+def _distance(words: int) -> Column:
+    """Number of bits in which the signatures bits_a and bits_b differ."""
+    return sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(words)), F.lit(0))
 
 
-def linked(members: DataFrame, verify: Verify) -> DataFrame:
+def linked(members: DataFrame, bits: DataFrame, words: int, most: int, verify: Verify) -> DataFrame:
     """Links (a, b), a < b, that connect whatever all verified pairs within the buckets of members (key, id) connect.
 
-    verify() takes candidate pairs (a, b) and returns those that hold. Every pair of a bucket is either verified or
-    lies within one component of verified links, so components are the same as if all pairs had been compared.
+    verify() takes candidate pairs (a, b) and returns those that hold. bits (id, bits) holds `words` 64-bit words of
+    signature per item; pairs further apart than `most` bits are not verified. Every other pair of a bucket is verified
+    or lies within one component of verified links, so components are the same as if all pairs had been compared.
+
+    First every item is compared with the smallest that it shares a bucket with, then, a few times, with one of another
+    component in a bucket: one pair per item and round, however large its buckets are. Only where buckets still hold
+    several components are their pairs across components compared one by one.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+        return both.where(_distance(words) <= most).select("a", "b")
+
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
     shared = stored(members.join(sizes, "key"), "buckets")
-    small = shared.where(F.col("n") <= SMALL).select("key", "id")
-    few = _pairs(small.withColumnRenamed("id", "a"), small.withColumnRenamed("id", "b"))
-    large = shared.where(F.col("n") > SMALL)
-    hubs = large.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = stored(verify(few.unionByName(hubs).distinct()), "verified")
-    opened = large.select("key", "id")
+    first = shared.where("hub < id").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = stored(verify(near(first)), "verified")
+    opened = shared.select("key", "id")
     for turn in range(ROUNDS + 1):
         parts = components(links)
         labelled = opened.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("part")
         )
-        # Buckets whose members are not all connected yet.
-        apart = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        rest = stored(labelled.join(apart, "key"), "apart")
+        # One member of the lowest part of each bucket and one of the highest, chosen anew each time.
+        choice = F.struct("part", F.xxhash64("id", F.lit(turn)), "id")
+        ends = labelled.groupBy("key").agg(F.min(choice).alias("low"), F.max(choice).alias("high")).where("low.part <> high.part")
+        rest = stored(
+            labelled.join(ends.select("key", "low.part", F.col("low.id").alias("low"), F.col("high.id").alias("high")).withColumnRenamed("part", "low_part"), "key"),
+            "apart",
+        )
         if rest.isEmpty():
-            return links
+            break
         if turn < ROUNDS:
-            # The first member of the part that is furthest from the lowest, against all members of other parts.
-            lead = rest.where("part = high").groupBy("key").agg(F.min("id").alias("lead"))
-            pairs = rest.join(lead, "key").where("part <> high").select(
-                F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")
-            )
+            other = F.when(F.col("part") == F.col("low_part"), F.col("high")).otherwise(F.col("low"))
+            asked = rest.select("id", other.alias("other"))
+            chosen = asked.groupBy("id").agg(F.min_by("other", F.xxhash64("id", "other", F.lit(turn))).alias("other"))
+            pairs = near(chosen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         else:
-            left = rest.select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
-            right = rest.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"))
-            pairs = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
-        more = stored(verify(pairs.distinct()), "verified")
-        links = links.unionByName(more)
+            signed = rest.select("key", "id", "part").join(bits, "id")
+            left, right = (signed.toDF(*(c if c == "key" else f"{c}_{x}" for c in signed.columns)) for x in "ab")
+            apart = (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (_distance(words) <= most)
+            pairs = left.join(right, "key").where(apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        links = links.unionByName(stored(verify(pairs), "verified"))
         opened = rest.select("key", "id")
     return links
