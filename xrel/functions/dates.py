@@ -41,14 +41,16 @@ def _iso_from_epoch(ms: Column, date_only: bool) -> Column:
 def normalise_date(text: Column, hour: int = 0, minute: int = 0, second: int = 0, date_only: bool = False) -> Column:
     """ISO text for a date or date-time string; null when it is neither.
 
-    A bare date takes the given time of day in UTC (ignored when out of range);
-    a date-time without an offset is read as UTC.
+    A bare date, month or year takes the given time of day in UTC (ignored when out of range); a date-time, with or
+    without seconds and with T or a space, is read as UTC where it names no offset.
     """
     in_range = 0 <= hour <= 23 and 0 <= minute <= 59 and 0 <= second <= 59
     shift = (hour * 3600 + minute * 60 + second) * 1000 if in_range else 0
-    is_date = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    # The forms that are accepted.
+    is_date = text.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$")
     has_offset = text.rlike(r"[Tt ].*([Zz]|[+-]\d{2}:?\d{2})$")
-    as_instant = F.when(is_date, F.concat(text, F.lit("T00:00:00Z"))).when(has_offset, text)
+    day = F.concat(text, F.when(F.length(text) == 4, "-01-01").when(F.length(text) == 7, "-01").otherwise(""))
+    as_instant = F.when(is_date, F.concat(day, F.lit("T00:00:00Z"))).when(has_offset, text)
     instant = as_instant.otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
     ms = F.unix_millis(instant) + F.when(is_date, F.lit(shift)).otherwise(F.lit(0))
     return F.when(F.trim(text) != "", _iso_from_epoch(ms, date_only))

@@ -1,7 +1,8 @@
 """Aggregation documents: one header with related ids and keys per field.
 
-A document is one row while each of its fields has at most `part_rows` references; a hub is
-spread over several rows (`part_no`) by a hash of the key, so no task gathers a whole hub.
+A document is keyed by (type, key, part_no) and says how many parts it has (n_parts). Of a field with n references,
+ceil(n / part_rows) parts hold a share each, dealt by a fixed hash of the reference's key; most documents have one part.
+The rule is the same at every size, so no task gathers a whole hub.
 """
 
 from __future__ import annotations
@@ -22,27 +23,34 @@ PART_ROWS = 10_000
 BROADCAST_ROWS = 200_000
 
 
+def part_of(key: Column, parts: Column) -> Column:
+    """The part that a reference with this key belongs to. Fixed rule: other engines can work it out as well."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % parts
+
+
 def with_part(edges: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add `part_no`: 0 everywhere but in fields with more than `part_rows` edges.
+    """Add `part_no` and `n_parts`, the largest number of parts of any field of the source.
 
-    Hubs are counted first: mostly there are none and edges need no join, a list of known and
-    modest length is broadcast, and a longer one is joined like any table.
+    Fields with more than one part are counted first: mostly there are none and edges need no join, a list of known
+    and modest length is broadcast, and a longer one is joined like any table.
     """
     hubs = cut_lineage(
         edges.groupBy("src_id", "field")
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > part_rows)
-        .select("src_id", "field", F.ceil(F.col("_n") / F.lit(part_rows)).alias("_parts"))
+        .select("src_id", "field", F.ceil(F.col("_n") / F.lit(part_rows)).cast("bigint").alias("_parts"))
     )
     n_hubs = hubs.count()
     if n_hubs == 0:
-        return edges.withColumn("part_no", F.lit(0))
+        return edges.withColumns({"part_no": F.lit(0), "n_parts": F.lit(1)})
+    near = F.broadcast if n_hubs <= BROADCAST_ROWS else lambda df: df
+    most = hubs.groupBy("src_id").agg(F.max("_parts").alias("_most"))
     # Entries with one key stay together: the key map keeps one id per key.
-    spread = F.pmod(F.xxhash64(F.coalesce("dst_key", "dst_id")), F.col("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), part_of(F.coalesce("dst_key", "dst_id"), F.col("_parts"))).otherwise(F.lit(0))
     return (
-        edges.join(F.broadcast(hubs) if n_hubs <= BROADCAST_ROWS else hubs, ["src_id", "field"], "left")
-        .withColumn("part_no", F.coalesce(spread, F.lit(0)).cast("int"))
-        .drop("_parts")
+        edges.join(near(hubs), ["src_id", "field"], "left").join(near(most), "src_id", "left")
+        .withColumns({"part_no": part.cast("int"), "n_parts": F.coalesce("_most", F.lit(1)).cast("int")})
+        .drop("_parts", "_most")
     )
 
 
@@ -102,21 +110,21 @@ def build_docs(
     gathered = (
         with_part(edges.select("src_id", "field", "dst_id", "dst_key"), part_rows)
         .groupBy("src_id", "part_no")
-        .agg(*(_pairs_of(f).alias(f"_{f}") for f in fields))
+        .agg(F.max("n_parts").alias("n_parts"), *(_pairs_of(f).alias(f"_{f}") for f in fields))
     )
     # A source without edges of a field has an empty list; one without any edges has no row at all.
     lists = []
     for f, dst_type in fields.items():
         pairs = F.col(f"_{f}")
         lists += [_ids(pairs).alias(f), _key_map(pairs).alias(key_map_name(dst_type))]
-    gathered = gathered.select("src_id", "part_no", *lists)
+    gathered = gathered.select("src_id", "part_no", "n_parts", *lists)
     header = headers(entities, doc_type)
     if only is not None:
         header = header.join(only.select("id"), "id", "left_semi")
     joined = header.join(gathered, header["id"] == gathered["src_id"], "left").drop("src_id")
     no_ids = F.array().cast("array<string>")
     no_keys = F.create_map().cast("map<string,string>")
-    filled = {"part_no": F.coalesce("part_no", F.lit(0))}
+    filled = {"part_no": F.coalesce("part_no", F.lit(0)), "n_parts": F.coalesce("n_parts", F.lit(1))}
     for f, dst_type in fields.items():
         name = key_map_name(dst_type)
         filled[f] = F.coalesce(f, no_ids)
@@ -132,7 +140,7 @@ def all_docs(entities: EntitySet, part_rows: int = PART_ROWS) -> DataFrame:
 
 def flat_docs(docs: DataFrame, doc_type: str) -> DataFrame:
     """Documents with lists as sorted text, for comparing and for flat files."""
-    columns = ["external_key", "id", "name", "part_no"]
+    columns = ["external_key", "id", "name", "part_no", "n_parts"]
     for f, dst_type in TYPE_GRAPH[doc_type].items():
         entries = F.map_entries(key_map_name(dst_type))
         pairs = F.sort_array(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])))

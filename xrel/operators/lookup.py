@@ -15,20 +15,13 @@ def lookup_by_key(requests: DataFrame, rows: DataFrame) -> DataFrame:
 
     Requests without a match stay, with nulls.
     """
-    internal = F.lower("scope") == INTERNAL_SCOPE
-    # One equi-join serves both forms: each row answers to two names.
-    names = F.array(
-        F.struct(F.col("ext_scope").alias("scope"), F.col("ext_id").alias("key_id")),
-        F.struct(F.lit(INTERNAL_SCOPE).alias("scope"), F.col("id").alias("key_id")),
-    )
-    named = rows.withColumn("_n", F.explode(names)).withColumns({"_scope": F.col("_n.scope"), "_key_id": F.col("_n.key_id")})
-    asked = requests.withColumn("_scope", F.when(internal, F.lit(INTERNAL_SCOPE)).otherwise(F.col("scope")))
-    asked = asked.withColumnRenamed("key_id", "_key_id")
-    return (
-        asked.join(named.drop("_n"), ["_scope", "_key_id"], "left")
-        .drop("_scope")
-        .withColumnRenamed("_key_id", "key_id")
+    internal = F.coalesce(F.lower("scope") == INTERNAL_SCOPE, F.lit(False))
+    # One join per form of request, so the table behind is never doubled.
+    by_id = requests.where(internal).join(rows, F.col("key_id") == rows["id"], "left")
+    by_key = requests.where(~internal).join(
+        rows, (F.col("scope") == rows["ext_scope"]) & (F.col("key_id") == rows["ext_id"]), "left"
     )
+    return by_id.unionByName(by_key)
 
 
 def strip_private(rows: DataFrame, include_original: bool = False, include_stickies: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from xrel.functions.text import localised
 from xrel.operators import assemble as A
 from xrel.operators.edges import edges_of, reader
+from xrel.operators.lookup import PRIVATE
 from xrel.operators.relations import TYPE_GRAPH
 from xrel.plans import oracle
 from xrel.plans.registry import register
@@ -357,7 +358,8 @@ _ANSWER_TYPES = ["team", "venue", "stage"]
     "request",
     oracle.query(
         "select i.request_id, i.dst_type, i.dst_id as id, coalesce(t.name_en, s.name_en, case when v.lang = 'en' then v.name_en end) as name, "
-        "(select count(*) from w_rest o where o.request_id = i.request_id and o.dst_type = i.dst_type) as beyond "
+        "row_number() over (partition by i.request_id, i.dst_type order by coalesce(t.name_en, case when v.lang = 'en' then v.name_en end) desc nulls last, i.dst_id) as position, "
+        "(select count(*) from w_rest o where o.request_id = i.request_id and o.dst_type = i.dst_type) as beyond, 0 as private_columns "
         "from w_in i left join team t on i.dst_id = t.id left join stage s on i.dst_id = s.id left join venue v on i.dst_id = v.id",
         **_parts("competition", _ANSWER_ROUTES, _ANSWER_TYPES, 40),
     ),
@@ -369,7 +371,10 @@ def request(spark, sf_dir):
     asked = Request("competition", " team, venue,,stage,team", max_items=40, include={"all": ["name.en", "default_language"]})
     got = answer(es, reader(es), roots, asked)
     parts = [
-        rows.select("request_id", F.lit(t).alias("dst_type"), "id", localised(F.col("name"), F.col("default_language")).alias("name"))
+        rows.select(
+            "request_id", F.lit(t).alias("dst_type"), "id", localised(F.col("name"), F.col("default_language")).alias("name"), "position",
+            F.lit(sum(c in rows.columns for c in ("stickies", *PRIVATE))).alias("private_columns"),
+        )
         for t, rows in got.items.items()
     ]
     beyond = got.shape.select("request_id", "dst_type", F.col("overflow").alias("beyond"))

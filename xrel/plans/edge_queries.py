@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.operators.docs import build_docs, collapse_edges, flat_docs
+from xrel.operators.docs import PART_ROWS, build_docs, collapse_edges, flat_docs
 from xrel.operators.edges import all_edges, edges_from_type, edges_of, labelled
 from xrel.operators.relations import TYPE_GRAPH
 from xrel.plans import oracle
@@ -74,42 +74,68 @@ def all_edges_query(spark, sf_dir):
     )
 
 
+# Small parts, so that the test tables hold hubs.
+HUB_ROWS = 10
+
+
+def part_sql(edges: str, part_rows: int) -> str:
+    """Edges (src_id, field, dst_id, dst_key) with the part each belongs to and how many parts its field has."""
+    counted = f"select *, ceil(count(*) over (partition by src_id, field) / {part_rows}.0)::bigint as parts from ({edges})"
+    digits = "('0x' || substr(md5(coalesce(dst_key, dst_id)), 1, 8))::bigint"
+    return f"select *, case when parts > 1 then {digits} % parts else 0 end as part_no from ({counted})"
+
+
 @register(
     "collapse_edges",
     oracle.query(
-        "select src_id, field, string_agg(dst_id, ',' order by dst_id) as ids, string_agg(dst_key || '=' || dst_id, ',' order by dst_key || '=' || dst_id) as keys "
-        "from (select src_id, 'events' as field, dst_id, dst_key from e_team_events union all select src_id, 'sportsPersons', dst_id, dst_key from e_event_sportsPersons) group by all"
+        "select src_id, field, part_no::int as part_no, string_agg(dst_id, ',' order by dst_id) as ids, string_agg(dst_key || '=' || dst_id, ',' order by dst_key || '=' || dst_id) as keys "
+        "from p_all group by all",
+        p_all=part_sql("select src_id, 'events' as field, dst_id, dst_key from e_team_events union all select src_id, 'sportsPersons', dst_id, dst_key from e_event_sportsPersons", HUB_ROWS),
     ),
 )
 def collapse_edges_query(spark, sf_dir):
+    """Ids and key maps in parts of about HUB_ROWS references; teams have several of them."""
     es = tpch.entities(spark, sf_dir)
     edges = labelled(edges_of(es, "team", "events"), "team", "events").unionByName(
         labelled(edges_of(es, "event", "sportsPersons"), "event", "sportsPersons")
     )
     pairs = F.sort_array(F.transform(F.map_entries("keys"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return collapse_edges(cut_lineage(edges)).select(
-        "src_id", "field", F.array_join("ids", ",").alias("ids"), F.array_join(pairs, ",").alias("keys")
+    return collapse_edges(cut_lineage(edges), HUB_ROWS).select(
+        "src_id", "field", "part_no", F.array_join("ids", ",").alias("ids"), F.array_join(pairs, ",").alias("keys")
     )
 
 
-def doc_sql(doc_type: str) -> str:
-    """Documents of one type: header joined to one grouped list per field."""
+def doc_sql(doc_type: str, part_rows: int = PART_ROWS) -> str:
+    """Documents of one type: header joined to one grouped list per field and part."""
     name = "case when h.lang = 'en' then h.name_en end" if doc_type == "venue" else "h.name_en"
-    columns, joins = [], []
+    columns, joins, parted = [], [], []
     known = dict(oracle.fields_of(doc_type))
     for i, (f, dst) in enumerate(TYPE_GRAPH[doc_type].items()):
         if f not in known:
             columns.append(f"'' as \"{f}\", 0::bigint as \"n_{f}\", '' as \"{dst}Keys\"")
             continue
+        own = part_sql(f"select src_id, '{f}' as field, dst_id, dst_key from e_{doc_type}_{f}", part_rows)
+        parted.append(f"select src_id, part_no, parts from ({own})")
         joins.append(
-            f"left join (select src_id, string_agg(dst_id, ',' order by dst_id) as ids, count(*) as n, "
-            f"string_agg(dst_key || '=' || dst_id, ',' order by dst_key || '=' || dst_id) as k from e_{doc_type}_{f} group by 1) j{i} on j{i}.src_id = h.id"
+            f"left join (select src_id, part_no, string_agg(dst_id, ',' order by dst_id) as ids, count(*) as n, "
+            f"string_agg(dst_key || '=' || dst_id, ',' order by dst_key || '=' || dst_id) as k from ({own}) group by 1, 2) j{i} "
+            f"on j{i}.src_id = h.id and j{i}.part_no = coalesce(k.part_no, 0)"
         )
         columns.append(
             f"coalesce(j{i}.ids, '') as \"{f}\", coalesce(j{i}.n, 0)::bigint as \"n_{f}\", coalesce(j{i}.k, '') as \"{dst}Keys\""
         )
-    header = f"h.external_key, h.id, {name} as name, 0 as part_no"
-    return f"select {header}, {', '.join(columns)} from {oracle.table_of(doc_type)} h {' '.join(joins)}"
+    every = " union all ".join(parted)
+    places = f"left join (select distinct src_id, part_no, max(parts) over (partition by src_id) as n_parts from ({every})) k on k.src_id = h.id"
+    header = f"h.external_key, h.id, {name} as name, coalesce(k.part_no, 0)::int as part_no, coalesce(k.n_parts, 1)::int as n_parts"
+    return f"select {header}, {', '.join(columns)} from {oracle.table_of(doc_type)} h {places} {' '.join(joins)}"
+
+
+@register("doc_hubs", oracle.query(doc_sql("sgo", HUB_ROWS)))
+def doc_hubs(spark, sf_dir):
+    """Documents of governing bodies in parts of about HUB_ROWS references: each of them is a hub."""
+    es = tpch.entities(spark, sf_dir)
+    edges = cut_lineage(edges_from_type(es, "sgo").select("src_id", "field", "dst_id", "dst_key"))
+    return flat_docs(build_docs(es, "sgo", HUB_ROWS, edges=edges), "sgo")
 
 
 def _doc_query(doc_type):

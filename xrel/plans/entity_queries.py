@@ -13,9 +13,9 @@ from xrel.functions.text import WHITE_SPACE, camel_to_snake, localised, nbsp_to_
 from xrel.functions.version import content_version
 from xrel.operators import lookup
 from xrel.operators.docs import build_docs, flat_docs
-from xrel.operators.edges import edges_from_type, edges_of
+from xrel.operators.edges import edges_from_type, edges_of, edges_touching
 from xrel.plans import oracle
-from xrel.plans.edge_queries import doc_sql
+from xrel.plans.edge_queries import HUB_ROWS, doc_sql
 from xrel.plans.registry import register
 from xrel.session import cut_lineage
 from xrel.sources import schemas, tpch
@@ -133,15 +133,18 @@ def upsert_agg_docs(spark, sf_dir):
     "unique_key_check",
     "select 'l_orderkey,l_linenumber' as key, l_orderkey || '|' || l_linenumber as value, count(*) as n "
     "from lineitem group by l_orderkey, l_linenumber having count(*) > 1 "
-    "union all select 'o_orderkey', o_orderkey::varchar, count(*) from orders group by o_orderkey having count(*) > 1 "
     "union all select 'l_orderkey,l_partkey,l_suppkey', l_orderkey || '|' || l_partkey || '|' || l_suppkey, count(*) "
     "from lineitem group by l_orderkey, l_partkey, l_suppkey having count(*) > 1",
 )
 def unique_key_check(spark, sf_dir):
+    """Lines repeat their keys here and there; documents, also in many parts, never do."""
     lines = tpch.table(spark, sf_dir, "lineitem")
-    orders = tpch.table(spark, sf_dir, "orders")
+    es = tpch.entities(spark, sf_dir)
+    edges = cut_lineage(edges_from_type(es, "sgo").select("src_id", "field", "dst_id", "dst_key"))
+    docs = build_docs(es, "sgo", HUB_ROWS, edges=edges)
     of_lines = lookup.unique_key_violations(lines, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey"])
-    return of_lines.unionByName(lookup.unique_key_violations(orders, ["o_orderkey"]))
+    of_docs = lookup.unique_key_violations(docs, ["resource_type", "external_key", "part_no"], ["resource_type", "id", "part_no"])
+    return of_lines.unionByName(of_docs)
 
 
 @register(
@@ -159,9 +162,11 @@ def fetch_by_ids(spark, sf_dir):
 
 @register("read_agg_doc", oracle.query(f"select * from ({doc_sql('team')}) where external_key = '1 @ tpch'"))
 def read_agg_doc(spark, sf_dir):
+    """One document: only the edges of that row are resolved."""
     es = tpch.entities(spark, sf_dir)
-    edges = cut_lineage(edges_from_type(es, "team"))
-    docs = build_docs(es, "team", edges=edges)
+    asked = cut_lineage(es.rows("team").where("external_key = '1 @ tpch'").select("id"))
+    edges = cut_lineage(edges_touching(es, {"team": asked}).where("src_type = 'team'"))
+    docs = build_docs(es, "team", edges=edges, only=asked)
     return flat_docs(lookup.read_doc(docs, "team", "1 @ tpch"), "team")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from xrel.plans.registry import register
+from xrel.session import cut_lineage
 from xrel.sources import tpch
 
 _MONEY = "decimal(18,2)"
@@ -50,30 +51,25 @@ def group_basic(spark, sf_dir):
 
 @register(
     "array_accumulators",
-    "with by_line as (select l_orderkey, l_linenumber, count(*) as n from lineitem group by all), first_order as (select l_orderkey, (select string_agg(x.l_linenumber || '*' || x.n, ',' order by x.l_linenumber) from by_line x where x.l_orderkey = lineitem.l_orderkey) as pushed, "
+    "select l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' order by l_shipdate, l_linenumber, l_partkey, l_suppkey) as pushed, "
     "string_agg(distinct l_returnflag, ',' order by l_returnflag) as added, "
-    "min(l_partkey) as first_part, max(l_partkey) as last_part from lineitem group by 1), "
-    "top as (select l_orderkey, l_partkey as top_part from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey desc) as rn from lineitem) where rn = 1) "
-    "select * from first_order join top using (l_orderkey)",
+    "arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) as first_part, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) as last_part, "
+    "arg_max(l_partkey, (l_extendedprice, l_partkey)) as top_part from lineitem group by 1",
 )
 def array_accumulators(spark, sf_dir):
-    """Pushed, distinct, first, last and top values per order.
+    """Per order: lines pushed in order of shipment, distinct flags, the first and last part by that order, the dearest.
 
-    The pushed list is shown as value*count: an order with very many lines still gives one short row,
-    as there are seven line numbers and three flags.
+    A pushed list is as long as its order has lines; that is the accumulator's feature.
     """
-    lines = tpch.table(spark, sf_dir, "lineitem")
-    by_value = lines.groupBy("l_orderkey", "l_linenumber").agg(
-        F.count("*").alias("n"), F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"),
-        F.max_by("l_partkey", F.struct("l_extendedprice", "l_partkey")).alias("top"), F.max("l_extendedprice").alias("price"),
-        F.sort_array(F.collect_set("l_returnflag")).alias("flags"),
-    )
-    pushed = F.struct("l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit("*"), F.col("n").cast("string")).alias("t"))
-    return by_value.groupBy("l_orderkey").agg(
-        F.array_join(F.sort_array(F.collect_list(pushed))["t"], ",").alias("pushed"),
-        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("flags")))), ",").alias("added"),
-        F.min("lo").alias("first_part"), F.max("hi").alias("last_part"),
-        F.max_by("top", F.struct("price", "top")).alias("top_part"),
+    order = F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    shown = F.concat_ws(":", "l_linenumber", "l_partkey")
+    pushed = F.sort_array(F.collect_list(F.struct(order.alias("o"), shown.alias("t"))))
+    return tpch.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_join(pushed["t"], ",").alias("pushed"),
+        F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("added"),
+        F.min_by("l_partkey", order).alias("first_part"),
+        F.max_by("l_partkey", order).alias("last_part"),
+        F.max_by("l_partkey", F.struct("l_extendedprice", "l_partkey")).alias("top_part"),
     )
 
 
@@ -156,9 +152,11 @@ def share_of_total(spark, sf_dir):
     by_customer = tpch.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(_money("o_totalprice")).alias("s"))
     customers = tpch.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     groups = by_customer.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("s").alias("sales"))
-    # At most one group per nation is left here.
-    share = F.col("sales").cast("double") / F.sum("sales").over(Window.partitionBy()).cast("double")
-    return groups.select("c_nationkey", F.col("sales").cast("double").alias("sales"), F.round(share * 100, 6).alias("percentage"))
+    groups = cut_lineage(groups)
+    total = groups.agg(F.sum("sales").alias("total"))
+    share = F.col("sales").cast("double") / F.col("total").cast("double")
+    # One row.
+    return groups.join(F.broadcast(total)).select("c_nationkey", F.col("sales").cast("double").alias("sales"), F.round(share * 100, 6).alias("percentage"))
 
 
 @register(
@@ -301,12 +299,12 @@ def engagement_by_weekday(spark, sf_dir):
 @register(
     "theta_lookup",
     "select o_orderkey, count(p_partkey) as available, coalesce(min(p_partkey), -1) as first_part from orders left join "
-    "(select distinct l_orderkey, l_partkey, l_shipdate from lineitem where l_shipdate <= timestamp '2000-06-30') on l_orderkey = o_orderkey and l_shipdate <= o_orderdate + interval 60 days "
+    "(select distinct l_orderkey, l_partkey, l_shipdate from lineitem) on l_orderkey = o_orderkey and l_shipdate <= o_orderdate + interval 60 days "
     "left join part on p_partkey = l_partkey group by 1",
 )
 def theta_lookup(spark, sf_dir):
     """Membership as an equi-join, the date bound as a condition on the joined pair."""
-    lines = tpch.table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'2000-06-30 00:00:00'").select("l_orderkey", "l_partkey", "l_shipdate").distinct()
+    lines = tpch.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate").distinct()
     orders = tpch.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     parts = tpch.table(spark, sf_dir, "part").select("p_partkey")
     on = F.expr("l_orderkey = o_orderkey and l_shipdate <= o_orderdate + interval 60 days")

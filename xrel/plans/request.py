@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from xrel.operators import assemble as A
 from xrel.operators import paths as P
 from xrel.operators.edges import EdgeReader
+from xrel.operators.lookup import strip_private
 from xrel.operators.project import project
 from xrel.operators.relations import TYPE_GRAPH, type_aliases, type_edges
 from xrel.session import cut_lineage
@@ -38,7 +40,9 @@ class Request:
 
 @dataclass(frozen=True)
 class Response:
+    # Rows of each type with their position within the request, without private columns.
     items: dict[str, DataFrame]
+    limit: int
     shape: DataFrame
     counts: DataFrame
     pages: DataFrame
@@ -92,12 +96,15 @@ def answer(entities: EntitySet, read: EdgeReader, roots: DataFrame, request: Req
     got = A.assemble(chosen, request.root_type, routes, types, read, request.max_items)
     included, rest = cut_lineage(got.included), cut_lineage(got.overflow)
     items = {}
-    for t, rows in A.materialise(included, {t: entities.rows(t) for t in types}).items():
+    places = A.sort_items(included, entities, types).select("request_id", "dst_type", "id", "position")
+    for t, rows in A.materialise(included, {t: strip_private(entities.rows(t)) for t in types}).items():
+        rows = rows.join(places.where(F.col("dst_type") == t).drop("dst_type"), ["request_id", "id"])
         include = [*request.include.get("all", []), *request.include.get(t, [])]
         exclude = [*request.exclude.get("all", []), *request.exclude.get(t, [])]
-        items[t] = project(rows, ["request_id", *include] if include else [], exclude)
+        items[t] = project(rows, ["request_id", "position", *include] if include else [], exclude)
     return Response(
         items,
+        A.item_limit(request.max_items),
         A.result_shape(chosen, included, rest, types, routes),
         A.counts(got.ids),
         A.overflow_pages(rest, A.item_limit(request.max_items)),
