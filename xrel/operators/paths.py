@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from xrel.operators.relations import SCOPED_TYPES
 from xrel.session import cut_lineage
 
-# Limits on route search.
+# Limits of a served request. As parameters of a search they may be None: simple paths end by themselves.
 DERIVED_DEPTH = 6
 REQUEST_DEPTH = 8
 EDGE_SET_DEPTH = 12
@@ -33,8 +34,12 @@ def reachable_types(graph: DataFrame, roots: DataFrame) -> DataFrame:
         seen = cut_lineage(seen.unionByName(frontier))
 
 
-def _scoped(node: str, scoped: tuple[str, ...]) -> Column:
-    return F.col(node).isin(*scoped)
+# Which nodes are scoped: their names, or a rule on the name.
+Scope = tuple[str, ...] | Callable[[Column], Column]
+
+
+def _scoped(node: str, scoped: Scope) -> Column:
+    return scoped(F.col(node)) if callable(scoped) else F.col(node).isin(*scoped)
 
 
 def _start(roots: DataFrame, *carried: str) -> DataFrame:
@@ -49,7 +54,7 @@ def _start(roots: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def _extend(level: DataFrame, graph: DataFrame, on: Column, scoped: tuple[str, ...], *carried: str) -> DataFrame:
+def _extend(level: DataFrame, graph: DataFrame, on: Column, scoped: Scope, *carried: str) -> DataFrame:
     """One hop further along edges to nodes not yet on the path."""
     crosses = (_scoped("from_type", scoped) != _scoped("to_type", scoped)).cast("int")
     return (
@@ -68,7 +73,7 @@ def _extend(level: DataFrame, graph: DataFrame, on: Column, scoped: tuple[str, .
 
 
 def constrained_paths(
-    graph: DataFrame, roots: DataFrame, max_depth: int = DERIVED_DEPTH, scoped: tuple[str, ...] = SCOPED_TYPES
+    graph: DataFrame, roots: DataFrame, max_depth: int | None = DERIVED_DEPTH, scoped: Scope = SCOPED_TYPES
 ) -> DataFrame:
     """All simple paths from each root, of up to `max_depth` hops, with their end as `target`.
 
@@ -80,7 +85,7 @@ def constrained_paths(
     at_end = F.col("target") == F.col("from_type")
     level = _start(roots.select("root").distinct())
     found = []
-    for _ in range(max_depth):
+    while max_depth is None or len(found) < max_depth:
         level = cut_lineage(_extend(level, graph, at_end & allowed, scoped))
         if level.isEmpty():
             break
@@ -94,10 +99,12 @@ def best_paths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("root", "target").agg(first).select("root", "target", "b.*")
 
 
-def derive_routes(requests: DataFrame, graph: DataFrame, max_depth: int = DERIVED_DEPTH) -> tuple[DataFrame, DataFrame]:
+def derive_routes(
+    requests: DataFrame, graph: DataFrame, max_depth: int | None = DERIVED_DEPTH, scoped: Scope = SCOPED_TYPES
+) -> tuple[DataFrame, DataFrame]:
     """Routes and errors for requests of (request_id, root, target). A root asked for itself needs no route."""
     asked = requests.where(F.col("root") != F.col("target"))
-    best = cut_lineage(best_paths(constrained_paths(graph, asked.select("root"), max_depth)))
+    best = cut_lineage(best_paths(constrained_paths(graph, asked.select("root"), max_depth, scoped)))
     key = F.concat("target", F.lit("_"), F.col("hops").cast("string"), F.lit("hops"))
     routes = asked.join(best, ["root", "target"]).select(
         "request_id", "root", "target", key.alias("route_key"), "hops", F.col("path").alias("via")
@@ -128,19 +135,19 @@ def allowed_edge_routes(
     specs: DataFrame,
     graph: DataFrame,
     aliases: DataFrame,
-    max_depth: int = EDGE_SET_DEPTH,
-    max_routes: int = EDGE_SET_ROUTES,
+    max_depth: int | None = EDGE_SET_DEPTH,
+    max_routes: int | None = EDGE_SET_ROUTES,
 ) -> DataFrame:
     """All simple routes from `root` over the allowed edges that end on one of `views` (an array).
 
-    Specs are (spec_id, root, edges, views). The route limit is part of the request: routes are
-    numbered by depth and text, and those numbered above it are not returned.
+    Specs are (spec_id, root, edges, views). Routes are numbered by depth and text; those numbered above `max_routes`
+    are not returned, and `n_routes` says how many there were within the depth.
     """
     edges = cut_lineage(allowed_edges(specs, graph, aliases).withColumnRenamed("spec_id", "_spec"))
     level = _start(specs, "spec_id")
     at_end = F.expr("spec_id = _spec and target = from_type")
     found = []
-    for _ in range(max_depth):
+    while max_depth is None or len(found) < max_depth:
         level = cut_lineage(_extend(level, edges, at_end, SCOPED_TYPES, "spec_id"))
         if level.isEmpty():
             break
@@ -149,12 +156,10 @@ def allowed_edge_routes(
     wanted = specs.select("spec_id", F.explode("views").alias("target")).distinct()
     number = F.row_number().over(Window.partitionBy("spec_id").orderBy("hops", "path"))
     key = F.concat("target", F.lit("_"), F.substring(F.sha2("path", 256), 1, 8))
-    return (
-        paths.join(wanted, ["spec_id", "target"])
-        .withColumn("route_no", number)
-        .where(F.col("route_no") <= max_routes)
-        .select("spec_id", "route_no", "root", "target", key.alias("route_key"), "hops", F.col("path").alias("via"))
-    )
+    total = F.count("*").over(Window.partitionBy("spec_id"))
+    numbered = paths.join(wanted, ["spec_id", "target"]).withColumns({"route_no": number, "n_routes": total})
+    kept = numbered if max_routes is None else numbered.where(F.col("route_no") <= max_routes)
+    return kept.select("spec_id", "route_no", "n_routes", "root", "target", key.alias("route_key"), "hops", F.col("path").alias("via"))
 
 
 def validate_routes(routes: DataFrame, graph: DataFrame) -> DataFrame:

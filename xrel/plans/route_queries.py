@@ -1,51 +1,91 @@
-"""Route search for requests derived from the customer table."""
+"""Route search over graphs that come from the tables: who orders what, from where, and how urgently."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xrel.operators import paths as P
 from xrel.operators.edges import all_edges
-from xrel.operators.relations import SCOPED_TYPES, TYPE_ALIAS, TYPE_GRAPH, type_aliases, type_edges
+from xrel.operators.relations import TYPE_GRAPH, type_edges
 from xrel.plans import oracle
 from xrel.plans.registry import register
 from xrel.session import cut_lineage
 from xrel.sources import tpch
 
-_TYPES = list(TYPE_GRAPH)
+_TYPE_GRAPH_SQL = "select * from (values " + ", ".join(
+    f"('{s}', '{f}', '{t}')" for s, fields in TYPE_GRAPH.items() for f, t in fields.items()
+) + ") g(from_type, field, to_type)"
 
+# Nodes are named kind:value; a field is named after the node it leads to.
+_LINKS_SQL = (
+    "select distinct 'region:' || n_regionkey as from_type, 'nation:' || n_nationkey as to_type from nation union "
+    "select distinct 'nation:' || c_nationkey, 'segment:' || c_mktsegment from customer union "
+    "select distinct 'segment:' || c_mktsegment, 'priority:' || o_orderpriority from orders join customer on o_custkey = c_custkey union "
+    "select distinct 'priority:' || o_orderpriority, 'region:' || n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+)
+_GRAPH_SQL = f"select from_type, replace(to_type, ':', '_') as field, to_type from ({_LINKS_SQL})"
+# Every customer asks from its region for its segment, its nation, the priority of urgent orders, or what nobody has.
+_REQUESTS_SQL = (
+    "select c_custkey as request_id, 'region:' || n_regionkey as root, case c_custkey % 4 when 0 then 'segment:' || c_mktsegment "
+    "when 1 then 'nation:' || c_nationkey when 2 then 'priority:' || coalesce(p, 'none') else 'segment:' || upper(c_name) end as target "
+    "from customer join nation on c_nationkey = n_nationkey left join (select o_custkey, min(o_orderpriority) as p from orders group by 1) on o_custkey = c_custkey"
+)
 
-def _sql_list(items) -> str:
-    return "[" + ", ".join(f"'{i}'" for i in items) + "]"
 
+def _graph(spark, sf_dir) -> DataFrame:
+    nations = tpch.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    customers = tpch.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    orders = tpch.table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
+    bought = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "c_nationkey", "o_orderpriority").distinct()
+    links = (
+        nations.select(node("region", "n_regionkey").alias("from_type"), node("nation", "n_nationkey").alias("to_type"))
+        .union(customers.select(node("nation", "c_nationkey"), node("segment", "c_mktsegment")))
+        .union(bought.select(node("segment", "c_mktsegment"), node("priority", "o_orderpriority")))
+        .union(bought.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(node("priority", "o_orderpriority"), node("region", "n_regionkey")))
+        .distinct()
+    )
+    # Read once per hop.
+    return cut_lineage(links.select("from_type", F.replace("to_type", F.lit(":"), F.lit("_")).alias("field"), "to_type"))
 
-def _spark_list(items):
-    return F.array(*(F.lit(i) for i in items))
 
+def _requests(spark, sf_dir) -> DataFrame:
+    nations = tpch.table(spark, sf_dir, "nation")
+    customers = tpch.table(spark, sf_dir, "customer")
+    first = tpch.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"))
+    turn = F.col("c_custkey") % 4
+    target = (
+        F.when(turn == 0, F.concat(F.lit("segment:"), "c_mktsegment"))
+        .when(turn == 1, F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")))
+        .when(turn == 2, F.concat(F.lit("priority:"), F.coalesce("p", F.lit("none"))))
+        .otherwise(F.concat(F.lit("segment:"), F.upper("c_name")))
+    )
+    return (
+        customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(first, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("root"), target.alias("target"))
+    )
 
-_GRAPH_SQL = "select * from (values " + ", ".join(
-    f"('{s}', '{f}', '{t}')" for s, fields in TYPE_GRAPH.items() for f, t in fields.items()
-) + ") g(from_type, field, to_type)"
-_ALIAS_SQL = "select * from (values " + ", ".join(
-    f"('{n.lower()}', '{t}')" for t, a in TYPE_ALIAS.items() for n in (t, a)
-) + ") a(alias, type)"
-# A customer's nation picks the root, the customer number the target.
-_REQUESTS_SQL = (
-    f"select c_custkey as request_id, {_sql_list(_TYPES)}[c_nationkey % 12 + 1] as root, {_sql_list(_TYPES)}[c_custkey % 12 + 1] as target from customer"
-)
-_SCOPED_SQL = "(" + ", ".join(f"'{t}'" for t in SCOPED_TYPES) + ")"
+
+def _of_orders(node: Column) -> Column:
+    """Nodes on the side of the orders are scoped."""
+    return node.startswith("segment:") | node.startswith("priority:")
+
+
+def _scoped_sql(node: str) -> str:
+    return f"regexp_matches({node}, '^(segment|priority):')"
 
 
 def _paths_sql(depth: int) -> str:
+    root, src, dst = (_scoped_sql(c) for c in ("p.root", "g.from_type", "g.to_type"))
     return (
         f"select root, root as target, [root] as visited, 0 as hops, 0 as toggles, '' as path from (select distinct root from r_requests) "
         f"union all select p.root, g.to_type, list_append(p.visited, g.to_type), p.hops + 1, "
-        f"p.toggles + case when (g.from_type in {_SCOPED_SQL}) <> (g.to_type in {_SCOPED_SQL}) then 1 else 0 end, "
+        f"p.toggles + case when {src} <> {dst} then 1 else 0 end, "
         f"p.path || case when p.hops > 0 then '|' else '' end || g.from_type || '.' || g.field || '->' || g.to_type "
         f"from r_paths p join r_graph g on p.target = g.from_type where p.hops < {depth} and not list_contains(p.visited, g.to_type) "
-        f"and case when p.root in {_SCOPED_SQL} then g.from_type in {_SCOPED_SQL} or g.to_type not in {_SCOPED_SQL} "
-        f"else not (g.from_type in {_SCOPED_SQL} and g.to_type in {_SCOPED_SQL}) end"
+        f"and case when {root} then {src} or not {dst} else not ({src} and {dst}) end"
     )
 
 
@@ -58,21 +98,12 @@ def _route_parts(depth: int = P.DERIVED_DEPTH) -> dict[str, str]:
     }
 
 
-def _requests(spark, sf_dir) -> DataFrame:
-    names = _spark_list(_TYPES)
-    return tpch.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("request_id"),
-        F.get(names, F.col("c_nationkey") % 12).alias("root"),
-        F.get(names, (F.col("c_custkey") % 12).cast("int")).alias("target"),
-    )
-
-
 @register(
     "type_edges",
     oracle.query(
         "select g.from_type, g.field, g.to_type, count(e.src_id) as n from r_graph g left join all_edges e "
         "on e.src_type = g.from_type and e.field = g.field group by all",
-        r_graph=_GRAPH_SQL,
+        r_graph=_TYPE_GRAPH_SQL,
     ),
 )
 def type_edges_query(spark, sf_dir):
@@ -81,18 +112,32 @@ def type_edges_query(spark, sf_dir):
     return type_edges(spark).join(seen, ["from_type", "field"], "left").fillna(0, ["n"])
 
 
+_ALIAS_SQL = (
+    "select distinct lower(c_mktsegment) as alias, 'segment:' || c_mktsegment as type from customer union "
+    "select distinct lower(c_mktsegment[1:2]), 'segment:' || c_mktsegment from customer"
+)
+
+
+def _aliases(spark, sf_dir) -> DataFrame:
+    """Every accepted spelling of a segment, in lower case: its name, and its first two letters."""
+    segments = tpch.table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    spelled = F.explode(F.array(F.lower("c_mktsegment"), F.lower(F.substring("c_mktsegment", 1, 2))))
+    return segments.select(spelled.alias("alias"), F.concat(F.lit("segment:"), "c_mktsegment").alias("type")).distinct()
+
+
 @register(
     "type_alias",
     oracle.query(
-        "select c_custkey, spelled, type from (select c_custkey, "
-        "['C', 'stage', 'e', 'TEAM', 'x', 'sportsperson', 'K', 'b', ''][c_custkey % 9 + 1] as spelled from customer) left join r_alias on lower(spelled) = alias",
+        "select c_custkey, spelled, type from (select c_custkey, case c_custkey % 4 when 0 then lower(c_mktsegment) when 1 then c_mktsegment[1:2] "
+        "when 2 then c_name else c_mktsegment end as spelled from customer) left join r_alias on lower(spelled) = alias",
         r_alias=_ALIAS_SQL,
     ),
 )
 def type_alias_query(spark, sf_dir):
-    spelled = F.get(_spark_list(["C", "stage", "e", "TEAM", "x", "sportsperson", "K", "b", ""]), (F.col("c_custkey") % 9).cast("int"))
-    rows = tpch.table(spark, sf_dir, "customer").select("c_custkey", spelled.alias("spelled"))
-    return rows.join(type_aliases(spark), F.lower("spelled") == F.col("alias"), "left").select("c_custkey", "spelled", "type")
+    turn = F.col("c_custkey") % 4
+    spelled = F.when(turn == 0, F.lower("c_mktsegment")).when(turn == 1, F.substring("c_mktsegment", 1, 2)).when(turn == 2, F.col("c_name"))
+    rows = tpch.table(spark, sf_dir, "customer").select("c_custkey", spelled.otherwise(F.col("c_mktsegment")).alias("spelled"))
+    return rows.join(_aliases(spark, sf_dir), F.lower("spelled") == F.col("alias"), "left").select("c_custkey", "spelled", "type")
 
 
 @register(
@@ -107,7 +152,7 @@ def type_alias_query(spark, sf_dir):
 )
 def reachable_types(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    reach = P.reachable_types(type_edges(spark), requests.select("root").distinct())
+    reach = P.reachable_types(_graph(spark, sf_dir), requests.select("root").distinct())
     reach = reach.select("root", F.col("type").alias("target"), F.lit(True).alias("reached"))
     return requests.join(reach, ["root", "target"], "left").fillna(False, ["reached"])
 
@@ -122,7 +167,7 @@ def reachable_types(spark, sf_dir):
 )
 def constrained_paths(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    found = P.constrained_paths(type_edges(spark), requests).groupBy("root", "target").agg(
+    found = P.constrained_paths(_graph(spark, sf_dir), requests, scoped=_of_orders).groupBy("root", "target").agg(
         F.count("*").alias("n"), F.min("hops").cast("bigint").alias("fewest"),
         F.max("hops").cast("bigint").alias("most"), F.min("path").alias("first_path"),
     )
@@ -138,7 +183,7 @@ def constrained_paths(spark, sf_dir):
 )
 def best_path(spark, sf_dir):
     requests = _requests(spark, sf_dir)
-    best = P.best_paths(P.constrained_paths(type_edges(spark), requests, P.REQUEST_DEPTH))
+    best = P.best_paths(P.constrained_paths(_graph(spark, sf_dir), requests, P.REQUEST_DEPTH, _of_orders))
     return requests.join(best, ["root", "target"])
 
 
@@ -152,24 +197,21 @@ def best_path(spark, sf_dir):
     ),
 )
 def derive_routes(spark, sf_dir):
-    routes, errors = P.derive_routes(_requests(spark, sf_dir), type_edges(spark))
+    routes, errors = P.derive_routes(_requests(spark, sf_dir), _graph(spark, sf_dir), scoped=_of_orders)
     return routes.drop("hops").unionByName(errors, allowMissingColumns=True)
 
 
-# Edge lists as users write them: any order, names or letters, some of them no edge at all.
-_SPECS = [
-    ("competition", "event.team, c.stage, stage.event, competition.sgo, o.t", ["team"]),
-    ("event", "e.t,e.v,e.k,t.f,f.p, e.p,p.f", ["team", "venue", "staff", "keyMoment"]),
-    ("competition", "C.S,s.E,e.t,t.c,e.s,s.c,E.V", ["stage", "venue", "competition"]),
-    ("team", "bogus, a.b.c, ., team, t., t.c", ["team", "competition"]),
-    ("sgo", "o.t,t.b,b.v,v.n,n.t,o.v,v.t,t.n,n.v,b.t,v.b", ["venue", "nation", "club"]),
-]
-_SPEC_SQL = "select * from (values " + ", ".join(
-    f"({i}, '{root}', '{edges}', {_sql_list(views)})" for i, (root, edges, views) in enumerate(_SPECS)
-) + ") s(spec_id, root, edges, views)"
+# One list of allowed edges per nation, as text: from its region to it, on to its segments and their priorities, and a
+# part that names no edge. Its customers' segments and the priorities of their orders are wanted.
+_SPEC_SQL = (
+    "select n_nationkey as spec_id, 'region:' || n_regionkey as root, "
+    "'no edge,region:' || n_regionkey || ' . NATION:' || n_nationkey || ',' || (select string_agg(from_type || '.' || to_type, ',') from r_graph g "
+    "where g.from_type = 'nation:' || n_nationkey or g.from_type like 'segment:%') as edges, "
+    "(select list(distinct to_type) from r_graph g where g.from_type = 'nation:' || n_nationkey or g.to_type like 'priority:%') as views from nation"
+)
 _ALLOWED_PARTS = {
     "r_graph": _GRAPH_SQL,
-    "r_alias": _ALIAS_SQL,
+    "r_alias": "select distinct lower(from_type) as alias, from_type as type from r_graph union select distinct lower(to_type), to_type from r_graph",
     "r_spec": _SPEC_SQL,
     "r_pair": "select spec_id, string_split(trim(unnest(string_split(edges, ','))), '.') as p from r_spec",
     "r_allowed": "select distinct spec_id, g.from_type, g.field, g.to_type from r_pair join r_alias a on lower(trim(p[1])) = a.alias "
@@ -177,63 +219,99 @@ _ALLOWED_PARTS = {
     "r_walk": "select spec_id, root, root as target, [root] as visited, 0 as hops, '' as path from r_spec union all "
     "select w.spec_id, w.root, g.to_type, list_append(w.visited, g.to_type), w.hops + 1, "
     "w.path || case when w.hops > 0 then '|' else '' end || g.from_type || '.' || g.field || '->' || g.to_type "
-    "from r_walk w join r_allowed g on g.spec_id = w.spec_id and g.from_type = w.target where w.hops < 12 and not list_contains(w.visited, g.to_type)",
-    "r_ends": "select w.*, row_number() over (partition by w.spec_id order by hops, path) as route_no from r_walk w join r_spec s on s.spec_id = w.spec_id and list_contains(s.views, w.target) where hops > 0",
+    "from r_walk w join r_allowed g on g.spec_id = w.spec_id and g.from_type = w.target where not list_contains(w.visited, g.to_type)",
+    "r_ends": "select w.*, row_number() over (partition by w.spec_id order by hops, path) as route_no, count(*) over (partition by w.spec_id) as n_routes "
+    "from r_walk w join r_spec s on s.spec_id = w.spec_id and list_contains(s.views, w.target) where hops > 0",
 }
 
 
 @register(
     "allowed_edge_routes",
     oracle.query(
-        "select c_custkey as request_id, e.route_no, e.root, e.target, e.target || '_' || substr(sha256(e.path), 1, 8) as route_key, e.hops::int as hops, e.path as via "
-        "from customer join r_ends e on c_nationkey % 5 = e.spec_id where route_no <= 2000",
+        "select spec_id, route_no, n_routes, root, target, target || '_' || substr(sha256(path), 1, 8) as route_key, hops::int as hops, path as via from r_ends",
         **_ALLOWED_PARTS,
     ),
 )
 def allowed_edge_routes(spark, sf_dir):
-    """Requests that ask the same share one search."""
-    spec = F.get(F.array(*(F.struct(F.lit(r).alias("root"), F.lit(e).alias("edges"), _spark_list(v).alias("views")) for r, e, v in _SPECS)), F.col("c_nationkey") % 5)
-    requests = tpch.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), spec.alias("s")).select("request_id", "s.*")
-    requests = requests.withColumn("spec_id", F.xxhash64("root", "edges", F.array_join("views", ",")))
-    specs = cut_lineage(requests.select("spec_id", "root", "edges", "views").distinct())
-    routes = P.allowed_edge_routes(specs, type_edges(spark), type_aliases(spark))
-    return (
-        requests.select("request_id", "spec_id").join(routes, "spec_id").drop("spec_id")
-        .withColumn("route_no", F.col("route_no").cast("bigint"))
+    """Routes of every nation's list, without limits."""
+    graph = _graph(spark, sf_dir)
+    nodes = graph.select(F.col("from_type").alias("type")).union(graph.select("to_type")).distinct()
+    nations = tpch.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("spec_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("nation"),
+        F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("root"),
+    )
+    # A nation has a few segments, and they a few priorities.
+    own = graph.select(F.col("from_type").alias("nation"), F.concat_ws(".", "from_type", "to_type").alias("pair"), F.col("to_type").alias("view"))
+    shared = graph.where(F.col("from_type").startswith("segment:")).agg(F.array_join(F.collect_set(F.concat_ws(".", "from_type", "to_type")), ",").alias("shared"))
+    wanted = graph.where(F.col("to_type").startswith("priority:")).agg(F.collect_set("to_type").alias("wanted"))
+    mine = own.groupBy("nation").agg(F.array_join(F.collect_list("pair"), ",").alias("pairs"), F.collect_set("view").alias("views"))
+    specs = nations.join(mine, "nation", "left").join(F.broadcast(shared)).join(F.broadcast(wanted)).select(
+        "spec_id", "root",
+        F.concat_ws(",", F.lit("no edge"), F.concat("root", F.lit(" . "), F.regexp_replace("nation", "nation", "NATION")), "pairs", "shared").alias("edges"),
+        F.array_distinct(F.concat(F.coalesce("views", F.array().cast("array<string>")), "wanted")).alias("views"),
     )
+    aliases = nodes.select(F.lower("type").alias("alias"), "type")
+    routes = P.allowed_edge_routes(cut_lineage(specs), graph, aliases, None, None)
+    return routes.withColumn("route_no", F.col("route_no").cast("bigint"))
+
+
+# Every order's route from its region to its priority, most of them spoilt in some way by its number.
+_CANDIDATES_SQL = (
+    "select o_orderkey as route_key, root, case o_orderkey % 8 when 5 then b else d end as target, case o_orderkey % 8 "
+    "when 1 then [root || '.' || replace(b, ':', '_') || '->' || b, c || '.' || replace(d, ':', '_') || '->' || d] "
+    "when 2 then [root || '.' || replace(b, ':', '_') || '->' || b, b || '.segment->' || c] "
+    "when 3 then [root || '.' || replace(b, ':', '_') || '->' || c] when 4 then [] "
+    "when 6 then [h1, h2, h3, d || '.' || replace(root, ':', '_') || '->' || root] when 7 then [h1, replace(h2, '.', ' '), h3] "
+    "else [h1, h2, h3] end::varchar[] as via from (select *, root || '.' || replace(b, ':', '_') || '->' || b as h1, "
+    "b || '.' || replace(c, ':', '_') || '->' || c as h2, c || '.' || replace(d, ':', '_') || '->' || d as h3 from "
+    "(select o_orderkey, 'region:' || n_regionkey as root, 'nation:' || c_nationkey as b, 'segment:' || c_mktsegment as c, 'priority:' || o_orderpriority as d "
+    "from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey))"
+)
 
 
-_S, _E, _T = "competition.stages->stage", "stage.events->event", "event.teams->team"
-# Routes with and without faults: (root, declared end, hops).
-_CANDIDATES = [
-    ("competition", "team", [_S, _E, _T]),
-    ("competition", "event", [_S, _T]),
-    ("competition", "stage", ["competition.phases->stage"]),
-    ("competition", "stage", [_S, "stage.events->venue"]),
-    ("competition", "competition", [_S, "stage.competitions->competition"]),
-    ("competition", "team", [_S, _E]),
-    ("competition", "stage", []),
-    ("event", "team", [_S, _E, _T]),
-    ("competition", "stage", ["competition->stage"]),
-    ("sgo", "sgo", ["sgo.sgos->sgo"]),
-    ("competition", "event", [_S, _E, "event.stages->stage", _E]),
-]
-_FAULTS = {1: (1, "non_contiguous"), 2: (0, "unknown_edge"), 3: (1, "wrong_target"), 4: (1, "cycle"), 5: (1, "wrong_end"), 6: (0, "empty"),
-           7: (0, "non_contiguous"), 8: (0, "bad_edge"), 9: (0, "cycle"), 10: (2, "cycle")}
+def _route_candidates(spark, sf_dir) -> DataFrame:
+    orders = tpch.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    customers = tpch.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nations = tpch.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "o_orderkey", node("region", "n_regionkey").alias("root"), node("nation", "c_nationkey").alias("b"),
+        node("segment", "c_mktsegment").alias("c"), node("priority", "o_orderpriority").alias("d"),
+    )
+    hop = lambda a, b, to=None: F.concat(a, F.lit("."), F.replace(F.col(b), F.lit(":"), F.lit("_")), F.lit("->"), to or b)
+    h1, h2, h3 = hop("root", "b"), hop("b", "c"), hop("c", "d")
+    turn = F.col("o_orderkey") % 8
+    via = (
+        F.when(turn == 1, F.array(h1, h3))
+        .when(turn == 2, F.array(h1, F.concat("b", F.lit(".segment->"), "c")))
+        .when(turn == 3, F.array(hop("root", "b", "c")))
+        .when(turn == 4, F.array().cast("array<string>"))
+        .when(turn == 6, F.array(h1, h2, h3, hop("d", "root")))
+        .when(turn == 7, F.array(h1, F.replace(h2, F.lit("."), F.lit(" ")), h3))
+        .otherwise(F.array(h1, h2, h3))
+    )
+    target = F.when(turn == 5, F.col("b")).otherwise(F.col("d"))
+    return rows.select(F.col("o_orderkey").alias("route_key"), "root", target.alias("target"), via.alias("via"))
 
 
 @register(
     "validate_routes",
-    "select c_custkey as route_key, f.hop_no::int as hop_no, f.reason from customer join (values "
-    + ", ".join(f"({i}, {n}, '{r}')" for i, (n, r) in _FAULTS.items())
-    + f") f(i, hop_no, reason) on c_custkey % {len(_CANDIDATES)} = f.i",
+    oracle.query(
+        "select route_key, min(hop_no)::int as hop_no, arg_min(reason, hop_no) as reason from r_faults where reason is not null group by 1",
+        r_graph=_GRAPH_SQL,
+        r_routes=_CANDIDATES_SQL,
+        r_hops="select route_key, root, target, len(via) as n, i - 1 as hop_no, regexp_extract(via[i], '^([^.]+)\\.(.*?)->(.+)$', ['f', 'field', 't']) as h, via[i] as hop "
+        "from (select *, unnest(range(1, len(via) + 1)) as i from r_routes)".replace("\\\\", "\\"),
+        r_seen="select *, coalesce(lag(h.t) over (partition by route_key order by hop_no), root) as expected, "
+        "row_number() over (partition by route_key, hop order by hop_no) as used, row_number() over (partition by route_key, h.t order by hop_no) as reached from r_hops",
+        r_faults="select route_key, hop_no, case when h.f = '' then 'bad_edge' when h.f <> expected then 'non_contiguous' when g.to_type is null then 'unknown_edge' "
+        "when g.to_type <> h.t then 'wrong_target' when used > 1 then 'duplicate_edge' when h.t = root or reached > 1 then 'cycle' "
+        "when hop_no = n - 1 and h.t <> target then 'wrong_end' end as reason from r_seen left join r_graph g on g.from_type = h.f and g.field = h.field "
+        "union all select route_key, 0, 'empty' from r_routes where len(via) = 0",
+    ),
 )
 def validate_routes(spark, sf_dir):
-    listed = F.array(*(F.struct(F.lit(r).alias("root"), F.lit(t).alias("target"), _spark_list(v).cast("array<string>").alias("via")) for r, t, v in _CANDIDATES))
-    routes = tpch.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("route_key"), F.get(listed, (F.col("c_custkey") % len(_CANDIDATES)).cast("int")).alias("s")
-    )
-    return P.validate_routes(routes.select("route_key", "s.*"), type_edges(spark))
+    return P.validate_routes(_route_candidates(spark, sf_dir), _graph(spark, sf_dir))
 
 
 @register(
@@ -242,23 +320,29 @@ def validate_routes(spark, sf_dir):
         "select request_id, root, target as type, 'UNREACHABLE_BY_ROUTES' as reason from r_requests q "
         "where root <> target and exists (select 1 from r_reach x where x.root = q.root and x.target = q.target) "
         "and not exists (select 1 from r_graph g where g.from_type = q.root and g.to_type = q.target) "
-        "union all select request_id, root, 'sticker', 'UNREACHABLE_BY_GRAPH' from r_requests",
+        "union all select request_id, root, target, 'UNREACHABLE_BY_GRAPH' from r_requests where not exists (select 1 from r_reach x where x.root = r_requests.root and x.target = r_requests.target)",
         r_graph=_GRAPH_SQL,
         r_requests=_REQUESTS_SQL,
         r_reach="select root, root as target from (select distinct root from r_requests) union select p.root, g.to_type from r_reach p join r_graph g on p.target = g.from_type",
     ),
 )
 def reachability_check(spark, sf_dir):
-    """Routes of one hop each; every request also asks for a type the graph does not have."""
-    asked = _requests(spark, sf_dir).select("request_id", "root", F.explode(F.array("target", F.lit("sticker"))).alias("type"))
-    graph = type_edges(spark)
+    """Routes of one hop each; a quarter of the requests ask for a node the graph does not have."""
+    asked = _requests(spark, sf_dir).withColumnRenamed("target", "type")
+    graph = _graph(spark, sf_dir)
     one_hop = asked.join(graph, (F.col("root") == F.col("from_type")) & (F.col("type") == F.col("to_type"))).select("request_id", "type")
     return P.reachability_check(asked, graph, one_hop)
 
 
 @register(
     "key_moment_rule",
-    oracle.query("select request_id, root, target as view from r_requests where target = 'keyMoment' and root <> 'event'", r_requests=_REQUESTS_SQL),
+    "select event_id, case when event_id % 2 = 0 then 'event' else 'team' end as root, case event_type when 'view' then 'KeyMoment ' else event_type end as view "
+    "from events where event_type = 'view' and event_id % 2 = 1",
 )
 def key_moment_rule(spark, sf_dir):
-    return P.key_moment_rule(_requests(spark, sf_dir).withColumnRenamed("target", "view"))
+    """Every event record as a request: views ask for key moments, half of them from a team."""
+    rows = tpch.table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 2 == 0, "event").otherwise("team").alias("root"),
+        F.when(F.col("event_type") == "view", "KeyMoment ").otherwise(F.col("event_type")).alias("view"),
+    )
+    return P.key_moment_rule(rows)
