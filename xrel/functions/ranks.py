@@ -9,6 +9,10 @@ from xrel.session import cut_lineage
 
 # A group's cut points travel as one array, so their number is bounded.
 MAX_CUTS = 1024
+# Cut points of up to this many large groups, some tens of megabytes at most, are broadcast; those of more groups are
+# repeated once per salt, so that no group's rows meet in one task.
+BROADCAST_GROUPS = 1000
+SALTS = 32
 
 
 def distributed_rank(
@@ -33,7 +37,13 @@ def distributed_rank(
         .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
     )
     below = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-    ranged = df.join(cuts, group, "left").withColumn(
+    if large.count() <= BROADCAST_GROUPS:
+        near = df.join(F.broadcast(cuts), group, "left")
+    else:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
+        near = dealt.join(salted, [*group, "_salt"], "left").drop("_salt")
+    ranged = near.withColumn(
         "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
     )
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -223,32 +223,64 @@ def rebuild_closure(competitions: DataFrame, read: EdgeReader) -> DataFrame:
 
 
 def rebuild_tracking(attempted: DataFrame, entities: EntitySet, unsupported: tuple[str, ...] = ("keyMoment",)) -> DataFrame:
-    """Attempted nodes (type, key) with what became of them: completed, not_found or skipped."""
-    types = list(TYPE_GRAPH)
-    known = reduce(
-        DataFrame.unionByName,
-        [headers(entities, t).select(F.lit(t).alias("type"), F.col("external_key").alias("key")) for t in types],
-    ).distinct()
+    """Attempted nodes (type, key, error) with what became of them: skipped, failed, completed or not_found.
+
+    Only the attempted types are read, and of them only the keys asked for.
+    """
+    kinds = sorted(r.type for r in attempted.select("type").distinct().collect())
+    keys = attempted.select("type", "key").distinct()
+    parts = []
+    for t in kinds:
+        header = headers(entities, t).select(F.lit(t).alias("type"), F.col("external_key").alias("key"))
+        parts.append(header.join(keys.where(F.col("type") == t), ["type", "key"], "left_semi").distinct())
+    known = reduce(DataFrame.unionByName, parts).withColumn("_known", F.lit(True))
     status = (
-        F.when(F.col("type").isin(*unsupported), "skipped").when(F.col("_known"), "completed").otherwise("not_found")
+        F.when(F.col("type").isin(*unsupported), "skipped")
+        .when(F.col("error").isNotNull(), "failed")
+        .when(F.col("_known"), "completed")
+        .otherwise("not_found")
     )
-    return attempted.join(known.withColumn("_known", F.lit(True)), ["type", "key"], "left").withColumn("status", status).drop("_known")
+    return attempted.join(known, ["type", "key"], "left").withColumn("status", status).drop("_known")
+
+
+def rebuild(entities: EntitySet, edges: DataFrame, touched: DataFrame) -> DataFrame:
+    """Build every document that a closure touches, as (type, id, external_key, related, status).
+
+    `edges` is a stored edge table and `touched` has (type, id). `related` counts the ids of all lists of a document,
+    over its parts; ids without a row that gets a document are not_found.
+    """
+    wanted = cut_lineage(touched.select("type", "id").distinct())
+    parts = []
+    for t in sorted(r.type for r in wanted.select("type").distinct().collect()):
+        only = wanted.where(F.col("type") == t).select("id")
+        docs = build_docs(entities, t, edges=edges.where(F.col("src_type") == t), only=only)
+        sizes = sum((F.size(f) for f in TYPE_GRAPH[t]), F.lit(0))
+        built = docs.groupBy("id", "external_key").agg(F.sum(sizes).cast("bigint").alias("related"))
+        parts.append(only.join(built, "id", "left").select(
+            F.lit(t).alias("type"), "id", "external_key", F.coalesce("related", F.lit(0)).alias("related"),
+            F.when(F.col("external_key").isNull(), "not_found").otherwise("ok").alias("status"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def rebuild_report(competitions: DataFrame, read: EdgeReader, listed: int = 5) -> DataFrame:
-    """Per competition and stage: how many events, the first few by key, and how many more there are."""
+def rebuild_report(competitions: DataFrame, read: EdgeReader, failed: DataFrame, listed: int = 10) -> DataFrame:
+    """Per competition and stage: events that were built and that failed, the first failures by key, and how many more.
+
+    `failed` has the keys (key) of events whose build failed.
+    """
     stages = _step(competitions, read, "competition", "stages").withColumnRenamed("key", "stage_key")
     edges = read("stage", "events").select(F.col("src_id").alias("id"), F.col("dst_key").alias("event_key"))
-    events = stages.join(edges, "id", "left")
-    totals = events.groupBy("request_id", "stage_key").agg(F.count("event_key").alias("events"))
-    place = F.row_number().over(Window.partitionBy("request_id", "stage_key").orderBy("event_key"))
+    lost = failed.select(F.col("key").alias("event_key"), F.lit(True).alias("_failed")).distinct()
+    events = stages.join(edges, "id", "left").join(lost, "event_key", "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
+    group = ["request_id", "stage_key"]
+    totals = events.groupBy(*group).agg(F.count_if(F.col("event_key").isNotNull() & ~F.col("_failed")).alias("ok"), F.count_if("_failed").alias("failed"))
+    # The limit on the row number lets each task keep its own first failures.
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("event_key"))
     first = (
-        events.where("event_key is not null").withColumn("_n", place).where(F.col("_n") <= listed)
-        .groupBy("request_id", "stage_key").agg(F.array_join(F.sort_array(F.collect_list("event_key")), ",").alias("first_events"))
-    )
-    return totals.join(first, ["request_id", "stage_key"], "left").withColumn(
-        "more", F.greatest(F.col("events") - listed, F.lit(0))
+        events.where("_failed").withColumn("_n", place).where(F.col("_n") <= listed)
+        .groupBy(*group).agg(F.array_join(F.sort_array(F.collect_list("event_key")), ",").alias("first_failed"))
     )
+    return totals.join(first, group, "left").withColumn("more", F.greatest(F.col("failed") - listed, F.lit(0)))
 
 
 def change_detect(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,10 +18,10 @@ from xrel.operators.edges import edges_from_type, edges_of, edges_touching
 from xrel.plans import oracle
 from xrel.plans.edge_queries import HUB_ROWS, doc_sql
 from xrel.plans.registry import register
-from xrel.session import cut_lineage
+from xrel.session import cut_lineage, shared_dir
 from xrel.sources import schemas, tpch
 from xrel.sources.entities import meta
-from xrel.sources.store import merge_by_key
+from xrel.sources.store import VersionedTable
 
 T = oracle.table_of
 _union = lambda parts: " union all ".join(parts)
@@ -126,7 +127,10 @@ def upsert_agg_docs(spark, sf_dir):
     recent = es.tables["event"].where("date_time >= timestamp_ntz'2001-01-01'").select(F.col("venue_id").alias("ext_id")).distinct()
     touched = meta(es, "venue").join(recent, "ext_id", "left_semi")
     change = touched.select(*key).unionByName(meta(es, "team").select(*key))
-    return merge_by_key(stored, change.withColumn("state", F.concat(F.lit("new "), "external_key")), key)
+    store = VersionedTable(spark, f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}", key)
+    store.write_full(stored)
+    store.upsert(change.withColumn("state", F.concat(F.lit("new "), "external_key")))
+    return store.read()
 
 
 @register(

@@ -16,7 +16,7 @@ from xrel.functions import keys
 from xrel.operators import maintain as M
 from xrel.operators.assemble import route
 from xrel.operators.docs import build_docs, flat_docs
-from xrel.operators.edges import all_edges, edges_from_type, edges_of, labelled, reader
+from xrel.operators.edges import all_edges, edges_from_type, edges_of, labelled, reader, stored_reader
 from xrel.plans import oracle
 from xrel.plans.assemble_queries import EVENTS, SGO_TEAMS, SGOS, STAGES, TEAMS, walk_sql
 from xrel.plans.edge_queries import doc_sql
@@ -215,25 +215,49 @@ def recursive_closure(spark, sf_dir):
     return M.recursive_closure(roots, ["club", "nation", "sgo"], reader(es)).select("request_id", "type", "id")
 
 
+@register(
+    "rebuild",
+    oracle.query(
+        "select x.type, x.id, x.key as external_key, (select count(*) from all_edges a where a.src_type = x.type and a.src_id = x.id) as related, 'ok' as status from ("
+        + " union all ".join(
+            f"select '{t}' as type, dst_id as id, external_key as key from (select distinct dst_id from c_{t} where request_id = 'competition:1995') join {oracle.table_of(t)} e on e.id = dst_id"
+            for t in _CLOSURE_TYPES
+        )
+        + ") x",
+        **_closure_parts(),
+    ),
+)
+def rebuild(spark, sf_dir):
+    """Every document that one season's rebuild touches, built from stored edges."""
+    es = tpch.entities(spark, sf_dir)
+    edges = cut_lineage(all_edges(es))
+    roots = es.rows("competition").where("id = 'competition:1995'").select(F.col("id").alias("request_id"), "id", F.col("external_key").alias("key"))
+    touched = M.rebuild_closure(roots, stored_reader(edges))
+    return M.rebuild(es, edges, touched)
+
+
 @register(
     "rebuild_tracking",
     oracle.query(
         "select type, status, count(*) as n from ("
-        "select 'event' as type, 'completed' as status from orders union all "
+        "select 'event' as type, case when o_orderstatus = 'P' then 'failed' else 'completed' end as status from orders union all "
         "select 'sportsPerson', case when p.p_partkey is null then 'not_found' else 'completed' end from (select distinct l_partkey * 3 as k from lineitem) left join part p on p.p_partkey = k "
         "union all select 'keyMoment', 'skipped' from events) group by all"
     ),
 )
 def rebuild_tracking(spark, sf_dir):
-    """Attempts on all events, on persons of which some are missing, and on key moments, which have no handler."""
+    """Attempts on all events, some of which failed, on persons of which some are missing, and on key moments, which have no handler."""
     es = tpch.entities(spark, sf_dir)
-    person = keys.pair_key((F.col("l_partkey") * 3).cast("string"), F.lit(tpch.SCOPE))
+    none = F.lit(None).cast("string").alias("error")
+    key_of = lambda c: keys.pair_key(c.cast("string"), F.lit(tpch.SCOPE)).alias("key")
     attempted = reduce(
         DataFrame.unionByName,
         [
-            es.rows("event").select(F.lit("event").alias("type"), F.col("external_key").alias("key")),
-            tpch.table(spark, sf_dir, "lineitem").select(F.lit("sportsPerson").alias("type"), person.alias("key")).distinct(),
-            es.rows("keyMoment").select(F.lit("keyMoment").alias("type"), F.col("external_key").alias("key")),
+            tpch.table(spark, sf_dir, "orders").select(
+                F.lit("event").alias("type"), key_of(F.col("o_orderkey")), F.when(F.col("o_orderstatus") == "P", "pending").alias("error")
+            ),
+            tpch.table(spark, sf_dir, "lineitem").select(F.lit("sportsPerson").alias("type"), key_of(F.col("l_partkey") * 3), none).distinct(),
+            es.rows("keyMoment").select(F.lit("keyMoment").alias("type"), F.col("external_key").alias("key"), none),
         ],
     )
     return M.rebuild_tracking(attempted, es).groupBy("type", "status").agg(F.count("*").alias("n"))
@@ -242,15 +266,21 @@ def rebuild_tracking(spark, sf_dir):
 @register(
     "rebuild_report",
     oracle.query(
-        "select request_id, stage_key, count(*) as events, string_agg(event_key, ',' order by event_key) filter (where rn <= 5) as first_events, greatest(count(*) - 5, 0) as more "
-        "from (select c.src_id as request_id, s.src_key as stage_key, s.dst_key as event_key, row_number() over (partition by c.src_id, s.src_key order by s.dst_key) as rn "
-        "from e_competition_stages c join e_stage_events s on s.src_id = c.dst_id) group by all"
+        "select request_id, stage_key, count_if(not lost)::bigint as ok, count_if(lost)::bigint as failed, "
+        "string_agg(event_key, ',' order by event_key) filter (where lost and rn <= 10) as first_failed, greatest(count_if(lost) - 10, 0)::bigint as more "
+        "from (select *, row_number() over (partition by request_id, stage_key, lost order by event_key) as rn from ("
+        "select c.src_id as request_id, s.src_key as stage_key, s.dst_key as event_key, o.o_orderstatus = 'F' as lost "
+        "from e_competition_stages c join e_stage_events s on s.src_id = c.dst_id join orders o on 'event:' || o.o_orderkey = s.dst_id)) group by all"
     ),
 )
 def rebuild_report(spark, sf_dir):
+    """Builds of finished orders count as failed."""
     es = tpch.entities(spark, sf_dir)
     roots = es.rows("competition").select(F.col("id").alias("request_id"), "id", F.col("external_key").alias("key"))
-    return M.rebuild_report(roots, reader(es))
+    failed = tpch.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        keys.pair_key(F.col("o_orderkey").cast("string"), F.lit(tpch.SCOPE)).alias("key")
+    )
+    return M.rebuild_report(roots, reader(es), failed)
 
 
 @register(
