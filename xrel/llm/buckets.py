@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,17 +13,30 @@ from xrel.llm.shared import stored
 
 # Rounds in which every item is compared with one member of another part; what is still apart then is compared in full.
 ROUNDS = 3
+# Nor are rounds worth while for this many memberships.
+FEW = 2_000
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def most_bits(hashes: int, bits: int, similarity: float) -> int:
+    """Bits that differ between signatures of two sets at this similarity, five deviations above the mean.
+
+    A signature keeps `bits` bits of each of `hashes` minima; where two minima differ, each bit does with chance 1/2.
+    """
+    apart = 1 - similarity
+    mean = apart * bits / 2
+    square = apart * bits * (bits + 1) / 4
+    return math.ceil(hashes * mean + 5 * math.sqrt(hashes * (square - mean**2)))
+
+
 def _distance(words: int) -> Column:
     """Number of bits in which the signatures bits_a and bits_b differ."""
     return sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(words)), F.lit(0))
 
 
-def linked(members: DataFrame, bits: DataFrame, words: int, most: int, verify: Verify) -> DataFrame:
-    """Links (a, b), a < b, that connect whatever all verified pairs within the buckets of members (key, id) connect.
+def connected(members: DataFrame, bits: DataFrame, words: int, most: int, verify: Verify) -> DataFrame:
+    """(node, component) of all items that verified pairs within the buckets of members (key, id) connect.
 
     verify() takes candidate pairs (a, b) and returns those that hold. bits (id, bits) holds `words` 64-bit words of
     signature per item; pairs further apart than `most` bits are not verified. Every other pair of a bucket is verified
@@ -54,18 +68,25 @@ def linked(members: DataFrame, bits: DataFrame, words: int, most: int, verify: V
             labelled.join(ends.select("key", "low.part", F.col("low.id").alias("low"), F.col("high.id").alias("high")).withColumnRenamed("part", "low_part"), "key"),
             "apart",
         )
-        if rest.isEmpty():
+        left_over = rest.count()
+        if not left_over:
             break
-        if turn < ROUNDS:
+        last = turn == ROUNDS or left_over <= FEW
+        if not last:
             other = F.when(F.col("part") == F.col("low_part"), F.col("high")).otherwise(F.col("low"))
             asked = rest.select("id", other.alias("other"))
             chosen = asked.groupBy("id").agg(F.min_by("other", F.xxhash64("id", "other", F.lit(turn))).alias("other"))
             pairs = near(chosen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         else:
-            signed = rest.select("key", "id", "part").join(bits, "id")
+            # A pair comes from the least key that both have, so it comes once.
+            own = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
+            signed = stored(rest.select("key", "id", "part").join(own, "id").join(bits, "id"), "signed")
             left, right = (signed.toDF(*(c if c == "key" else f"{c}_{x}" for c in signed.columns)) for x in "ab")
             apart = (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (_distance(words) <= most)
-            pairs = left.join(right, "key").where(apart).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+            once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+            pairs = left.join(right, "key").where(apart & once).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         links = links.unionByName(stored(verify(pairs), "verified"))
+        if last:
+            return components(links)
         opened = rest.select("key", "id")
-    return links
+    return parts

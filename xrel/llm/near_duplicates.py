@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.buckets import linked
-from xrel.llm.graph import components
+from xrel.llm.buckets import connected, most_bits
 from xrel.llm.shared import BROADCAST_ROWS, NO_ID, map_arrow, stored
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
@@ -21,10 +20,8 @@ SHINGLE = 5
 CHUNKS, PARTS = 10, 6
 _SEEDS = mix(np.arange(1, CHUNKS * PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FACTORS = mix(_SEEDS) | np.uint64(1)
-# Four bits of each component, packed into words, tell distant pairs apart before their sets are fetched: of the 240
-# bits about 24 differ at a similarity of 0.8, with a deviation of 7.
-MOST_BITS = 64
-BIT_WORDS = 4
+# Bits of each component, packed into words, that tell distant pairs apart before their sets are fetched.
+BITS, BIT_WORDS = 4, 4
 _PRINTS = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary"
 
 
@@ -86,10 +83,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     per_word = CHUNKS * PARTS // BIT_WORDS
-    shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(4)
+    shifts = np.arange(per_word, dtype=np.uint64) * np.uint64(BITS)
     for batch in batches:
         parts = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(batch), BIT_WORDS, per_word)
-        packed = ((parts & 15).astype(np.uint64) << shifts).sum(axis=2, dtype=np.uint64)
+        packed = ((parts & ((1 << BITS) - 1)).astype(np.uint64) << shifts).sum(axis=2, dtype=np.uint64)
         bounds = np.arange(len(batch) + 1, dtype=np.int32) * BIT_WORDS
         listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(packed.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["id", "bits"])
@@ -154,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return map_arrow(both, _confirmed(percent), "a bigint, b bigint")
 
     bits = map_arrow(classes.select("id", "signature"), _bits, "id bigint, bits array<bigint>")
-    parts = components(linked(members, bits, BIT_WORDS, MOST_BITS, verify))
+    parts = connected(members, bits, BIT_WORDS, most_bits(CHUNKS * PARTS, BITS, percent / 100), verify)
     labelled = classes.select("id", "digest", "first").join(parts.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     lowest = labelled.groupBy("component").agg(F.min("first").alias("lowest"))

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.buckets import linked
-from xrel.llm.graph import components
+from xrel.llm.buckets import connected, most_bits
 from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
@@ -23,9 +22,8 @@ LEAST_WORDS = 20
 MISSED = 1e-4
 STRAY, COLLIDING = 0.1, 0.1
 _PRINTS = "id bigint, n int, place int, begin int, end int, digest binary, n_shingles int, keys array<bigint>, bits array<bigint>"
-# Three bits per hash tell distant pairs apart before their sets are fetched: with 18 hashes 5 of 54 bits differ at a
-# similarity of 0.8, with a deviation of 3.
-BITS_PER_HASH, MOST_BITS_SHARE = 3, 0.41
+# Bits of each hash that tell distant pairs apart before their sets are fetched.
+BITS_PER_HASH = 3
 
 
 def tuned_bands(similarity: float, missed: float = MISSED) -> tuple[int, int]:
@@ -208,8 +206,8 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         return map_arrow(with_sets, _confirmed(percent), "a bigint, b bigint")
 
     bits = classes.select(F.col("class").alias("id"), "bits")
-    most = int(bands * rows * BITS_PER_HASH * MOST_BITS_SHARE)
-    parts = components(linked(members, bits, bit_words(bands * rows), most, verify))
+    most = most_bits(bands * rows, BITS_PER_HASH, percent / 100)
+    parts = connected(members, bits, bit_words(bands * rows), most, verify)
     labelled = classes.select("class", "digest", "first").join(parts.toDF("class", "part"), "class", "left")
     labelled = labelled.withColumn("part", F.coalesce("part", "class"))
     lowest = labelled.groupBy("part").agg(F.min("first").alias("lowest"))
