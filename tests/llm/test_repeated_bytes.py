@@ -56,7 +56,7 @@ def test_anchor_runs_cover_every_string_once(texts):
     data = "".join(texts).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     anchors, covered = {}, []
-    for row, first, last, hashes in R.anchor_runs(data, offsets):
+    for row, first, last, hashes, _ in R.anchor_runs(data, offsets):
         for r, a, b, h in zip(row.tolist(), first.tolist(), last.tolist(), hashes.tolist(), strict=True):
             for s in range(a, b + 1):
                 covered.append((r, s))

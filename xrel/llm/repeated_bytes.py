@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xrel.llm.shared import map_arrow, with_row_key
@@ -32,19 +32,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _TABLES: list = []
 
 
-def run_hashes(data: np.ndarray, size: int, base: int = 1) -> np.ndarray:
-    """A 64-bit hash of every run of `size` bytes."""
+def _prefixes(data: np.ndarray, base: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of bytes times powers before each place, and the inverse powers that move them to the start."""
     if not _TABLES:
         _TABLES.extend(_powers(SEGMENT + 2 * SIZE + 1))
     up, down = _TABLES
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(base)) * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
+def run_hashes(data: np.ndarray, size: int, base: int = 1) -> np.ndarray:
+    """A 64-bit hash of every run of `size` bytes."""
+    sums, down = _prefixes(data, base)
     n = len(data) - size + 1
     return mix((sums[size:] - sums[:n]) * down[:n])
 
 
-def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, first start, last start, hash of the anchor) of runs of strings of SIZE bytes with one anchor.
+def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first start, last start, anchor hash, hash of the text) of runs of strings of SIZE bytes with one anchor.
 
     Every string within a row lies in exactly one run, and equal strings have equal anchors.
     """
@@ -52,7 +58,8 @@ def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     choices = SIZE - ANCHOR + 1
     for at in range(0, max(0, len(raw) - SIZE + 1), SEGMENT):
         own = raw[at : at + SEGMENT + SIZE - 1]
-        hashes = run_hashes(own, ANCHOR)
+        sums, down = _prefixes(own)
+        hashes = mix((sums[ANCHOR:] - sums[: len(own) - ANCHOR + 1]) * down[: len(own) - ANCHOR + 1])
         # The least hash, and the first place among equals.
         low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
@@ -71,23 +78,33 @@ def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
-        yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], hashes[anchor[first]]
+        begin, end = start[first] - at, start[last] - at + SIZE
+        text = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], hashes[anchor[first]], text
+
+
+_SHORT = np.uint64((1 << 48) - 1)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes are cut to 48 bits, as most of what moves are hashes; `place` is n in the high half, then the start.
+
+    Anchors that fall together by chance only bring strings together that need not be; their texts' hashes are compared
+    within one anchor.
+    """
     for batch in batches:
         ids, ns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for lo, _, data, offsets in text_slices(batch.column(2)):
-            for row, first, last, hashes in anchor_runs(data, offsets):
+            for row, first, last, hashes, texts in anchor_runs(data, offsets):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes.view(np.int64)),
+                        pa.array((hashes & _SHORT).astype(np.int64)),
+                        pa.array((texts & _SHORT).astype(np.int64)),
                         pa.array(ids[lo + row]),
-                        pa.array(ns[lo + row]),
-                        pa.array(first.astype(np.int32)),
-                        pa.array(last.astype(np.int32)),
+                        pa.array((ns[lo + row].astype(np.int64) << 32) | first),
+                        pa.array((last - first).astype(np.int32)),
                     ],
-                    names=["anchor", "id", "n", "first", "last"],
+                    names=["anchor", "text", "id", "place", "more"],
                 )
 
 
@@ -243,17 +260,42 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     same row. Texts are UTF-8; null and empty ones have no bytes. Rows without a doc_id come last, rows that repeat one
     in the order of their texts. Strings are judged on the input. Other columns are ignored.
 
-    Strings are brought together by anchors, and only those at anchors that occur twice are moved. Their texts meet
-    where suffixes are sorted, in chunks between anchors. At anchors with over HOT occurrences strings are instead
-    known by 128 bits of hash: the first of each is found by a sum that combines before it shuffles.
+    Strings are brought together by anchors, and runs of them around one anchor by hashes of their texts. Runs that
+    repeat go at once; of anchors with different runs the first of each move, and their suffixes are sorted in chunks
+    between anchors. At anchors with over HOT different runs strings are instead known by 128 bits of hash: the first of
+    each is found by a sum that combines before it shuffles.
     """
     rows = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
     found = map_arrow(
-        rows.where(F.octet_length("text") >= SIZE).select("id", "n", "text"), _anchors, "anchor bigint, id bigint, n int, first int, last int"
-    )
+        rows.where(F.octet_length("text") >= SIZE).select("id", "n", "text"),
+        _anchors, "anchor bigint, text bigint, id bigint, place bigint, more int",
+    )
     repeated = found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1")
-    runs = found.join(repeated, "anchor").groupBy("id", "n").agg(
-        F.collect_list(F.struct("first", "last", "anchor", (F.col("count") > HOT).alias("hot"))).alias("runs")
+    met = found.join(repeated, "anchor")
+    # Of equal runs only the first can hold a first string; the others go as a whole. Where an anchor has different
+    # runs, the first of each are compared string by string.
+    usual = met.where(F.col("count") <= HOT)
+    own = Window.partitionBy("anchor")
+    judged = usual.select(
+        "anchor", "id", "place", "more",
+        (F.min("text").over(own) != F.max("text").over(own)).alias("mixed"),
+        (F.row_number().over(Window.partitionBy("anchor", "text").orderBy("id", "place")) == 1).alias("leads"),
+    )
+    # The same for frequent anchors, by sums that combine before they shuffle and a join that splits.
+    frequent = met.where(F.col("count") > HOT)
+    leaders = frequent.groupBy("anchor", "text").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("more").alias("more"))
+    kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    led = frequent.join(leaders.select("anchor", "text", "lead"), ["anchor", "text"])
+    copies = judged.where("not leads").select("id", "place", "more").unionByName(
+        led.where("struct(id, place) <> lead").select("id", "place", "more")
+    )
+    n, first = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
+    whole = copies.select("id", n.alias("n"), first.alias("begin"), (first + F.col("more") + SIZE).alias("end"))
+    unlike = judged.where("leads and mixed").select("anchor", "id", "place", "more", F.lit(False).alias("hot")).unionByName(
+        leaders.join(kinds.where("kinds > 1"), "anchor").select("anchor", "lead.id", "lead.place", "more", (F.col("kinds") > HOT).alias("hot"))
+    )
+    runs = unlike.groupBy("id", n.alias("n")).agg(
+        F.collect_list(F.struct(first.alias("first"), (first + F.col("more")).alias("last"), "anchor", "hot")).alias("runs")
     )
     texts = rows.repartition("id", "n")
     meeting = texts.join(runs, ["id", "n"]).select("id", "n", "text", "runs")
@@ -265,7 +307,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     again = hot.join(origin.drop("count"), ["key", "more"]).where("place <> origin").select(
         "place.id", "place.n", F.col("place.first").alias("begin"), (F.col("place.first") + SIZE).alias("end")
     )
-    by_row = marks.unionByName(again).groupBy("id", "n").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    by_row = marks.unionByName(again).unionByName(whole).groupBy("id", "n").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
     final = texts.join(by_row, ["id", "n"], "left").select("doc_id", n_bytes, "text", "marks")
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_sha256 string"
