@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from xrel.functions import keys
 from xrel.operators.relations import FOREIGN_KEYS, REFERENCES, TYPE_GRAPH, ForeignKey, Reference
+from xrel.session import cut_lineage
 from xrel.sources.entities import EntitySet
 
 EDGE_COLUMNS = ("src_type", "src_id", "src_key", "field", "dst_type", "dst_id", "dst_key")
@@ -121,8 +122,21 @@ def edges_of(entities: EntitySet, src_type: str, field: str) -> DataFrame:
     return parts[0] if len(parts) == 1 else reduce(union_in_out, parts)
 
 
+def written_once(entities: EntitySet, types: set[str]) -> EntitySet:
+    """The same set with the rows of these types written out, where several relations would derive them again."""
+    return entities.replaced({t: cut_lineage(entities.tables[t]) for t in sorted(types)})
+
+
+def _derived_often(least: int = 3) -> set[str]:
+    """Types with that many foreign keys: their rows would be worked out once for each."""
+    children = [fk.child for fk in FOREIGN_KEYS]
+    return {c for c in children if children.count(c) >= least}
+
+
 def edges_from_type(entities: EntitySet, src_type: str) -> DataFrame:
     """All edges leaving one type, in long form."""
+    if src_type in _derived_often():
+        entities = written_once(entities, {src_type})
     parts = [labelled(edges_of(entities, src_type, f), src_type, f) for f in TYPE_GRAPH[src_type]]
     return reduce(DataFrame.unionByName, parts)
 
@@ -156,6 +170,7 @@ def _both_ways(links: DataFrame, child: str, forward: str | None, parent: str, i
 def all_edges(entities: EntitySet) -> DataFrame:
     """Every edge of every type. Only fields fed from two sides need a distinct."""
     two_sided = (("sgo", "sgos"), ("venue", "sgos"))
+    entities = written_once(entities, _derived_often())
     parts = []
     for ref in REFERENCES:
         forward = None if (ref.child, ref.forward) in two_sided else ref.forward
@@ -188,6 +203,7 @@ def edges_touching(entities: EntitySet, changed: dict[str, DataFrame]) -> DataFr
         # One semi join where one end can have changed; either of two marks otherwise.
         return links.where(" or ".join(f"coalesce({m}, false)" for m in seen)).drop(*seen)
 
+    entities = written_once(entities, _derived_often() & set(changed))
     parts = []
     for ref in REFERENCES:
         if ref.child in changed or ref.parent in changed:
