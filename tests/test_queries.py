@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.check import compare, connect
+from xrel.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,13 +16,16 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
-    ok, note = compare(df, duck, oracle_sql()[name])
+    ok, note = compare(QUERIES[name](spark, SF), duck, ORACLES[name])
     assert ok, note
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.count() == 1500 and "teams" in df.columns
