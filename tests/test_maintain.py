@@ -107,7 +107,7 @@ def test_newest_rows(spark):
 
 
 def test_doubles_differ(spark):
-    values = [1.2345678901234567e-5, 1.23456789012399e-5, 0.1, -0.001, 123456.789, 1234567890.125, 1e-6, 1.5e300, -2.5e-7, 12345678.5, 0.0001]
+    values = [1.2345678901234567e-5, 1.23456789012399e-5, 0.1, -0.001, 123456.789, 1234567890.125, 1e-6, 1.5e300, -2.5e-7, 12345678.5, 0.0001, 1e20, 1.2345678901234567e20, 98765432109876543210.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", json_text(F.col("v"), T.DoubleType()).alias("t")).collect()
     assert len({r.t for r in rows}) == len(values)
     for r in rows:
