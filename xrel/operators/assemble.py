@@ -104,6 +104,7 @@ def overflow(ids: DataFrame, included: DataFrame) -> DataFrame:
     return ids.join(included.select("request_id", "dst_type", "dst_id"), ["request_id", "dst_type", "dst_id"], "left_anti")
 
 
+# The columns each type's items are ordered by, nulls last, then by id.
 def _sort_order(dst_type: str) -> list[Column]:
     if dst_type == "competition":
         keys = ["start"]
