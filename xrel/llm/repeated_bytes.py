@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xrel.llm.shared import map_arrow, with_row_key
+from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
 from xrel.llm.words import mix, text_slices
 
 SIZE = 100
@@ -270,19 +270,23 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
         rows.where(F.octet_length("text") >= SIZE).select("id", "n", "text"),
         _anchors, "anchor bigint, text bigint, id bigint, place bigint, more int",
     )
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1")
-    met = found.join(repeated, "anchor")
+    repeated = stored(found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1"), "repeated-anchors")
     # Of equal runs only the first can hold a first string; the others go as a whole. Where an anchor has different
     # runs, the first of each are compared string by string.
-    usual = met.where(F.col("count") <= HOT)
     own = Window.partitionBy("anchor")
-    judged = usual.select(
-        "anchor", "id", "place", "more",
-        (F.min("text").over(own) != F.max("text").over(own)).alias("mixed"),
-        (F.row_number().over(Window.partitionBy("anchor", "text").orderBy("id", "place")) == 1).alias("leads"),
+    usual = found.join(repeated.where(F.col("count") <= HOT), "anchor")
+    judged = stored(
+        usual.select(
+            "anchor", "id", "place", "more",
+            (F.min("text").over(own) != F.max("text").over(own)).alias("mixed"),
+            (F.row_number().over(Window.partitionBy("anchor", "text").orderBy("id", "place")) == 1).alias("leads"),
+        ).where("mixed or not leads"),
+        "judged-runs",
     )
     # The same for frequent anchors, by sums that combine before they shuffle and a join that splits.
-    frequent = met.where(F.col("count") > HOT)
+    often = repeated.where(F.col("count") > HOT).select("anchor")
+    few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    frequent = stored(found.join(few, "anchor"), "frequent-runs")
     leaders = frequent.groupBy("anchor", "text").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("more").alias("more"))
     kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds"))
     led = frequent.join(leaders.select("anchor", "text", "lead"), ["anchor", "text"])
