@@ -42,3 +42,24 @@ def test_random_strings(spark, table):
     assert len(hit) >= 50 and all((found[i][0]["start"], found[i][0]["end"]) == (2, 2 + len(keys[i])) for i in hit)
     assert not any(found[100 + i] for i in range(len(written))) and found[None] == []
     assert S.secrets(table([])).count() == 0
+
+
+def test_long_candidates(spark, table):
+    rng = random.Random(9)
+    alphabets = (string.ascii_letters + string.digits + "+/", "0123456789ABCDEF")
+    for n in (1_000, 1_050, 2_000, 100_000, 1_000_000):
+        for letters in alphabets:
+            assert S.written_like("".join(rng.choices(letters, k=n))) < 1e-9
+        assert S.written_like(("a" * 40 + "1") * (n // 41)) > 0.99
+    rows = [(n, "see " + "".join(rng.choices(alphabets[0], k=n)) + " now") for n in (1_200, 5_000, 200_000)] * 5
+    found = S.secrets(table(rows + [(1, "password: hunter2abc")])).collect()
+    assert any(r["random"] for r in found if r.doc_id == 200_000) and [len(r.base) for r in found if r.doc_id == 1] == [1]
+
+
+def test_binomial_tail():
+    from fractions import Fraction
+    from math import comb
+
+    for n, least in ((0, 0), (19, 0), (19, 5), (60, 60), (300, 12), (900, 70), (900, 400)):
+        want = sum(comb(n, k) * Fraction(1, 10) ** k * Fraction(9, 10) ** (n - k) for k in range(least, n + 1))
+        assert abs(S._binomial_tail(n, least, 0.1) / float(want) - 1) < 1e-9

@@ -97,10 +97,20 @@ def written_like(text: str) -> float:
     """
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 for c in text.rstrip("=")]
     changes = sum(a != b and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:], strict=False))
-    n = len(kinds) - 1
-    from math import comb
+    return _binomial_tail(len(kinds) - 1, changes, 0.1)
 
-    return min(1.0, sum(comb(n, k) * 0.1**k * 0.9 ** (n - k) for k in range(changes, min(n, changes + 40) + 1)))
+
+def _binomial_tail(n: int, least: int, rate: float) -> float:
+    """Chance of `least` or more hits in n draws. All terms are summed, as logarithms, so no length overflows."""
+    from math import lgamma, log
+
+    k = np.arange(least, n + 1, dtype=float)
+    first = lgamma(n + 1) - lgamma(least + 1) - lgamma(n - least + 1) + least * log(rate) + (n - least) * log(1 - rate)
+    # Each term from the one before it.
+    steps = np.log((n - k[:-1]) / (k[:-1] + 1)) + log(rate / (1 - rate))
+    terms = first + np.concatenate([[0.0], np.cumsum(steps)])
+    top = float(terms.max())
+    return min(1.0, float(np.exp(top + np.log(np.exp(terms - top).sum()))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
