@@ -63,3 +63,17 @@ def test_binomial_tail():
     for n, least in ((0, 0), (19, 0), (19, 5), (60, 60), (300, 12), (900, 70), (900, 400)):
         want = sum(comb(n, k) * Fraction(1, 10) ** k * Fraction(9, 10) ** (n - k) for k in range(least, n + 1))
         assert abs(S._binomial_tail(n, least, 0.1) / float(want) - 1) < 1e-9
+
+
+def test_keys_in_paths():
+    rng = random.Random(11)
+    key = "a1" + "".join(rng.choices(string.ascii_letters + string.digits, k=48))
+    while not S.random_candidates(key, []):
+        key = "a1" + "".join(rng.choices(string.ascii_letters + string.digits, k=48))
+    for before, after in (("/api-v1/", ""), ("see some_name/", "-x/y z"), ("/a-b+", "_c/d"), ("api/v1-", "")):
+        text = before + key + after
+        assert [(s, e) for s, e, _, _ in S.random_candidates(text, [])] == [(len(before), len(before) + len(key))]
+    # Runs that fit an alphabet stay whole, and one without digits is no candidate.
+    assert [p[:2] for p in S.parts("ab1/" + key)] == [(0, "ab1/" + key)] and not list(S.parts("some-long/path-to_a+page"))
+    # A base span takes only the part that it touches.
+    assert not S.random_candidates("/api-v1/" + key, [(8, 2, 40)])

@@ -24,6 +24,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 # Candidates of the method: runs of key characters with at least one digit and one letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+LEAST_PART = 20
 _ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("hex", "0123456789ABCDEF"),
@@ -51,6 +52,21 @@ def encoding(text: str) -> tuple[str, str] | None:
     return next(((name, alphabet) for name, alphabet in _ALPHABETS if own <= set(alphabet)), None)
 
 
+def parts(text: str, start: int = 0, marks: tuple[str, ...] = ("/-", "+_")) -> Iterator[tuple[int, str, str]]:
+    """(start, string, alphabet) of what is tested of a run of key characters.
+
+    A run that mixes + or / with - or _ fits no alphabet: a path or a name may hold a key. It is split at / and -,
+    and what still mixes + with _ is split there.
+    """
+    coded = encoding(text)
+    if coded is not None:
+        yield start, text, coded[1]
+    elif marks and set(text) & set("+/") and set(text) & set("-_"):
+        for m in re.finditer(f"[^{re.escape(marks[0])}]+", text):
+            if len(m.group().rstrip("=")) >= LEAST_PART:
+                yield from parts(m.group(), start + m.start(), marks[1:])
+
+
 def _normal_tail(z: float) -> float:
     from math import erfc, sqrt
 
@@ -130,14 +146,14 @@ def random_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple
     """(start, end, length class, p) of strings that pass the battery and don't touch a base span."""
     out = []
     for m in CANDIDATE.finditer(text):
-        own = m.group()
-        coded = encoding(own)
-        if coded is None or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if min(battery(own, coded[1])) < LEAST_P:
-            continue
-        length = sum(len(own) >= x for x in LENGTH_CLASSES)
-        out.append((m.start(), m.end(), length, written_like(own)))
+        for start, own, alphabet in parts(m.group(), m.start()):
+            end = start + len(own)
+            if any(s < end and start < e for s, _, e in base):
+                continue
+            if min(battery(own, alphabet)) < LEAST_P:
+                continue
+            length = sum(len(own) >= x for x in LENGTH_CLASSES)
+            out.append((start, end, length, written_like(own)))
     return out
 
 
@@ -189,8 +205,9 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, base and random, the spans found as arrays of structs, in code points, end exclusive.
 
     base has kinds 0 assign, 1 access, 2 hex. random has further strings: their encoding is inferred, they pass a
-    chi-squared test of uniformity, a runs test and a serial-correlation test, and written words are ruled out at a
-    rate of false finds controlled per class of lengths over all documents. Null and empty texts have no spans;
+    chi-squared test of uniformity, a runs test and a serial-correlation test at a fixed level each, and written words
+    are ruled out by written_like(), the one test whose rate of false finds is controlled, per class of lengths over
+    all documents. A run that fits no alphabet is split at its marks first. Null and empty texts have no spans;
     repeated rows and null ids are scanned row by row; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
