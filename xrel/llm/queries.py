@@ -11,6 +11,7 @@ from xrel.llm.decontaminate import benchmark_hits
 from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
 from xrel.llm.paragraphs import without_repeated_paragraphs
+from xrel.llm.passages import without_repeated_passages
 from xrel.llm.quality_model import quality_scores
 from xrel.llm.quality_rules import STATISTICS, quality_verdicts
 from xrel.llm.repeated_bytes import removed_bytes
@@ -117,12 +118,27 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeated_paragraphs(documents(spark, sf_dir)).select(
+    """Repeated lines, then what still repeats exactly in the kept texts, within longer lines or over line ends."""
+    kept = F.coalesce("kept_text", F.lit(""))
+    lines = without_repeated_paragraphs(documents(spark, sf_dir)).select(
         "doc_id",
         "n_removed",
         F.size("removed").cast("bigint").alias("n_paragraphs"),
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("paragraphs"),
-        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+        F.col("kept_text").alias("text"),
+    )
+    width = F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return without_repeated_passages(lines).select(
+        "doc_id",
+        "n_removed",
+        "n_paragraphs",
+        "paragraphs",
+        "kept_sha256",
+        F.size("passages").cast("bigint").alias("n_passages"),
+        width.alias("n_passage_bytes"),
+        F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["begin"], s["end"])), ",").alias("passages"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("rest_sha256"),
     )
 
 

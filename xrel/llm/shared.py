@@ -56,18 +56,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n_table: int, how: str =
     return dealt.join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """doc_id and text as (id, n, doc_id, text): id and n are never null and together unique.
+def with_row_key(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and text as (id, n, doc_id, text), then columns `more`: id and n are never null and together unique.
 
     A null doc_id sorts after all others. Rows that repeat a doc_id are numbered by text; where no doc_id
     repeats, as one narrow count shows, n is 0 and nothing is sorted.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "doc_id", "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "doc_id", "text", *more)
     repeated = rows.groupBy("id").count().where("count > 1").isEmpty() is False
     if not repeated:
-        return rows.select("id", F.lit(0).alias("n"), "doc_id", "text")
+        return rows.select("id", F.lit(0).alias("n"), "doc_id", "text", *more)
     order = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_first())
-    return rows.select("id", (F.row_number().over(order) - 1).alias("n"), "doc_id", "text")
+    return rows.select("id", (F.row_number().over(order) - 1).alias("n"), "doc_id", "text", *more)
 
 
 def words(text: str | Column) -> Column:
