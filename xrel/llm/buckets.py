@@ -15,32 +15,42 @@ from xrel.llm.shared import stored
 ROUNDS = 3
 # Nor are rounds worth while for this many memberships.
 FEW = 2_000
+# A pair at the similarity asked for differs in more components than most_apart() says with this chance at most.
+CUT = 1e-9
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def most_bits(hashes: int, bits: int, similarity: float) -> int:
-    """Bits that differ between signatures of two sets at this similarity, five deviations above the mean.
+def most_apart(hashes: int, similarity: float, least: int = 0) -> int:
+    """Components in which signatures of two sets at this similarity differ, `least` or more, but for a chance of CUT.
 
-    A signature keeps `bits` bits of each of `hashes` minima; where two minima differ, each bit does with chance 1/2.
+    Components that agree in the bits that are kept count as equal, so fewer may be seen to differ, never more.
     """
     apart = 1 - similarity
-    mean = apart * bits / 2
-    square = apart * bits * (bits + 1) / 4
-    return math.ceil(hashes * mean + 5 * math.sqrt(hashes * (square - mean**2)))
+    chance = [math.comb(hashes, k) * apart**k * similarity ** (hashes - k) for k in range(hashes + 1)]
+    return next(m for m in range(least, hashes + 1) if math.fsum(chance[m + 1 :]) <= CUT)
 
 
-def _distance(words: int) -> Column:
-    """Number of bits in which the signatures bits_a and bits_b differ."""
-    return sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(words)), F.lit(0))
+def differing(words: int, width: int) -> Column:
+    """Number of components of `width` bits, 4 or 8, in which the signatures bits_a and bits_b differ."""
+    ones = ((1 << 64) - 1) // ((1 << width) - 1)
+    out = F.lit(0)
+    for i in range(words):
+        x = F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))
+        # The lowest bit of a component becomes whether any of its bits is set.
+        for shift in (1, 2, 4)[: width.bit_length() - 1]:
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(ones)))
+    return out
 
 
-def connected(members: DataFrame, bits: DataFrame, words: int, most: int, verify: Verify) -> DataFrame:
+def connected(members: DataFrame, bits: DataFrame, words: int, width: int, most: int, verify: Verify) -> DataFrame:
     """(node, component) of all items that verified pairs within the buckets of members (key, id) connect.
 
     verify() takes candidate pairs (a, b) and returns those that hold. bits (id, bits) holds `words` 64-bit words of
-    signature per item; pairs further apart than `most` bits are not verified. Every other pair of a bucket is verified
-    or lies within one component of verified links, so components are the same as if all pairs had been compared.
+    signature per item, with components of `width` bits; pairs that differ in more than `most` of them are not verified.
+    Every other pair of a bucket is verified or lies within one component of verified links, so components are the same
+    as if all these pairs had been compared.
 
     First every item is compared with the smallest that it shares a bucket with, then, a few times, with one of another
     component in a bucket: one pair per item and round, however large its buckets are. Only where buckets still hold
@@ -49,7 +59,7 @@ def connected(members: DataFrame, bits: DataFrame, words: int, most: int, verify
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-        return both.where(_distance(words) <= most).select("a", "b")
+        return both.where(differing(words, width) <= most).select("a", "b")
 
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").drop("n")
     shared = stored(members.join(sizes, "key"), "buckets")
@@ -82,7 +92,7 @@ def connected(members: DataFrame, bits: DataFrame, words: int, most: int, verify
             own = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
             signed = stored(rest.select("key", "id", "part").join(own, "id").join(bits, "id"), "signed")
             left, right = (signed.toDF(*(c if c == "key" else f"{c}_{x}" for c in signed.columns)) for x in "ab")
-            apart = (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (_distance(words) <= most)
+            apart = (F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (differing(words, width) <= most)
             once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
             pairs = left.join(right, "key").where(apart & once).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         links = links.unionByName(stored(verify(pairs), "verified"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.buckets import connected, most_bits
+from xrel.llm.buckets import connected, most_apart
 from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
@@ -22,8 +22,8 @@ LEAST_WORDS = 20
 MISSED = 1e-4
 STRAY, COLLIDING = 0.1, 0.1
 _PRINTS = "id bigint, n int, place int, begin int, end int, digest binary, n_shingles int, keys array<bigint>, bits array<bigint>"
-# Bits of each hash that tell distant pairs apart before their sets are fetched.
-BITS_PER_HASH = 3
+# Bits of each hash, one byte, that tell distant pairs apart before their sets are fetched.
+BITS_PER_HASH = 8
 
 
 def tuned_bands(similarity: float, missed: float = MISSED) -> tuple[int, int]:
@@ -84,8 +84,8 @@ def _prints(bands: int, rows: int, least: int):
                 at, columns, keys, bits = [], ([], [], [], [], []), [], []
                 for row, place, begin, end, own in _paragraph_sets(data, offsets, least):
                     lowest = np.fromiter((((own ^ s) * f).min() for s, f in zip(seeds, factors, strict=True)), np.uint64, bands * rows)
-                    low = np.unpackbits((mix(lowest) & np.uint64((1 << BITS_PER_HASH) - 1)).astype(np.uint8)[:, None], axis=1)[:, -BITS_PER_HASH:]
-                    bits.append(np.packbits(low.ravel()).tobytes().ljust(8 * bit_words(bands * rows), b"\0"))
+                    low = (mix(lowest) & np.uint64((1 << BITS_PER_HASH) - 1)).astype(np.uint8)
+                    bits.append(low.tobytes().ljust(8 * bit_words(bands * rows), b"\0"))
                     keys.append(mix((mix(lowest).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + seeds[:bands]))
                     at.append(lo + row)
                     digest = hashlib.md5(own.tobytes(), usedforsecurity=False).digest()
@@ -206,8 +206,8 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         return map_arrow(with_sets, _confirmed(percent), "a bigint, b bigint")
 
     bits = classes.select(F.col("class").alias("id"), "bits")
-    most = most_bits(bands * rows, BITS_PER_HASH, percent / 100)
-    parts = connected(members, bits, bit_words(bands * rows), most, verify)
+    most = most_apart(bands * rows, percent / 100)
+    parts = connected(members, bits, bit_words(bands * rows), BITS_PER_HASH, most, verify)
     labelled = classes.select("class", "digest", "first").join(parts.toDF("class", "part"), "class", "left")
     labelled = labelled.withColumn("part", F.coalesce("part", "class"))
     lowest = labelled.groupBy("part").agg(F.min("first").alias("lowest"))
