@@ -262,8 +262,9 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
     Strings are brought together by anchors, and runs of them around one anchor by hashes of their texts. Runs that
     repeat go at once; of anchors with different runs the first of each move, and their suffixes are sorted in chunks
-    between anchors. At anchors with over HOT different runs strings are instead known by 128 bits of hash: the first of
-    each is found by a sum that combines before it shuffles.
+    between anchors. At anchors with over HOT different runs strings are instead known by hashes, in effect of 64 bits:
+    the first of each is found by a sum that combines before it shuffles. Runs are known by 48 bits within one anchor.
+    Bytes are not compared where hashes decide.
     """
     rows = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
     found = map_arrow(
