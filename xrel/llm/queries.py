@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xrel.llm.decontaminate import benchmark_hits
+from xrel.llm.divergence import source_divergences
 from xrel.llm.mixing import mix
 from xrel.llm.near_duplicates import near_duplicates
 from xrel.llm.paragraphs import without_repeated_paragraphs
 from xrel.llm.passages import without_repeated_passages
+from xrel.llm.pieces import decode_ids, encode_texts
 from xrel.llm.quality_model import quality_scores
 from xrel.llm.quality_rules import STATISTICS, quality_verdicts
 from xrel.llm.repeated_bytes import removed_bytes
@@ -24,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOKEN_LIMIT = 4096
 END_ID = 1
+PIECE_END_ID = 2
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +187,63 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_ids(encode_texts(documents(spark, sf_dir), model, PIECE_END_ID), model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergences(documents(spark, sf_dir)).select("lang", "source", "part", "item", "value", "rank")
+
+
+OP12_SQL = r"""
+with docs as (
+    select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+    from documents),
+grp as (select distinct lang, source from docs),
+words as (
+    select d, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from docs),
+kept as (select lang, term from words group by lang, term having count(distinct d) >= 10),
+counts as (
+    select lang, source, term, count(*)::hugeint as n from words semi join kept using (lang, term) group by lang, source, term),
+v as (select g.lang, coalesce(any_value(k.v), 0)::hugeint as v
+    from (select distinct lang from grp) g left join (select lang, count(*) as v from kept group by lang) k using (lang) group by g.lang),
+total as (
+    select g.lang, g.source, coalesce(sum(n), 0)::hugeint + 2 * any_value(v) as total
+    from grp g join v using (lang) left join counts using (lang, source) group by g.lang, g.source),
+whole as (select lang, sum(total - 2 * v)::hugeint + 2 * any_value(v) as total from total join v using (lang) group by lang),
+share as (
+    select k.lang, t.source, k.term, coalesce(n, 0) as n, 1 + 1000000000 * (coalesce(n, 0) + 2) // total as p
+    from kept k join total t using (lang) left join counts c on c.lang = k.lang and c.term = k.term and c.source = t.source),
+all_share as (
+    select lang, term, 1 + 1000000000 * (sum(n)::hugeint + 2) // any_value(w.total) as q
+    from counts join whole w using (lang) group by lang, term),
+pairs as (
+    select a.lang, a.source, b.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::bigint as value
+    from grp a join grp b on a.lang = b.lang and a.source <> b.source
+    left join share x on x.lang = a.lang and x.source = a.source
+    left join share y on y.lang = a.lang and y.source = b.source and y.term = x.term
+    group by a.lang, a.source, b.source),
+terms as (
+    select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+    from share join all_share using (lang, term) where n > 0 and p > q),
+found as (select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from terms),
+ranked as (
+    select *, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::int as rank from found)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -197,6 +257,8 @@ QUERIES: dict[str, Query] = {
         op8_near_duplicates,
         op9_secret_scan,
         op10_token_counts,
+        op11_sentencepiece,
+        op12_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op12_source_divergence": OP12_SQL}
