@@ -21,6 +21,7 @@ from xrel.llm.secrets import joined_spans, secrets
 from xrel.llm.shared import documents, new_path
 from xrel.llm.token_counts import token_counts
 from xrel.llm.token_files import token_index, write_tokens
+from xrel.llm.whitening import whitened_embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +245,11 @@ select lang, source, part, item, value, rank from ranked where part = 'pair' or
 """
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitened_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -259,6 +265,7 @@ QUERIES: dict[str, Query] = {
         op10_token_counts,
         op11_sentencepiece,
         op12_source_divergence,
+        op13_embedding_whitening,
     )
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_decontaminate": OP2_SQL, "op12_source_divergence": OP12_SQL}
