@@ -31,7 +31,7 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(queries()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and len(QUERIES) == 13
 
 
 def test_repeated_paragraphs(spark, docs):
