@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xrel.llm.shared import map_arrow, stored
@@ -61,9 +61,8 @@ def _merged(tables: list[pa.Table], keys: list[str]) -> pa.Table:
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) per task; a group that has shown up without terms gives one row with a null term."""
+    """(lang, source, term, n, docs), added up per task as long as they fit."""
     keys = ["lang", "source", "term"]
-    groups: dict[tuple[str, str], None] = {}
     held: list[pa.Table] = []
     size = 0
 
@@ -74,14 +73,6 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        fresh = [p for p in dict.fromkeys(pairs) if p not in groups]
-        groups.update(dict.fromkeys(fresh))
-        if fresh:
-            lang, source = zip(*fresh, strict=True)
-            none = pa.nulls(len(fresh), pa.string()), pa.array([0] * len(fresh), pa.int64()), pa.array([0] * len(fresh), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), *none], names=[*keys, "n", "docs"])
-        if len(groups) > HELD_TERMS:
-            groups.clear()
         names = dict.fromkeys(pairs)
         code = dict(zip(names, range(len(names)), strict=True))
         group = np.array([code[p] for p in pairs])
@@ -114,10 +105,14 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it), partly added up, and rows with a null term per group."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return map_arrow(docs.select(text("lang"), text("source"), text("text")), _partial_counts, "lang string, source string, term string, n bigint, docs bigint")
+    """lang, source, term, n (occurrences), docs (documents with it), partly added up."""
+    rows = docs.select(_text("lang"), _text("source"), _text("text"))
+    return map_arrow(rows, _partial_counts, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def shares(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -261,14 +256,13 @@ def source_divergences(docs: DataFrame, least_docs: int = 10, top: int = 10, sha
     Counts are added up in each task before they are shuffled by (lang, term), so one source may hold any share of the
     rows. Terms are then dealt over shards, each with the totals of all groups of the languages it holds terms of.
     """
-    partial = term_counts(docs)
     # Dealt by (lang, term): the sums per source and per language need no further shuffle.
-    dealt = partial.where("term is not null").repartition("lang", "term")
+    dealt = term_counts(docs).repartition("lang", "term")
     counts = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     in_docs = F.sum("docs").over(Window.partitionBy("lang", "term"))
     kept = counts.withColumn("all_docs", in_docs).where(F.col("all_docs") >= least_docs)
     kept = stored(kept.select("lang", "term", "source", "n"), "terms")
-    groups = partial.where("term is null").select("lang", "source").distinct()
+    groups = docs.select(_text("lang"), _text("source")).distinct()
     in_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     in_lang = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.countDistinct("term").alias("n_kept"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from xrel.llm.shared import map_arrow
 
 # What a worker remembers: encoded units, and verdicts on pairs of neighbours. Beyond this they start anew.
-CACHED_UNITS = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_UNITS = 250_000
+CACHED_PAIRS = 400_000
 LONGEST_CACHED = 48
 # Units of one text taken at a time, so that memory stays bounded for very long texts.
 CHARACTERS_AT_ONCE = 1 << 20
