@@ -113,7 +113,9 @@ def test_request_over_given_edges(spark):
     got = answer(es, reader(es), roots, asked)
     assert [r.id for r in got.items["competition"].collect()] == ["competition:c1"]
     event = got.items["event"].collect()
-    assert got.items["event"].columns == ["request_id", "id", "participants"] and [r.id for r in event] == ["event:e1"]
+    # Requested columns, and the place of each item within its request.
+    assert set(got.items["event"].columns) == {"request_id", "id", "participants", "position"}
+    assert [(r.id, r.position) for r in event] == [("event:e1", 1)]
     assert got.items["team"].count() == 0 and "tags" not in got.items["team"].columns
     assert {(r.dst_type, r.n) for r in got.counts.collect()} == {("competition", 1), ("event", 1), ("team", 2), (None, 4)}
     assert [r.query for r in got.pages.collect()] == ["(or _id==`team:t1` _id==`team:t3`)"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from xrel.functions import keys
 from xrel.operators.relations import FOREIGN_KEYS, REFERENCES, TYPE_GRAPH, ForeignKey, Reference
-from xrel.session import cut_lineage
+from xrel.session import BROADCAST_ROWS, cut_lineage, few_rows
 from xrel.sources.entities import EntitySet
 
 EDGE_COLUMNS = ("src_type", "src_id", "src_key", "field", "dst_type", "dst_id", "dst_key")
@@ -148,81 +148,203 @@ def labelled(edges: DataFrame, src_type: str, field: str) -> DataFrame:
     )
 
 
-def _both_ways(links: DataFrame, child: str, forward: str | None, parent: str, inverse: str | None) -> DataFrame:
-    """Each joined row gives its edge in both directions, so a relation is joined once."""
+# Fields fed by two relations: an edge may come from either.
+TWO_SIDED = (("sgo", "sgos"), ("venue", "sgos"))
 
-    def side(holds, src_type, src, src_key, field, dst_type, dst, dst_key):
-        return (
-            f"if({holds}, named_struct('src_type', '{src_type}', 'src_id', {src}, 'src_key', {src_key}, 'field', '{field}', "
-            f"'dst_type', '{dst_type}', 'dst_id', {dst}, 'dst_key', {dst_key}), null)"
-        )
 
-    sides = []
-    if forward:
-        sides.append(side("forward_holds", child, "child_id", "child_key", forward, parent, "parent_id", "parent_key"))
-    if inverse:
-        sides.append(
-            side("inverse_holds", parent, "parent_id", "parent_key", inverse, child, "child_id", "child_key_seen")
-        )
-    return links.selectExpr(f"inline(array_compact(array({', '.join(sides)})))")
+# Every relation by its number, which references carry instead of names.
+RELATIONS: tuple[ForeignKey | Reference, ...] = (*FOREIGN_KEYS, *REFERENCES)
 
 
-def all_edges(entities: EntitySet) -> DataFrame:
-    """Every edge of every type. Only fields fed from two sides need a distinct."""
-    two_sided = (("sgo", "sgos"), ("venue", "sgos"))
-    entities = written_once(entities, _derived_often())
+def _reference(relation: ForeignKey | Reference, seen: Column, forward: Column, inverse: Column) -> dict[str, Column]:
+    never = F.lit(False)
+    return {
+        "relation": F.lit(RELATIONS.index(relation)),
+        "ref_id": F.col(f"{relation.prefix}_id"),
+        "ref_scope": F.col(f"{relation.prefix}_scope"),
+        "seen_key": seen,
+        "forward": forward if relation.forward else never,
+        "inverse": inverse if relation.inverse else never,
+    }
+
+
+def _chosen(number: str, choices: list[Column]) -> Column:
+    """The choice of that number; the others are not worked out."""
+    return reduce(lambda whens, i: whens.when(F.col(number) == i, choices[i]), range(1, len(choices)), F.when(F.col(number) == 0, choices[0]))
+
+
+def _numbered(rows: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("_number", F.explode(F.array(*map(F.lit, range(n)))))
+
+
+def _listed(rows: DataFrame, own: list[str], references: list[dict[str, Column]]) -> DataFrame:
+    """Rows (child_id, child_key) with each of their complete references in a row of its own."""
+    if len(references) == 1:
+        # Plain columns: a semi join on them can move below whatever derives the rows.
+        columns = references[0]
+    else:
+        rows = _numbered(rows, len(references))
+        columns = {name: _chosen("_number", [r[name] for r in references]) for name in references[0]}
+    listed = rows.select(F.col(own[0]).alias("child_id"), F.col(own[1]).alias("child_key"), *(c.alias(n) for n, c in columns.items()))
+    return listed.where("ref_id is not null and ref_scope is not null and (forward or inverse)")
+
+
+def _own_references(entities: EntitySet, children: set[str], parents: set[str]) -> list[DataFrame]:
+    """References in the columns of a row, all of one row at once."""
     parts = []
-    for ref in REFERENCES:
-        forward = None if (ref.child, ref.forward) in two_sided else ref.forward
-        inverse = None if (ref.parent, ref.inverse) in two_sided else ref.inverse
-        if forward or inverse:
-            links = reference_links(entities, ref)
-            parts.append(_both_ways(links, ref.child, forward, ref.parent, inverse))
-    for fk in FOREIGN_KEYS:
-        inverse = None if (fk.parent, fk.inverse) in two_sided else fk.inverse
-        if fk.forward or inverse:
-            parts.append(_both_ways(fk_links(entities, fk), fk.child, fk.forward, fk.parent, inverse))
-    parts += [labelled(edges_of(entities, t, f), t, f) for t, f in two_sided]
+    for child in sorted(children):
+        refs = []
+        for fk in FOREIGN_KEYS:
+            if fk.child == child and fk.parent in parents:
+                seen = _key_seen_from_parent(fk)
+                forward = _forward_holds(fk) & F.col("external_key").isNotNull()
+                refs.append(_reference(fk, seen, forward, seen.isNotNull()))
+        if refs:
+            parts.append(_listed(entities.rows(child), ["id", "external_key"], refs))
+    return parts
+
+
+def _list_references(entities: EntitySet, children: set[str], parents: set[str]) -> list[DataFrame]:
+    """References in the lists of a row, which may name the same row several times."""
+    parts = []
+    for child, array in sorted({(r.child, r.array) for r in REFERENCES if r.child in children}):
+        refs = []
+        for ref in REFERENCES:
+            if (ref.child, ref.array) != (child, array) or ref.parent not in parents:
+                continue
+            named, alone = F.col("owner_key").isNotNull(), F.lit(True)
+            if ref.prefix == "sp":
+                named &= F.coalesce((F.col("sp_id") != "") & (F.col("sp_scope") != ""), F.lit(False))
+            elif ref.alone:
+                alone = ~keys.has_pair("sp")
+            refs.append(_reference(ref, F.col("owner_key"), named & alone, named & alone if ref.inverse_alone else named))
+        if refs:
+            parts.append(_listed(entities.ref_rows(child, array), ["owner_id", "owner_key"], refs))
+    return parts
+
+
+def _parents(entities: EntitySet, types: set[str]) -> DataFrame:
+    """Rows that references may name, with the pair that names them."""
+    columns = "ext_id as ref_id", "ext_scope as ref_scope", "id as parent_id", "external_key as parent_key"
+    parts = [
+        entities.rows(t).where("ext_id is not null and ext_scope is not null").selectExpr(f"{sorted(TYPE_GRAPH).index(t)} as kind", *columns)
+        for t in sorted(types)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
+NAMED_BY = ["kind", "ref_id", "ref_scope"]
+
+
+def _once(references: DataFrame) -> DataFrame:
+    """Each child's reference once; it holds in a direction if any of its repeats does."""
+    own = [c for c in references.columns if c not in ("forward", "inverse")]
+    return references.groupBy(*own).agg(F.max("forward").alias("forward"), F.max("inverse").alias("inverse"))
+
+
+def _by_relation(value: Callable[[ForeignKey | Reference], object]) -> Column:
+    """A fixed value of each row's relation."""
+    return F.element_at(F.array(*(F.lit(value(r)) for r in RELATIONS)), F.col("relation") + 1)
+
+
+def _with_kind(references: DataFrame) -> DataFrame:
+    return references.withColumn("kind", _by_relation(lambda r: sorted(TYPE_GRAPH).index(r.parent)))
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """Each joined row gives its edge in both directions, so it is joined once."""
+    child, parent, forward, inverse = (_by_relation(lambda r, e=e: getattr(r, e)) for e in ("child", "parent", "forward", "inverse"))
+    out = [child, "child_id", "child_key", forward, parent, "parent_id", "parent_key"]
+    back = [parent, "parent_id", "parent_key", inverse, child, "child_id", "seen_key"]
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    both = _numbered(links, 2).where("if(_number = 0, forward, inverse)")
+    return both.select(
+        *(F.when(F.col("_number") == 0, column(a)).otherwise(column(b)).alias(n) for a, b, n in zip(out, back, EDGE_COLUMNS, strict=True))
+    )
+
+
+def _sizes(entities: EntitySet, types: set[str]) -> dict[str, int]:
+    counted = _parents(entities, types).groupBy("kind").count().collect()
+    return {sorted(TYPE_GRAPH)[r.kind]: r["count"] for r in counted}
+
+
+def all_edges(entities: EntitySet) -> DataFrame:
+    """Every edge of every type: all references of a row are listed at once and meet the rows they name together.
+
+    Types of few rows, as counted, are handed to every task together; what names larger types meets them in one shuffled
+    join, in which a hub is one skewed key that adaptive execution splits. Only fields fed from two sides need a distinct.
+    """
+    types = set(TYPE_GRAPH)
+    sizes = _sizes(entities, {r.parent for r in RELATIONS})
+    few, total = set(), 0
+    for t, n in sorted(sizes.items(), key=lambda x: x[1]):
+        total += n
+        if total <= BROADCAST_ROWS:
+            few.add(t)
+    classes = [c for c in (few, set(sizes) - few) if c]
+    # Rows that are derived, and read for both classes, are worked out once.
+    both = {t for t in _derived_often() if all(any(fk.child == t and fk.parent in c for fk in FOREIGN_KEYS) for c in classes)}
+    entities = written_once(entities, both) if len(classes) > 1 else entities
+    parts = []
+    for parents in classes:
+        named = _own_references(entities, types, parents)
+        if lists := _list_references(entities, types, parents):
+            named.append(_once(reduce(DataFrame.unionByName, lists)))
+        rows = _parents(entities, parents)
+        joined = _with_kind(reduce(DataFrame.unionByName, named)).join(F.broadcast(rows) if parents == few else rows, NAMED_BY)
+        parts.append(_both_ways(joined))
+    edges = reduce(DataFrame.unionByName, parts)
+    two_sided = reduce(lambda a, b: a | b, ((F.col("src_type") == t) & (F.col("field") == f) for t, f in TWO_SIDED))
+    return reduce(DataFrame.unionByName, [edges.where(~two_sided), *(labelled(edges_of(entities, t, f), t, f) for t, f in TWO_SIDED)])
+
+
 def edges_touching(entities: EntitySet, changed: dict[str, DataFrame]) -> DataFrame:
     """Edges with a changed row at either end, each from the rule of its own direction.
 
     `changed` holds ids (column id) per type. Whether an edge exists depends on the rows at its two ends alone, so
-    between two states only these edges can differ. Relations without a changed type are not read.
+    between two states only these edges can differ. Two joins give them: what changed rows name, against all rows, and
+    all rows against the changed ones they name. Changed rows are found before anything is joined, and relations
+    without a changed type are not read.
     """
-
-    def near(links: DataFrame, child: str, parent: str) -> DataFrame:
-        seen = []
-        for kind, end in ((child, "child_id"), (parent, "parent_id")):
-            if kind in changed:
-                mark = f"_{end}_changed"
-                seen.append(mark)
-                links = links.join(changed[kind].select(F.col("id").alias(end), F.lit(True).alias(mark)), end, "left")
-        # One semi join where one end can have changed; either of two marks otherwise.
-        return links.where(" or ".join(f"coalesce({m}, false)" for m in seen)).drop(*seen)
-
-    entities = written_once(entities, _derived_often() & set(changed))
-    parts = []
-    for ref in REFERENCES:
-        if ref.child in changed or ref.parent in changed:
-            links = near(reference_links(entities, ref), ref.child, ref.parent)
-            parts.append(_both_ways(links, ref.child, ref.forward, ref.parent, ref.inverse))
-    for fk in FOREIGN_KEYS:
-        if fk.child in changed or fk.parent in changed:
-            links = near(fk_links(entities, fk), fk.child, fk.parent)
-            parts.append(_both_ways(links, fk.child, fk.forward, fk.parent, fk.inverse))
-    # Fields fed by two relations may give an edge twice.
-    return reduce(DataFrame.unionByName, parts).distinct()
+    ids = {t: few_rows(rows.select("id").distinct()) for t, rows in changed.items()}
+    types = set(TYPE_GRAPH)
+    rows = {t: entities.tables[t].join(known, "id", "left_semi") for t, known in ids.items()}
+    lists = {
+        (r.child, r.array): entities.ref_rows(r.child, r.array).join(
+            ids[r.child].withColumnRenamed("id", "owner_id"), "owner_id", "left_semi"
+        )
+        for r in REFERENCES
+        if r.child in ids
+    }
+    near = entities.replaced(rows, lists)
+    links = []
+    own = _own_references(near, set(ids), types) + _list_references(near, set(ids), types)
+    if own:
+        named = few_rows(_with_kind(_once(reduce(DataFrame.unionByName, own))))
+        # Types are few by nature; only tables that are named are read.
+        parents = {sorted(TYPE_GRAPH)[r.kind] for r in named.select("kind").distinct().collect()}
+        if parents:
+            links.append(_parents(entities, parents).join(named, NAMED_BY))
+    parents = {r.parent for r in RELATIONS} & set(ids)
+    if parents:
+        known = few_rows(_parents(near, parents))
+        naming = _own_references(entities, types, parents) + _list_references(entities, types, parents)
+        # The semi join moves below what derives the rows; repeats are put together among what is left.
+        pairs = known.select("ref_id", "ref_scope")
+        left = [part.join(pairs, ["ref_id", "ref_scope"], "left_semi") for part in naming]
+        links.append(_with_kind(_once(reduce(DataFrame.unionByName, left))).join(known, NAMED_BY))
+    if not links:
+        return labelled(edges_of(entities, "sgo", "sgos").limit(0), "sgo", "sgos")
+    # An edge with both ends changed comes twice, and so may one of a field fed by two relations.
+    return _both_ways(reduce(DataFrame.unionByName, links)).distinct()
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
     """Store edges for `stored_reader`: one folder per type and field, rows in order of their source.
 
-    A task holds edges of one relation, so it opens two folders at most.
+    Edges of one field are brought together in partitions of even size, so a task opens few folders and hubs are split.
     """
-    ordered = edges.sortWithinPartitions("src_type", "field", "src_id")
+    ordered = edges.hint("rebalance", "src_type", "field").sortWithinPartitions("src_type", "field", "src_id")
     ordered.write.mode("errorifexists").partitionBy("src_type", "field").parquet(path)
 
 

@@ -12,7 +12,7 @@ from xrel.operators.assemble import Route, hop_parts
 from xrel.operators.docs import build_docs, headers
 from xrel.operators.edges import EDGE_COLUMNS, EdgeReader, edges_touching
 from xrel.operators.relations import REFERENCES, TYPE_GRAPH, type_edges
-from xrel.session import cut_lineage
+from xrel.session import cut_lineage, few_rows
 from xrel.sources.entities import EntitySet
 
 # Levels of a closure held as separate tables.
@@ -111,17 +111,15 @@ def inverse_ops(ops: DataFrame) -> DataFrame:
 def apply_ops(edges: DataFrame, ops: DataFrame) -> DataFrame:
     """Edges after the ops; removing what is absent or adding what is present changes nothing.
 
-    Only the ops are matched against the edge table, so it need not be shuffled while they are few.
+    Only the ops are matched against the edge table, so it is not shuffled while they are few.
     """
     link = [*LINK, "field"]
-    # Read three times below.
-    ops = cut_lineage(ops)
     whole = [c for c in EDGE_COLUMNS if c in edges.columns]
-    removed = ops.where("op = 'remove'").select(*whole).distinct()
-    added = ops.where("op = 'add'").drop("op").dropDuplicates(whole)
+    removed = few_rows(ops.where("op = 'remove'").select(*whole).distinct())
+    added = few_rows(ops.where("op = 'add'").select(*whole).distinct())
     same = " and ".join(f"e.{c} <=> r.{c}" for c in whole)
     kept = edges.alias("e").join(removed.alias("r"), F.expr(same), "left_anti")
-    present = kept.select(*link).join(added.select(*link), link, "left_semi")
+    present = few_rows(kept.select(*link).join(added.select(*link), link, "left_semi").distinct())
     return kept.unionByName(added.join(present, link, "left_anti")).select(*edges.columns)
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Counted rows up to this many may be handed to every task.
+BROADCAST_ROWS = 100_000
 
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -42,3 +46,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """Write df out and count it: handed to every task while it is small, joined like any other table beyond."""
+    rows = cut_lineage(df)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
