@@ -59,3 +59,32 @@ def test_one_stays(spark, table):
     kept = one_of_each(table(rows))
     assert kept.columns[:3] == ["doc_id", "text", "source"]
     assert PLAIN((r.doc_id, r.text) for r in kept.collect()) == PLAIN([(1, "A b c d e f"), (4, None), (5, ""), (6, "x y")])
+
+
+def test_what_stays_apart_in_buckets(spark, table, monkeypatch):
+    """Rounds and the rarest-shingle join, however few memberships are left, with counters that many shingles share."""
+    from xrel.llm import buckets
+    from xrel.llm import near_duplicates as N
+
+    monkeypatch.setattr(buckets, "FEW", 0)
+    monkeypatch.setattr(N, "LEAST_COUNTERS", 1 << 4)
+    monkeypatch.setattr(N, "PIECE", 1 << 3)
+    rng = random.Random(9)
+    rows = []
+    for k in range(135):
+        # Three texts that share most words, and copies of each at every distance around the threshold.
+        own = [f"w{i}" if i % 9 else f"w{i}-{k % 3}" for i in range(200)]
+        for _ in range(rng.choice((0, 1, 3, 5, 7))):
+            own[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    for percent in (80, 85):
+        assert got(near_duplicates(table(rows), percent)) == PLAIN(brute.near_duplicates(rows, percent))
+
+
+def test_rounds_end_with_the_rarest_shingles(spark, table, monkeypatch):
+    from xrel.llm import buckets
+
+    monkeypatch.setattr(buckets, "FEW", 0)
+    monkeypatch.setattr(buckets, "ROUNDS", 0)
+    rows = varied(11, groups=4, copies=12)
+    assert got(near_duplicates(table(rows), 85)) == PLAIN(brute.near_duplicates(rows, 85))

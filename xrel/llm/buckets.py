@@ -44,7 +44,9 @@ def differing(words: int, width: int) -> Column:
     return out
 
 
-def connected(members: DataFrame, bits: DataFrame, words: int, width: int, most: int, verify: Verify) -> DataFrame:
+def connected(
+    members: DataFrame, bits: DataFrame, words: int, width: int, most: int, verify: Verify, candidates: Verify | None = None
+) -> DataFrame:
     """(node, component) of all items that verified pairs within the buckets of members (key, id) connect.
 
     verify() takes candidate pairs (a, b) and returns those that hold. bits (id, bits) holds `words` 64-bit words of
@@ -53,8 +55,9 @@ def connected(members: DataFrame, bits: DataFrame, words: int, width: int, most:
     as if all these pairs had been compared.
 
     First every item is compared with the smallest that it shares a bucket with, then, a few times, with one of another
-    component in a bucket: one pair per item and round, however large its buckets are. Only where buckets still hold
-    several components are their pairs across components compared one by one.
+    component in a bucket: one pair per item and round, however large its buckets are. What then shares a bucket with
+    another component goes to `candidates`: given rows (id, part), it returns all pairs (a, b) of different parts that
+    may hold, by an exact filter of its own. Without it, the pairs of these buckets are compared one by one.
     """
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -87,6 +90,8 @@ def connected(members: DataFrame, bits: DataFrame, words: int, width: int, most:
             asked = rest.select("id", other.alias("other"))
             chosen = asked.groupBy("id").agg(F.min_by("other", F.xxhash64("id", "other", F.lit(turn))).alias("other"))
             pairs = near(chosen.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+        elif candidates:
+            pairs = candidates(stored(rest.select("id", "part").distinct(), "left-apart"))
         else:
             # A pair comes from the least key that both have, so it comes once.
             own = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))

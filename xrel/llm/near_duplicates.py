@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ _SEEDS = mix(np.arange(1, CHUNKS * PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3
 _FACTORS = mix(_SEEDS) | np.uint64(1)
 # Bits of each component, packed into words, that tell distant pairs apart before their sets are fetched.
 BITS, BIT_WORDS = 4, 4
+# Counters that order shingles by how many sets hold them: their number is a power of two between these.
+LEAST_COUNTERS, MOST_COUNTERS, PIECE = 1 << 16, 1 << 22, 1 << 13
 _PRINTS = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary"
 
 
@@ -112,6 +115,70 @@ def _confirmed(percent: int):
     return confirm
 
 
+def _sketch_rows(counters: int):
+    """How often each counter is met by the shingles of one task, in pieces of a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.int64)
+        for batch in batches:
+            for items in batch.column(0):
+                places = np.frombuffer(items.as_py(), np.uint64) & np.uint64(counters - 1)
+                total += np.bincount(places.view(np.int64), minlength=counters)
+        if total.any():
+            pieces = np.minimum(total, (1 << 31) - 1).astype("<i4").reshape(-1, PIECE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "counts"]
+            )
+
+    return count
+
+
+def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[piece] = sums.get(piece, 0) + np.frombuffer(counts, "<i4").astype(np.int64)
+    if sums:
+        out = [np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], names=["piece", "counts"])
+
+
+def _frequencies(sets: DataFrame, n_items: int) -> np.ndarray:
+    """Counters of shingles, in proportion to the shingles there are and bounded. They only order shingles."""
+    counters = LEAST_COUNTERS
+    while counters < min(n_items // 8, MOST_COUNTERS):
+        counters *= 2
+    schema = "piece int, counts binary"
+    rows = map_arrow(map_arrow(sets.select("items"), _sketch_rows(counters), schema).repartition("piece"), _sketch_sums, schema).collect()
+    out = np.zeros(counters, np.int32)
+    for r in rows:
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, "<i4")
+    return out
+
+
+def _prefixes(frequencies: Broadcast, percent: int):
+    """The rarest shingles of each set, of which two linked sets have one in common, with their places."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = frequencies.value
+        for batch in batches:
+            for row in range(len(batch)):
+                items = np.frombuffer(batch.column(2)[row].as_py(), np.uint64)
+                n = len(items)
+                if not n:
+                    continue
+                rare = np.lexsort((items, counts[(items & np.uint64(len(counts) - 1)).view(np.int64)]))
+                first = items[rare[: n - -(-percent * n // 100) + 1]].view(np.int64)
+                m = len(first)
+                same = lambda value, kind: pa.array(np.full(m, value, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first), same(batch.column(0)[row].as_py(), np.int64), same(batch.column(1)[row].as_py(), np.int64), same(n, np.int64), pa.array(np.arange(m))],
+                    names=["shingle", "id", "part", "n", "place"],
+                )
+
+    return cut
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_shingles, component_id, first_key.
 
@@ -138,23 +205,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     size = classes.select("id", "n")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        pairs = stored(sized.where(close).select("a", "b"), "candidates")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = stored(classes.join(ids, "id", "left_semi").select("id", "first.doc", "first.text_key"), "wanted")
         # Texts move only where more documents are wanted than may be broadcast.
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         own = texts.join(few, ["doc", "text_key"]).select("id", "text")
-        sets = stored(map_arrow(own, _set_rows, "id bigint, items binary").dropDuplicates(["id"]), "sets")
+        return stored(map_arrow(own, _set_rows, "id bigint, items binary").dropDuplicates(["id"]), "sets")
+
+    def candidates(apart: DataFrame) -> DataFrame:
+        """Pairs whose rarest shingles meet, within the bounds on lengths and on places that linked sets keep."""
+        sets = sets_of(apart.select("id"))
+        n_items = apart.join(size, "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets, n_items))
+        rows = apart.join(sets, "id").select("id", "part", "items")
+        first = stored(map_arrow(rows, _prefixes(frequencies, percent), "shingle bigint, id bigint, part bigint, n bigint, place bigint"), "prefixes")
+        # Shingles of one set alone, or of one component alone, give no pair.
+        several = first.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("shingle")
+        first = stored(first.join(several, "shingle", "left_semi"), "prefixes")
+        left, right = (first.toDF(*(c if c == "shingle" else f"{c}_{x}" for c in first.columns)) for x in "ab")
+        both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+        holds = (
+            (F.col("id_a") < F.col("id_b"))
+            & (F.col("part_a") != F.col("part_b"))
+            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            & (both * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+        )
+        return left.join(right, "shingle").where(holds).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        pairs = stored(sized.where(close).select("a", "b"), "candidates")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return map_arrow(both, _confirmed(percent), "a bigint, b bigint")
 
     bits = map_arrow(classes.select("id", "signature"), _bits, "id bigint, bits array<bigint>")
     # Never fewer than the pigeonhole principle finds.
     most = most_apart(CHUNKS * PARTS, percent / 100, CHUNKS * 2 - 1)
-    parts = connected(members, bits, BIT_WORDS, BITS, most, verify)
+    parts = connected(members, bits, BIT_WORDS, BITS, most, verify, candidates)
     labelled = classes.select("id", "digest", "first").join(parts.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     lowest = labelled.groupBy("component").agg(F.min("first").alias("lowest"))
