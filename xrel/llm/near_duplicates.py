@@ -25,6 +25,9 @@ _FACTORS = mix(_SEEDS) | np.uint64(1)
 BITS, BIT_WORDS = 4, 4
 # Counters that order shingles by how many sets hold them: their number is a power of two between these.
 LEAST_COUNTERS, MOST_COUNTERS, PIECE = 1 << 16, 1 << 22, 1 << 13
+# Buckets whose parity bounds how far two sets are apart.
+ODD_BITS = 512
+_PREFIXES = "shingle bigint, id bigint, part bigint, n bigint, place bigint, odd array<bigint>"
 _PRINTS = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary"
 
 
@@ -156,6 +159,12 @@ def _frequencies(sets: DataFrame, n_items: int) -> np.ndarray:
     return out
 
 
+def _odd(items: np.ndarray) -> np.ndarray:
+    """Which of ODD_BITS buckets hold an odd number of the items. Where two sets' buckets differ, so do the sets."""
+    odd = np.bincount((mix(items) & np.uint64(ODD_BITS - 1)).view(np.int64), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _prefixes(frequencies: Broadcast, percent: int):
     """The rarest shingles of each set, of which two linked sets have one in common, with their places."""
 
@@ -171,9 +180,11 @@ def _prefixes(frequencies: Broadcast, percent: int):
                 first = items[rare[: n - -(-percent * n // 100) + 1]].view(np.int64)
                 m = len(first)
                 same = lambda value, kind: pa.array(np.full(m, value, kind))
+                words = ODD_BITS // 64
+                odd = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * words, np.tile(_odd(items), m))
+                own = (same(batch.column(i)[row].as_py(), np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), same(batch.column(0)[row].as_py(), np.int64), same(batch.column(1)[row].as_py(), np.int64), same(n, np.int64), pa.array(np.arange(m))],
-                    names=["shingle", "id", "part", "n", "place"],
+                    [pa.array(first), *own, same(n, np.int64), pa.array(np.arange(m)), odd], names=["shingle", "id", "part", "n", "place", "odd"]
                 )
 
     return cut
@@ -213,22 +224,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return stored(map_arrow(own, _set_rows, "id bigint, items binary").dropDuplicates(["id"]), "sets")
 
     def candidates(apart: DataFrame) -> DataFrame:
-        """Pairs whose rarest shingles meet, within the bounds on lengths and on places that linked sets keep."""
+        """Pairs whose rarest shingles meet, within bounds that linked sets keep: on lengths, places and what differs."""
         sets = sets_of(apart.select("id"))
         n_items = apart.join(size, "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets, n_items))
         rows = apart.join(sets, "id").select("id", "part", "items")
-        first = stored(map_arrow(rows, _prefixes(frequencies, percent), "shingle bigint, id bigint, part bigint, n bigint, place bigint"), "prefixes")
+        first = stored(map_arrow(rows, _prefixes(frequencies, percent), _PREFIXES), "prefixes")
         # Shingles of one set alone, or of one component alone, give no pair.
         several = first.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("shingle")
         first = stored(first.join(several, "shingle", "left_semi"), "prefixes")
         left, right = (first.toDF(*(c if c == "shingle" else f"{c}_{x}" for c in first.columns)) for x in "ab")
+        # At least so many shingles are in one set only; linked sets have at most (1 - t) / (1 + t) of all theirs.
+        alone = sum((F.bit_count(F.get("odd_a", i).bitwiseXOR(F.get("odd_b", i))) for i in range(ODD_BITS // 64)), F.lit(0))
         both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
         holds = (
             (F.col("id_a") < F.col("id_b"))
             & (F.col("part_a") != F.col("part_b"))
             & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
             & (both * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+            & (alone * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         )
         return left.join(right, "shingle").where(holds).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
