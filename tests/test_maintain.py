@@ -10,7 +10,7 @@ from xrel.operators.edges import edges_from_type, edges_of, labelled, reader
 from xrel.sources import tpch
 from xrel.sources.store import VersionedTable
 from xrel.functions.version import json_text
-from xrel.streaming.materialise import Materialiser, newest_rows, stream_materialise
+from xrel.streaming.materialise import Materialiser, newest_rows, stream_materialise, unplaced
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,6 +106,17 @@ def test_newest_rows(spark):
     assert got == {1: ("new", 2, False), 2: ("a", 3, True)}
 
 
+def test_rows_without_a_place_are_kept_apart(spark, tmp_path):
+    schema = "id int, v string, seq int"
+    rows = spark.createDataFrame([(1, "a", 1), (1, "late", None), (None, "no id", 2)], schema)
+    assert [(r.id, r.v) for r in newest_rows(rows, "seq").collect()] == [(1, "a")]
+    target = Materialiser(spark, str(tmp_path), "keyMoment")
+    for _ in range(2):
+        target.reject(rows.where(unplaced("seq")), 3)
+    target.reject(rows.limit(0), 4)
+    assert sorted((r.v, r.batch) for r in target.rejected().collect()) == [("late", 3), ("no id", 3)]
+
+
 def test_doubles_differ(spark):
     values = [1.2345678901234567e-5, 1.23456789012399e-5, 0.1, -0.001, 123456.789, 1234567890.125, 1e-6, 1.5e300, -2.5e-7, 12345678.5, 0.0001, 1e20, 1.2345678901234567e20, 98765432109876543210.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", json_text(F.col("v"), T.DoubleType()).alias("t")).collect()

@@ -141,13 +141,13 @@ def apply_summary(spark, sf_dir):
     "build_one",
     oracle.query(
         "select a.external_key, case when d.id is null then 'not_found' else 'ok' end as status, d.id, d.n_events, d.sgos, d.clubs, d.staff from "
-        "(select distinct (l_quantity::bigint * 10) || ' @ tpch' as external_key from lineitem where l_shipdate >= timestamp '2001-06-01') a "
+        "(select distinct (l_quantity::bigint * 10) || ' @ tpch' as external_key from lineitem) a "
         f"left join ({doc_sql('team')}) d on d.external_key = a.external_key"
     ),
 )
 def build_one(spark, sf_dir):
-    """Team documents for the keys recent lines name, some of which are no team."""
-    lines = tpch.table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'2001-06-01 00:00:00'")
+    """Team documents for the keys that lines name, some of which are no team."""
+    lines = tpch.table(spark, sf_dir, "lineitem")
     named = (F.col("l_quantity").cast("bigint") * 10).cast("string")
     asked = lines.select(keys.pair_key(named, F.lit(tpch.SCOPE)).alias("external_key")).distinct()
     docs, status = M.build_one(tpch.entities(spark, sf_dir), "team", asked)
@@ -220,7 +220,7 @@ def recursive_closure(spark, sf_dir):
     oracle.query(
         "select x.type, x.id, x.key as external_key, (select count(*) from all_edges a where a.src_type = x.type and a.src_id = x.id) as related, 'ok' as status from ("
         + " union all ".join(
-            f"select '{t}' as type, dst_id as id, external_key as key from (select distinct dst_id from c_{t} where request_id = 'competition:1995') join {oracle.table_of(t)} e on e.id = dst_id"
+            f"select '{t}' as type, dst_id as id, external_key as key from (select distinct dst_id from c_{t}) join {oracle.table_of(t)} e on e.id = dst_id"
             for t in _CLOSURE_TYPES
         )
         + ") x",
@@ -228,10 +228,10 @@ def recursive_closure(spark, sf_dir):
     ),
 )
 def rebuild(spark, sf_dir):
-    """Every document that one season's rebuild touches, built from stored edges."""
+    """Every document that the rebuild of any season touches, built from stored edges."""
     es = tpch.entities(spark, sf_dir)
     edges = cut_lineage(all_edges(es))
-    roots = es.rows("competition").where("id = 'competition:1995'").select(F.col("id").alias("request_id"), "id", F.col("external_key").alias("key"))
+    roots = es.rows("competition").select(F.col("id").alias("request_id"), "id", F.col("external_key").alias("key"))
     touched = M.rebuild_closure(roots, stored_reader(edges))
     return M.rebuild(es, edges, touched)
 

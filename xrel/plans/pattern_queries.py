@@ -102,12 +102,12 @@ def date_group(spark, sf_dir):
 
 @register(
     "expression_group",
-    "select case when l_extendedprice < 10000 then 'budget' when l_extendedprice < 50000 then 'mid' when l_extendedprice >= 50000 then 'premium' else 'unknown' end as band, "
+    "select case when l_extendedprice < 20000 then 'small' when l_extendedprice < 65000 then 'usual' when l_extendedprice >= 65000 then 'large' else 'none' end as band, "
     f"count(*) as n, round({_SUM.format('l_extendedprice')} / count(*), 6) as average from lineitem group by 1",
 )
 def expression_group(spark, sf_dir):
     price = F.col("l_extendedprice")
-    band = F.when(price < 10000, "budget").when(price < 50000, "mid").when(price >= 50000, "premium").otherwise("unknown")
+    band = F.when(price < 20000, "small").when(price < 65000, "usual").when(price >= 65000, "large").otherwise("none")
     return tpch.table(spark, sf_dir, "lineitem").groupBy(band.alias("band")).agg(
         F.count("*").alias("n"), _mean(F.sum(_money("l_extendedprice")), F.count("*")).alias("average")
     )
@@ -273,17 +273,17 @@ def ab_rates(spark, sf_dir):
     )
 
 
-_SCORE_SQL = "select user_id, count_if(event_type = 'view') * 1 + count_if(event_type = 'purchase') * 10 + count_if(event_type = 'click') * 5 as score, count(*) as n from events group by 1"
+_SCORE_SQL = "select user_id, count_if(event_type = 'view') * 2 + count_if(event_type = 'click') * 3 + count_if(event_type = 'purchase') * 8 as score, count(*) as n from events group by 1"
 
 
-@register("engagement_score", f"select user_id, score::bigint as score, n from ({_SCORE_SQL}) order by score desc, user_id limit 10")
+@register("engagement_score", f"select user_id, score::bigint as score, n from ({_SCORE_SQL}) order by score desc, user_id limit 25")
 def engagement_score(spark, sf_dir):
     def seen(kind):
         return F.count_if(F.col("event_type") == kind)
 
-    score = seen("view") + seen("purchase") * 10 + seen("click") * 5
+    score = seen("view") * 2 + seen("click") * 3 + seen("purchase") * 8
     per_user = tpch.table(spark, sf_dir, "events").groupBy("user_id").agg(score.alias("score"), F.count("*").alias("n"))
-    return per_user.orderBy(F.desc("score"), "user_id").limit(10)
+    return per_user.orderBy(F.desc("score"), "user_id").limit(25)
 
 
 @register(
