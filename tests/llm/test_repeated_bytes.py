@@ -46,6 +46,33 @@ def test_hot_anchors_and_segments(spark, table):
     assert got(R.removed_bytes(table(rows))) == sorted(brute.repeated_bytes(rows), key=repr)
 
 
+def test_every_anchor_frequent(spark, table, monkeypatch):
+    """With HOT at 1 all strings at anchors of different runs are grouped by bytes; a full bit table lets all runs by."""
+    monkeypatch.setattr(R, "HOT", 1)
+    monkeypatch.setattr(R, "MOST_BITS", 1 << 15)
+    rows = cases(2)
+    assert got(R.removed_bytes(table(rows))) == sorted(brute.repeated_bytes(ordered(rows)), key=repr)
+
+
+def test_texts_over_several_segments(spark, table):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh ", k=R.SEGMENT + 5_000))
+    rows = [(1, long), (2, "x" + long[R.SEGMENT - 150 : R.SEGMENT + 150]), (3, long[-400:] + long[:300]), (4, "z" * (R.SEGMENT + 700))]
+    n = R.SEGMENT
+    removed = {r.doc_id: [(m.begin, m.end) for m in r.removed] for r in R.removed_bytes(table(rows)).collect()}
+    assert removed == {1: [], 2: [(1, 301)], 3: [(0, 700)], 4: [(1, n + 700)]}
+
+
+def test_bit_table(spark):
+    rng = random.Random(5)
+    anchors = [rng.getrandbits(48) for _ in range(5_000)]
+    marked = R.bit_table(spark.createDataFrame([(a,) for a in anchors], "anchor bigint"), len(anchors))
+    at = {a % (8 * len(marked)) for a in anchors}
+    assert 8 * len(marked) >= R.BITS_PER_ANCHOR * 5_000
+    assert set(np.flatnonzero(np.unpackbits(marked, bitorder="little")).tolist()) == at
+    assert not R.bit_table(spark.createDataFrame([], "anchor bigint"), 0).any()
+
+
 def test_empty(spark, table):
     assert got(R.removed_bytes(table([]))) == []
 
@@ -56,7 +83,7 @@ def test_anchor_runs_cover_every_string_once(texts):
     data = "".join(texts).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     anchors, covered = {}, []
-    for row, first, last, hashes, _ in R.anchor_runs(data, offsets):
+    for row, first, last, hashes in R.anchor_runs(data, offsets):
         for r, a, b, h in zip(row.tolist(), first.tolist(), last.tolist(), hashes.tolist(), strict=True):
             for s in range(a, b + 1):
                 covered.append((r, s))

@@ -17,9 +17,12 @@ SIZE = 100
 # Every string of SIZE bytes has an anchor: of all its runs of ANCHOR bytes, the first with the least hash.
 ANCHOR = 32
 SEGMENT = 1 << 20
-# Strings at anchors with more occurrences than this are compared by hashes instead of in one task.
+# Strings at anchors with more different runs than this are grouped over all tasks instead of in one.
 HOT = 4_000
 CHUNK_BYTES = 4 << 20
+# Repeated anchors are marked in a bit table that every task gets: so many bits each, and at most 64 MB in all.
+BITS_PER_ANCHOR = 16
+MOST_BITS = 1 << 29
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,16 +53,14 @@ def run_hashes(data: np.ndarray, size: int, base: int = 1) -> np.ndarray:
 
 
 def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, first start, last start, anchor hash, hash of the text) of runs of strings of SIZE bytes with one anchor.
+    """(row, first start, last start, anchor hash) of runs of strings of SIZE bytes with one anchor.
 
     Every string within a row lies in exactly one run, and equal strings have equal anchors.
     """
     raw = np.frombuffer(data, np.uint8)
     choices = SIZE - ANCHOR + 1
     for at in range(0, max(0, len(raw) - SIZE + 1), SEGMENT):
-        own = raw[at : at + SEGMENT + SIZE - 1]
-        sums, down = _prefixes(own)
-        hashes = mix((sums[ANCHOR:] - sums[: len(own) - ANCHOR + 1]) * down[: len(own) - ANCHOR + 1])
+        hashes = run_hashes(raw[at : at + SEGMENT + SIZE - 1], ANCHOR)
         # The least hash, and the first place among equals.
         low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
         span = 1
@@ -78,34 +79,66 @@ def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
-        begin, end = start[first] - at, start[last] - at + SIZE
-        text = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-        yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], hashes[anchor[first]], text
+        # Cut to 48 bits: anchors that fall together by chance only bring strings together that need not be.
+        short = (hashes[anchor[first]] & _SHORT).astype(np.int64)
+        yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], short
 
 
 _SHORT = np.uint64((1 << 48) - 1)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes are cut to 48 bits, as most of what moves are hashes; `place` is n in the high half, then the start.
-
-    Anchors that fall together by chance only bring strings together that need not be; their texts' hashes are compared
-    within one anchor.
-    """
+    """The anchor of every run, and nothing else."""
     for batch in batches:
-        ids, ns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for lo, _, data, offsets in text_slices(batch.column(2)):
-            for row, first, last, hashes, texts in anchor_runs(data, offsets):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((hashes & _SHORT).astype(np.int64)),
-                        pa.array((texts & _SHORT).astype(np.int64)),
-                        pa.array(ids[lo + row]),
-                        pa.array((ns[lo + row].astype(np.int64) << 32) | first),
-                        pa.array((last - first).astype(np.int32)),
-                    ],
-                    names=["anchor", "text", "id", "place", "more"],
-                )
+        for _, _, data, offsets in text_slices(batch.column(0)):
+            for *_, anchors in anchor_runs(data, offsets):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors)], names=["anchor"])
+
+
+def _repeated_runs(table):
+    """Runs whose anchor the bit table marks; `place` is n in the high half, then the start."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = table.value
+        for batch in batches:
+            ids, ns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, _, data, offsets in text_slices(batch.column(2)):
+                for row, first, last, anchors in anchor_runs(data, offsets):
+                    at = anchors & (8 * len(marked) - 1)
+                    own = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                    row, first, last = row[own], first[own], last[own]
+                    begin, end = (offsets[row] + first).tolist(), (offsets[row] + last + SIZE).tolist()
+                    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True))
+                    text = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(anchors[own]),
+                            pa.array(np.ascontiguousarray(text[:, 0])),
+                            pa.array(np.ascontiguousarray(text[:, 1])),
+                            pa.array(ids[lo + row]),
+                            pa.array((ns[lo + row].astype(np.int64) << 32) | first),
+                            pa.array((last - first).astype(np.int32)),
+                        ],
+                        names=["anchor", "text_a", "text_b", "id", "place", "more"],
+                    )
+
+    return find
+
+
+def bit_table(repeated: DataFrame, n: int) -> np.ndarray:
+    """A bit for each value that the low bits of the `n` anchors in `repeated` take, as bytes.
+
+    Its size is a power of two, at least BITS_PER_ANCHOR bits an anchor while that is within MOST_BITS. A fuller table
+    lets more single anchors through, which costs work and changes no result.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (n * BITS_PER_ANCHOR - 1).bit_length()))
+    at = F.col("anchor").bitwiseAND(bits - 1) + 1
+    pages = repeated.groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in pages.collect():
+        own = np.frombuffer(row["bits"], np.uint8)
+        out[(row["page"] - 1) * 4096 :][: len(own)] = own
+    return out
 
 
 def previous_factors(text: bytes, starts: np.ndarray) -> np.ndarray:
@@ -136,39 +169,27 @@ def previous_factors(text: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of every run at a repeated anchor; at a hot one, a pair of hashes for every string in it."""
+    """The text of every listed run; those without an anchor are cut into their strings of SIZE bytes."""
     for batch in batches:
-        keys, more, ids, ns, firsts, texts = [], [], [], [], [], []
+        keys, ids, ns, firsts, texts = [], [], [], [], []
         size = 0
 
         def done():
-            arrays = [pa.array(x, t) for x, t in ((keys, pa.int64()), (more, pa.int64()), (ids, pa.int64()), (ns, pa.int32()), (firsts, pa.int32()), (texts, pa.binary()))]
-            return pa.RecordBatch.from_arrays(arrays, names=["key", "more", "id", "n", "first", "string"])
+            arrays = [pa.array(x, t) for x, t in ((keys, pa.int64()), (ids, pa.int64()), (ns, pa.int32()), (firsts, pa.int32()), (texts, pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["key", "id", "n", "first", "string"])
 
         for i in range(len(batch)):
-            text = batch.column(2)[i].as_py().encode()
-            for run in batch.column(3)[i].as_py():
-                own = text[run["first"] : run["last"] + SIZE]
-                if run["hot"]:
-                    for at in range(0, len(own) - SIZE + 1, SEGMENT):
-                        raw = np.frombuffer(own[at : at + SEGMENT + SIZE - 1], np.uint8)
-                        pairs = zip(run_hashes(raw, SIZE).view(np.int64).tolist(), run_hashes(raw, SIZE, 77).view(np.int64).tolist(), strict=True)
-                        for k, (a, b) in enumerate(pairs):
-                            keys.append(a)
-                            more.append(b)
-                            firsts.append(run["first"] + at + k)
-                            texts.append(None)
-                else:
-                    keys.append(run["anchor"])
-                    more.append(None)
-                    firsts.append(run["first"])
-                    texts.append(own)
+            id_, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            text = batch.column(3)[i].as_py().encode()
+            for run in batch.column(4)[i].as_py():
+                first, last, anchor = run["first"], run["last"], run["anchor"]
+                for at, end in [(first, last)] if anchor is not None else zip(range(first, last + 1), range(first, last + 1), strict=True):
+                    own = text[at : end + SIZE]
+                    keys.append(anchor), ids.append(id_), ns.append(n), firsts.append(at), texts.append(own)
                     size += len(own)
-                ids += [batch.column(0)[i].as_py()] * (len(keys) - len(ids))
-                ns += [batch.column(1)[i].as_py()] * (len(keys) - len(ns))
-                if size > CHUNK_BYTES or len(keys) > 100_000:
-                    yield done()
-                    keys, more, ids, ns, firsts, texts, size = [], [], [], [], [], [], 0
+                    if size > CHUNK_BYTES or len(keys) > 100_000:
+                        yield done()
+                        keys, ids, ns, firsts, texts, size = [], [], [], [], [], 0
         yield done()
 
 
@@ -208,7 +229,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     size, key = 0, None
     for batch in batches:
-        for k, i, n, first, own in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
+        for k, i, n, first, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4)), strict=True):
             if k != key and size > CHUNK_BYTES:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, _typed(_marks_of(rows)))), names=["id", "n", "begin", "end"])
                 rows, size = [], 0
@@ -260,60 +281,74 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     same row. Texts are UTF-8; null and empty ones have no bytes. Rows without a doc_id come last, rows that repeat one
     in the order of their texts. Strings are judged on the input. Other columns are ignored.
 
-    Strings are brought together by anchors, and runs of them around one anchor by hashes of their texts. Runs that
-    repeat go at once; of anchors with different runs the first of each move, and their suffixes are sorted in chunks
-    between anchors. At anchors with over HOT different runs strings are instead known by hashes, in effect of 64 bits:
-    the first of each is found by a sum that combines before it shuffles. Runs are known by 48 bits within one anchor.
-    Bytes are not compared where hashes decide.
+    Strings are brought together by anchors, and runs of them around one anchor by 128-bit digests of their texts: runs
+    that repeat go at once. Of anchors with different runs the first of each move, and their suffixes are sorted in
+    chunks between anchors. At an anchor with over HOT different runs strings are grouped by their bytes instead, with
+    the first place found by a least value that combines before it shuffles; the result is the same.
     """
     rows = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
+    long_enough = rows.where(F.octet_length("text") >= SIZE)
+    anchors = map_arrow(long_enough.select("text"), _anchors, "anchor bigint")
+    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1"), "repeated-anchors")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, repeated.count()))
     found = map_arrow(
-        rows.where(F.octet_length("text") >= SIZE).select("id", "n", "text"),
-        _anchors, "anchor bigint, text bigint, id bigint, place bigint, more int",
+        long_enough.select("id", "n", "text"), _repeated_runs(table),
+        "anchor bigint, text_a bigint, text_b bigint, id bigint, place bigint, more int",
     )
-    repeated = stored(found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1"), "repeated-anchors")
+    found = stored(found, "repeated-runs")
+    often = repeated.where(F.col("count") > HOT).select("anchor")
+    n_often = often.count()
+    few = F.broadcast(often) if n_often <= BROADCAST_ROWS else often
     # Of equal runs only the first can hold a first string; the others go as a whole. Where an anchor has different
     # runs, the first of each are compared string by string.
-    own = Window.partitionBy("anchor")
-    usual = found.join(repeated.where(F.col("count") <= HOT), "anchor")
+    text = F.struct("text_a", "text_b")
+    own = Window.partitionBy("anchor").orderBy("text_a", "text_b", "id", "place")
+    all_own = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    usual = found.join(few, "anchor", "left_anti")
     judged = stored(
         usual.select(
             "anchor", "id", "place", "more",
-            (F.min("text").over(own) != F.max("text").over(own)).alias("mixed"),
-            (F.row_number().over(Window.partitionBy("anchor", "text").orderBy("id", "place")) == 1).alias("leads"),
+            (F.first(text).over(all_own) != F.last(text).over(all_own)).alias("mixed"),
+            F.coalesce(F.lag(text).over(own) != text, F.lit(True)).alias("leads"),
         ).where("mixed or not leads"),
         "judged-runs",
     )
-    # The same for frequent anchors, by sums that combine before they shuffle and a join that splits.
-    often = repeated.where(F.col("count") > HOT).select("anchor")
-    few = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    frequent = stored(found.join(few, "anchor"), "frequent-runs")
-    leaders = frequent.groupBy("anchor", "text").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("more").alias("more"))
-    kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    led = frequent.join(leaders.select("anchor", "text", "lead"), ["anchor", "text"])
-    copies = judged.where("not leads").select("id", "place", "more").unionByName(
-        led.where("struct(id, place) <> lead").select("id", "place", "more")
-    )
+    copies = judged.where("not leads").select("id", "place", "more")
     n, first = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
+    listed = F.struct(first.alias("first"), (first + F.col("more")).alias("last"), "anchor")
+    unlike, mixed = judged.where("leads and mixed").select("anchor", "id", "place", "more"), None
+    if n_often:
+        # The same for frequent anchors, by sums that combine before they shuffle and a join that splits.
+        frequent = found.join(few, "anchor", "left_semi")
+        leaders = stored(
+            frequent.groupBy("anchor", "text_a", "text_b").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("more").alias("more")),
+            "leading-runs",
+        )
+        kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        led = frequent.join(leaders.drop("more"), ["anchor", "text_a", "text_b"])
+        copies = copies.unionByName(led.where("struct(id, place) <> lead").select("id", "place", "more"))
+        several = leaders.join(kinds, "anchor").select("anchor", "lead.id", "lead.place", "more", "kinds")
+        unlike = unlike.unionByName(several.where(F.col("kinds") <= HOT).drop("kinds"))
+        mixed = several.where(F.col("kinds") > HOT).drop("kinds").withColumn("anchor", F.lit(None).cast("bigint"))
+
+    def strings(runs: DataFrame) -> DataFrame:
+        by_row = runs.groupBy("id", n.alias("n")).agg(F.collect_list(listed).alias("runs"))
+        # All columns of rows, so that this join and the last one can share one exchange of texts.
+        meeting = rows.join(by_row, ["id", "n"]).select("id", "n", "doc_id", "text", "runs")
+        return map_arrow(meeting, _strings, "key bigint, id bigint, n int, first int, string binary")
+
     whole = copies.select("id", n.alias("n"), first.alias("begin"), (first + F.col("more") + SIZE).alias("end"))
-    unlike = judged.where("leads and mixed").select("anchor", "id", "place", "more", F.lit(False).alias("hot")).unionByName(
-        leaders.join(kinds.where("kinds > 1"), "anchor").select("anchor", "lead.id", "lead.place", "more", (F.col("kinds") > HOT).alias("hot"))
-    )
-    runs = unlike.groupBy("id", n.alias("n")).agg(
-        F.collect_list(F.struct(first.alias("first"), (first + F.col("more")).alias("last"), "anchor", "hot")).alias("runs")
-    )
-    texts = rows.repartition("id", "n")
-    meeting = texts.join(runs, ["id", "n"]).select("id", "n", "text", "runs")
-    strings = map_arrow(meeting, _strings, "key bigint, more bigint, id bigint, n int, first int, string binary")
-    plain = strings.where("string is not null").repartition("key").sortWithinPartitions("key")
-    marks = map_arrow(plain, _marks, "id bigint, n int, begin int, end int")
-    hot = strings.where("string is null").select("key", "more", F.struct("id", "n", "first").alias("place"))
-    origin = hot.groupBy("key", "more").agg(F.min("place").alias("origin"), F.count("*").alias("count")).where("count > 1")
-    again = hot.join(origin.drop("count"), ["key", "more"]).where("place <> origin").select(
-        "place.id", "place.n", F.col("place.first").alias("begin"), (F.col("place.first") + SIZE).alias("end")
-    )
-    by_row = marks.unionByName(again).unionByName(whole).groupBy("id", "n").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    plain = strings(unlike).repartition("key").sortWithinPartitions("key")
+    gone = whole.unionByName(map_arrow(plain, _marks, "id bigint, n int, begin int, end int"))
+    if mixed is not None:
+        hot = strings(mixed).select("string", F.struct("id", "n", "first").alias("place"))
+        origin = hot.groupBy("string").agg(F.min("place").alias("origin"), F.count("*").alias("count")).where("count > 1")
+        again = hot.join(origin.drop("count"), "string").where("place <> origin")
+        gone = gone.unionByName(
+            again.select("place.id", "place.n", F.col("place.first").alias("begin"), (F.col("place.first") + SIZE).alias("end"))
+        )
+    by_row = gone.groupBy("id", "n").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
-    final = texts.join(by_row, ["id", "n"], "left").select("doc_id", n_bytes, "text", "marks")
+    final = rows.join(by_row, ["id", "n"], "left").select("doc_id", n_bytes, "text", "marks")
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, removed array<struct<begin:int,end:int>>, kept_sha256 string"
     return map_arrow(final, _kept, kind)
