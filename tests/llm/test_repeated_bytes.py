@@ -63,6 +63,25 @@ def test_texts_over_several_segments(spark, table):
     assert removed == {1: [], 2: [(1, 301)], 3: [(0, 700)], 4: [(1, n + 700)]}
 
 
+def test_kinds_that_go_on_over_partitions(spark):
+    rng = random.Random(8)
+    runs = [(7, 1, 1, i, 5, 3) for i in range(3_000)] + [(rng.randrange(9), rng.randrange(3), 2, i, i, 1) for i in range(500)]
+    rng.shuffle(runs)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            leaders, copies = R.judged_runs(spark.createDataFrame(runs, "anchor long, text_a long, text_b long, id long, place long, more int"))
+            first = {}
+            for r in sorted(runs):
+                first.setdefault(r[:3], (r[0], *r[3:]))
+            assert sorted(map(tuple, leaders.collect())) == sorted(first.values())
+            want = sorted(r[3:] for r in runs if (r[0], *r[3:]) != first[r[:3]])
+            assert sorted(map(tuple, copies.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
 def test_bit_table(spark):
     rng = random.Random(5)
     anchors = [rng.getrandbits(48) for _ in range(5_000)]

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
+from xrel.llm.shared import map_arrow, stored, with_row_key
 from xrel.llm.words import mix, text_slices
 
 SIZE = 100
@@ -19,7 +20,7 @@ ANCHOR = 32
 SEGMENT = 1 << 20
 # Strings at anchors with more different runs than this are grouped over all tasks instead of in one.
 HOT = 4_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # Repeated anchors are marked in a bit table that every task gets: so many bits each, and at most 64 MB in all.
 BITS_PER_ANCHOR = 16
 MOST_BITS = 1 << 29
@@ -70,7 +71,7 @@ def anchor_runs(data: bytes, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         low = np.minimum(low[: len(low) - (choices - span)], low[choices - span :])
         anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = at + np.arange(len(anchor))
-        row = np.searchsorted(offsets, start, "right") - 1
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, at, at + len(anchor))))
         whole = np.flatnonzero(start + SIZE <= offsets[row + 1])
         if not len(whole):
             continue
@@ -141,6 +142,56 @@ def bit_table(repeated: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each run, in order of (anchor, text, id, place), is the first of its kind in this partition.
+
+    The first run carries its kind in `edge`; a last row without a place carries the kind of the last run.
+    """
+    part, last = TaskContext.get().partitionId(), None
+    for batch in batches:
+        if not len(batch):
+            continue
+        kinds = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        before = np.concatenate([kinds[:1] if last is None else last, kinds[:-1]])
+        leads = (kinds != before).any(axis=1)
+        edges = [None] * len(batch)
+        if last is None:
+            leads[0], edges[0] = True, kinds[0].tobytes()
+        last = kinds[-1:]
+        columns = [batch.column(k) for k in (0, 3, 4, 5)]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(leads), pa.array(np.full(len(batch), part, np.int32)), pa.array(edges, pa.binary())], names=_JUDGED
+        )
+    if last is not None:
+        own = ((int(last[0, 0]), pa.int64()), (None, pa.int64()), (None, pa.int64()), (None, pa.int32()), (None, pa.bool_()), (part, pa.int32()), (last.tobytes(), pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in own], names=_JUDGED)
+
+
+_JUDGED = ["anchor", "id", "place", "more", "leads", "part", "edge"]
+
+
+def judged_runs(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaders, copies): runs that are the first with their anchor and text, and all others.
+
+    Runs are put in order of (anchor, text, id, place) by a range shuffle, which also splits the copies of one run. A kind
+    that goes on from one partition into the next is seen from the kinds at their edges: two rows of each partition
+    reach the driver.
+    """
+    order = ("anchor", "text_a", "text_b", "id", "place")
+    kind = "anchor bigint, id bigint, place bigint, more int, leads boolean, part int, edge binary"
+    ordered = found.select(*order, "more").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(map_arrow(ordered, _leads, kind), "judged-runs")
+    following, last = [], None
+    for edge in sorted(rows.where("edge is not null").collect(), key=lambda r: (r.part, r.place is None)):
+        if edge.place is None:
+            last = bytes(edge.edge)
+        elif bytes(edge.edge) == last:
+            following.append((edge.id, edge.place, edge.more))
+    follow = found.sparkSession.createDataFrame(following, "id bigint, place bigint, more int")
+    leaders = rows.where("leads").join(F.broadcast(follow), ["id", "place"], "left_anti").select("anchor", "id", "place", "more")
+    return leaders, rows.where("not leads").select("id", "place", "more").unionByName(follow)
+
+
 def previous_factors(text: bytes, starts: np.ndarray) -> np.ndarray:
     """Which of these places (ascending) begin SIZE bytes that begin at an earlier one too.
 
@@ -289,47 +340,20 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     rows = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
     long_enough = rows.where(F.octet_length("text") >= SIZE)
     anchors = map_arrow(long_enough.select("text"), _anchors, "anchor bigint")
-    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1"), "repeated-anchors")
+    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-anchors")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, repeated.count()))
     found = map_arrow(
         long_enough.select("id", "n", "text"), _repeated_runs(table),
         "anchor bigint, text_a bigint, text_b bigint, id bigint, place bigint, more int",
     )
-    found = stored(found, "repeated-runs")
-    often = repeated.where(F.col("count") > HOT).select("anchor")
-    n_often = often.count()
-    few = F.broadcast(often) if n_often <= BROADCAST_ROWS else often
     # Of equal runs only the first can hold a first string; the others go as a whole. Where an anchor has different
     # runs, the first of each are compared string by string.
-    text = F.struct("text_a", "text_b")
-    own = Window.partitionBy("anchor").orderBy("text_a", "text_b", "id", "place")
-    all_own = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    usual = found.join(few, "anchor", "left_anti")
-    judged = stored(
-        usual.select(
-            "anchor", "id", "place", "more",
-            (F.first(text).over(all_own) != F.last(text).over(all_own)).alias("mixed"),
-            F.coalesce(F.lag(text).over(own) != text, F.lit(True)).alias("leads"),
-        ).where("mixed or not leads"),
-        "judged-runs",
-    )
-    copies = judged.where("not leads").select("id", "place", "more")
+    leaders, copies = judged_runs(stored(found, "repeated-runs"))
+    kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    unlike = stored(leaders.join(kinds, "anchor"), "different-runs")
+    many = unlike.where(F.col("kinds") > HOT).withColumn("anchor", F.lit(None).cast("bigint"))
     n, first = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
     listed = F.struct(first.alias("first"), (first + F.col("more")).alias("last"), "anchor")
-    unlike, mixed = judged.where("leads and mixed").select("anchor", "id", "place", "more"), None
-    if n_often:
-        # The same for frequent anchors, by sums that combine before they shuffle and a join that splits.
-        frequent = found.join(few, "anchor", "left_semi")
-        leaders = stored(
-            frequent.groupBy("anchor", "text_a", "text_b").agg(F.min(F.struct("id", "place")).alias("lead"), F.max("more").alias("more")),
-            "leading-runs",
-        )
-        kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        led = frequent.join(leaders.drop("more"), ["anchor", "text_a", "text_b"])
-        copies = copies.unionByName(led.where("struct(id, place) <> lead").select("id", "place", "more"))
-        several = leaders.join(kinds, "anchor").select("anchor", "lead.id", "lead.place", "more", "kinds")
-        unlike = unlike.unionByName(several.where(F.col("kinds") <= HOT).drop("kinds"))
-        mixed = several.where(F.col("kinds") > HOT).drop("kinds").withColumn("anchor", F.lit(None).cast("bigint"))
 
     def strings(runs: DataFrame) -> DataFrame:
         by_row = runs.groupBy("id", n.alias("n")).agg(F.collect_list(listed).alias("runs"))
@@ -338,10 +362,10 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
         return map_arrow(meeting, _strings, "key bigint, id bigint, n int, first int, string binary")
 
     whole = copies.select("id", n.alias("n"), first.alias("begin"), (first + F.col("more") + SIZE).alias("end"))
-    plain = strings(unlike).repartition("key").sortWithinPartitions("key")
+    plain = strings(unlike.where(F.col("kinds") <= HOT)).repartition("key").sortWithinPartitions("key")
     gone = whole.unionByName(map_arrow(plain, _marks, "id bigint, n int, begin int, end int"))
-    if mixed is not None:
-        hot = strings(mixed).select("string", F.struct("id", "n", "first").alias("place"))
+    if not many.isEmpty():
+        hot = strings(many).select("string", F.struct("id", "n", "first").alias("place"))
         origin = hot.groupBy("string").agg(F.min("place").alias("origin"), F.count("*").alias("count")).where("count > 1")
         again = hot.join(origin.drop("count"), "string").where("place <> origin")
         gone = gone.unionByName(
