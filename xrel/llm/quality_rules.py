@@ -214,8 +214,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dec
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs, with all their columns, that the base rule and the learned rules keep."""
-    rules = learn_rules(stored(document_statistics(docs), "statistics"), labels)
+    """Rows of docs, with all their columns, that the base rule and the learned rules keep.
+
+    Rules are learned from the statistics of labelled rows alone; all rows are then judged in one pass.
+    """
+    known = labels.where("quality is not null").select(F.col("doc_id").cast("bigint").alias("_id"))
+    labelled = docs.join(known, F.col("doc_id").cast("bigint") == F.col("_id"), "left_semi")
+    rules = learn_rules(stored(document_statistics(labelled), "statistics"), labels)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     kept = judged(with_statistics(docs.select(whole, F.col("text").alias("_text"))), rules).where("kept and _number >= 0")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
