@@ -89,3 +89,17 @@ def test_query(spark):
     columns = ("doc_id", "n_passages", "n_passage_bytes", "passages", "rest_sha256")
     assert sorted(tuple(r) for r in op5_repeated_paragraphs(spark, SF).select(*columns).collect()) == sorted(want)
     assert sum(r[1] for r in want) > 0
+
+
+def test_periodic_texts_and_equal_runs(spark, table):
+    """Runs that overlap equal ones in their own row, beside whole copies of them elsewhere."""
+    rng = random.Random(5)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(90)) for _ in range(4)]
+    turns = ["a b " * 70, "x " * 130, " ".join(f"p{i % 37}" for i in range(200)), " ".join(f"q{i % 60}" for i in range(240))]
+    rows = []
+    for i in range(24):
+        parts = [rng.choice(own), rng.choice(turns), rng.choice(own), rng.choice(turns), f"e{i}"]
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(parts[: rng.randrange(1, 6)])))
+    found = without_repeated_passages(table(rows)).collect()
+    assert sorted((r.doc_id, [tuple(s) for s in r.passages], r.text) for r in found) == expected(rows)

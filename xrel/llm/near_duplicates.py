@@ -190,6 +190,32 @@ def _prefixes(frequencies: Broadcast, percent: int):
     return cut
 
 
+def rarest_pairs(apart: DataFrame, sets: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts of apart (id, part) whose sets (id, items) may be linked; size has (id, n).
+
+    Their rarest shingles meet, within bounds that linked sets keep: on lengths, places and what differs.
+    """
+    n_items = apart.join(size, "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequencies = apart.sparkSession.sparkContext.broadcast(_frequencies(sets, n_items))
+    rows = apart.join(sets, "id").select("id", "part", "items")
+    first = stored(map_arrow(rows, _prefixes(frequencies, percent), _PREFIXES), "prefixes")
+    # Shingles of one set alone, or of one component alone, give no pair.
+    several = first.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("shingle")
+    first = stored(first.join(several, "shingle", "left_semi"), "prefixes")
+    left, right = (first.toDF(*(c if c == "shingle" else f"{c}_{x}" for c in first.columns)) for x in "ab")
+    # At least so many shingles are in one set only; linked sets have at most (1 - t) / (1 + t) of all theirs.
+    alone = sum((F.bit_count(F.get("odd_a", i).bitwiseXOR(F.get("odd_b", i))) for i in range(ODD_BITS // 64)), F.lit(0))
+    both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    holds = (
+        (F.col("id_a") < F.col("id_b"))
+        & (F.col("part_a") != F.col("part_b"))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (both * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+        & (alone * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    )
+    return left.join(right, "shingle").where(holds).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, text_key, n_shingles, component_id, first_key.
 
@@ -224,27 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return stored(map_arrow(own, _set_rows, "id bigint, items binary").dropDuplicates(["id"]), "sets")
 
     def candidates(apart: DataFrame) -> DataFrame:
-        """Pairs whose rarest shingles meet, within bounds that linked sets keep: on lengths, places and what differs."""
-        sets = sets_of(apart.select("id"))
-        n_items = apart.join(size, "id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(sets, n_items))
-        rows = apart.join(sets, "id").select("id", "part", "items")
-        first = stored(map_arrow(rows, _prefixes(frequencies, percent), _PREFIXES), "prefixes")
-        # Shingles of one set alone, or of one component alone, give no pair.
-        several = first.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("shingle")
-        first = stored(first.join(several, "shingle", "left_semi"), "prefixes")
-        left, right = (first.toDF(*(c if c == "shingle" else f"{c}_{x}" for c in first.columns)) for x in "ab")
-        # At least so many shingles are in one set only; linked sets have at most (1 - t) / (1 + t) of all theirs.
-        alone = sum((F.bit_count(F.get("odd_a", i).bitwiseXOR(F.get("odd_b", i))) for i in range(ODD_BITS // 64)), F.lit(0))
-        both = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-        holds = (
-            (F.col("id_a") < F.col("id_b"))
-            & (F.col("part_a") != F.col("part_b"))
-            & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            & (both * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-            & (alone * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        )
-        return left.join(right, "shingle").where(holds).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        return rarest_pairs(apart, sets_of(apart.select("id")), size, percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")

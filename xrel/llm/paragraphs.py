@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xrel.llm.buckets import connected, most_apart
+from xrel.llm.near_duplicates import rarest_pairs
+from xrel.llm.repeated_bytes import bit_table
 from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
@@ -20,10 +23,12 @@ SHINGLE = 5
 LEAST_WORDS = 20
 # A pair at the threshold may be missed with this chance at most, and one at STRAY may collide with this chance.
 MISSED = 1e-4
-STRAY, COLLIDING = 0.1, 0.1
+STRAY, COLLIDING = 0.3, 0.15
 _PRINTS = "id bigint, n int, place int, begin int, end int, digest binary, n_shingles int, keys array<bigint>, bits array<bigint>"
 # Bits of each hash, one byte, that tell distant pairs apart before their sets are fetched.
 BITS_PER_HASH = 8
+# Room in the bit table of repeated band keys, in keys of its own measure: a paragraph has many keys.
+TABLE_ROOM = 16
 
 
 def tuned_bands(similarity: float, missed: float = MISSED) -> tuple[int, int]:
@@ -44,68 +49,98 @@ def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds, mix(seeds) | np.uint64(1)
 
 
-def _paragraph_sets(data: bytes, offsets: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, place, begin, end, sorted distinct shingle hashes) of each line with at least `least` words.
+def _paragraph_sets(data: bytes, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(row, place, begin, end, starts, hashes) of all lines with at least `least` words.
 
-    begin and end are bytes within the row; the line feed that ends a line belongs to it.
+    begin and end are bytes within the row; the line feed that ends a line belongs to it. The sorted distinct shingle
+    hashes of line i are hashes[starts[i] : starts[i + 1]].
     """
-    raw = np.frombuffer(data, np.uint8)
-    feeds = np.flatnonzero(raw == 10)
-    for row in range(len(offsets) - 1):
-        a, b = int(offsets[row]), int(offsets[row + 1])
-        own = feeds[np.searchsorted(feeds, a) : np.searchsorted(feeds, b)]
-        begins = np.concatenate([[a], own + 1])
-        ends = np.concatenate([own + 1, [b]])
-        # One scan for all lines of the row: words never hold a line feed.
-        words = scan(data[a:b].translate(LOWER), np.array([0, b - a]), BETWEEN_SPACES)
-        first = np.searchsorted(words.start, begins - a)
-        after = np.searchsorted(words.start, ends - a)
-        if not (after - first >= least).any():
-            continue
-        hashes = words.hashes()
-        line = np.searchsorted(begins - a, words.start, "right") - 1
-        places, grams = shingles(hashes, line, SHINGLE)
-        bounds = np.searchsorted(places, np.append(first, len(words.start)))
-        for k in np.flatnonzero(after - first >= least).tolist():
-            if after[k] - first[k] >= SHINGLE:
-                found = np.unique(grams[bounds[k] : bounds[k + 1]])
-            else:
-                found = np.array([joined_hash(hashes[first[k] : after[k]])], np.uint64)
-            yield row, k, int(begins[k]) - a, int(ends[k]) - a, found
-
-
-def _prints(bands: int, rows: int, least: int):
-    seeds, factors = _seeds(bands * rows)
+    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    n_rows = len(offsets) - 1
+    row = np.concatenate([np.arange(n_rows), np.searchsorted(offsets, feeds, "right") - 1])
+    begin = np.concatenate([offsets[:-1], feeds + 1])
+    order = np.lexsort((begin, row))
+    row, begin = row[order], begin[order]
+    bounds = np.append(begin, len(data))
+    words = scan(data.translate(LOWER), bounds, BETWEEN_SPACES)
+    counts = np.diff(words.first)
+    chosen = np.flatnonzero(counts >= least)
+    hashes = words.hashes()
+    places, grams = shingles(hashes, words.row, SHINGLE)
+    line = words.row[places]
+    short = chosen[counts[chosen] < SHINGLE]
+    if len(short):
+        whole = [joined_hash(hashes[words.first[k] : words.first[k + 1]]) if counts[k] else np.uint64(0) for k in short.tolist()]
+        line, grams = np.concatenate([line, short]), np.concatenate([grams, np.array(whole, np.uint64)])
+    own = np.flatnonzero((counts >= least)[line])
+    line, grams = line[own], grams[own]
+    order = np.lexsort((grams, line))
+    line, grams = line[order], grams[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (grams[1:] != grams[:-1])
+    line, grams = line[new], grams[new]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    base = offsets[row[chosen]]
+    starts = np.append(np.searchsorted(line, chosen), len(line))
+    return row[chosen], place[chosen], begin[chosen] - base, bounds[chosen + 1] - base, starts, grams
+
+
+def _minima(starts: np.ndarray, grams: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of every set under each of `hashes` hash functions."""
+    seeds, factors = _seeds(hashes)
+    out = np.empty((len(starts) - 1, hashes), np.uint64)
+    if len(out):
+        for k in range(hashes):
+            out[:, k] = np.minimum.reduceat((grams ^ seeds[k]) * factors[k], starts[:-1])
+    return mix(out)
+
+
+def _band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     weights = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
+    return mix((minima.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=np.uint64) + _seeds(bands)[0])
 
+
+def _all_keys(bands: int, rows: int, least: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, data, offsets in text_slices(batch.column(0)):
+                *_, starts, grams = _paragraph_sets(data, offsets, least)
+                keys = _band_keys(_minima(starts, grams, bands * rows), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["anchor"])
+
+    return cut
+
+
+def _prints(bands: int, rows: int, least: int, table: Broadcast):
+    """Every paragraph with the digest of its set; signatures only where the bit table marks a band key."""
+    width = 8 * bit_words(bands * rows)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = table.value
         for batch in batches:
             for lo, _, data, offsets in text_slices(batch.column(2)):
-                at, columns, keys, bits = [], ([], [], [], [], []), [], []
-                for row, place, begin, end, own in _paragraph_sets(data, offsets, least):
-                    lowest = np.fromiter((((own ^ s) * f).min() for s, f in zip(seeds, factors, strict=True)), np.uint64, bands * rows)
-                    low = (mix(lowest) & np.uint64((1 << BITS_PER_HASH) - 1)).astype(np.uint8)
-                    bits.append(low.tobytes().ljust(8 * bit_words(bands * rows), b"\0"))
-                    keys.append(mix((mix(lowest).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + seeds[:bands]))
-                    at.append(lo + row)
-                    digest = hashlib.md5(own.tobytes(), usedforsecurity=False).digest()
-                    for column, value in zip(columns, (place, begin, end, digest, len(own)), strict=True):
-                        column.append(value)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(flat))
-                words = np.frombuffer(b"".join(bits), np.int64)
-                packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * bit_words(bands * rows)), pa.array(words))
-                places, begins, ends, digests, sizes = columns
-                where = pa.array(at, pa.int64())
+                row, place, begin, end, starts, grams = _paragraph_sets(data, offsets, least)
+                minima = _minima(starts, grams, bands * rows)
+                keys = _band_keys(minima, bands, rows).view(np.int64)
+                at = keys & (8 * len(marked) - 1)
+                shared = ((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                some = shared.any(axis=1)
+                low = np.zeros((int(some.sum()), width), np.uint8)
+                low[:, : bands * rows] = minima[some] & np.uint64((1 << BITS_PER_HASH) - 1)
+                raw, cuts = grams.tobytes(), (8 * starts).tolist()
+                digests = [hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b in zip(cuts, cuts[1:])]
+                key_bounds = np.concatenate([[0], np.cumsum(shared.sum(axis=1))]).astype(np.int32)
+                bit_bounds = np.concatenate([[0], np.cumsum(some * (width // 8))]).astype(np.int32)
+                where = pa.array(lo + row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(where),
                         batch.column(1).take(where),
-                        *(pa.array(x, pa.int32()) for x in (places, begins, ends)),
+                        *(pa.array(x.astype(np.int32)) for x in (place, begin, end)),
                         pa.array(digests, pa.binary()),
-                        pa.array(sizes, pa.int32()),
-                        listed,
-                        packed,
+                        pa.array(np.diff(starts).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(key_bounds), pa.array(keys[shared])),
+                        pa.ListArray.from_arrays(pa.array(bit_bounds), pa.array(low.reshape(-1).view(np.int64))),
                     ],
                     names=["id", "n", "place", "begin", "end", "digest", "n_shingles", "keys", "bits"],
                 )
@@ -118,11 +153,12 @@ def _wanted_sets(least: int):
         for batch in batches:
             for lo, _, data, offsets in text_slices(batch.column(0)):
                 wanted: list[dict] = [dict(w) for w in batch.column(1)[lo : lo + len(offsets) - 1].to_pylist()]
+                row, place, _, _, starts, grams = _paragraph_sets(data, offsets, least)
                 classes, items = [], []
-                for row, place, _, _, own in _paragraph_sets(data, offsets, least):
-                    if place in wanted[row]:
-                        classes.append(wanted[row][place])
-                        items.append(own.tobytes())
+                for i, (r, p) in enumerate(zip(row.tolist(), place.tolist(), strict=True)):
+                    if p in wanted[r]:
+                        classes.append(wanted[r][p])
+                        items.append(grams[starts[i] : starts[i + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(items, pa.binary())], names=["class", "items"])
 
     return cut
@@ -170,12 +206,16 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     then by place. The others go with their line feed. Null texts stay null. Other columns are ignored.
 
     Equal sets are one class before anything is compared. Bands are tuned so that a pair at the threshold is missed
-    with a chance of MISSED at most.
+    with a chance of MISSED at most. A first pass counts band keys; those that repeat are marked in a bit table, and
+    only paragraphs with a marked key carry keys and signatures. What stays apart in buckets meets by its rarest shingles.
     """
     bands, rows = tuned_bands(percent / 100)
     keyed = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
     texts = keyed.select("id", "n", F.coalesce("text", F.lit("")).alias("text"))
-    prints = stored(map_arrow(texts, _prints(bands, rows, least), _PRINTS), "paragraphs")
+    keys = map_arrow(texts.select("text"), _all_keys(bands, rows, least), "anchor bigint")
+    repeated = stored(keys.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-keys")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, TABLE_ROOM * repeated.count()))
+    prints = stored(map_arrow(texts, _prints(bands, rows, least, table), _PRINTS), "paragraphs")
     place = F.struct("id", "n", "place")
     classes = stored(
         prints.groupBy("digest")
@@ -186,11 +226,7 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     members = classes.select(F.explode("keys").alias("key"), F.col("class").alias("id"))
     size = classes.select("class", "size")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
-        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        near = stored(sized.where(close).select("a", "b"), "candidates")
-        both = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
+    def sets_of(both: DataFrame) -> DataFrame:
         wanted = (
             classes.join(both, "class", "left_semi")
             .groupBy("first.id", "first.n")
@@ -201,13 +237,23 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         # Texts move only where more paragraphs are wanted than may be broadcast.
         few = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
         own = texts.join(few, ["id", "n"]).select("text", "wanted")
-        sets = stored(map_arrow(own, _wanted_sets(least), "class bigint, items binary"), "sets")
+        return stored(map_arrow(own, _wanted_sets(least), "class bigint, items binary"), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+        close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        near = stored(sized.where(close).select("a", "b"), "candidates")
+        sets = sets_of(near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct())
         with_sets = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return map_arrow(with_sets, _confirmed(percent), "a bigint, b bigint")
 
-    bits = classes.select(F.col("class").alias("id"), "bits")
+    def candidates(apart: DataFrame) -> DataFrame:
+        sets = sets_of(apart.select(F.col("id").alias("class"))).toDF("id", "items")
+        return rarest_pairs(apart, sets, size.toDF("id", "n"), percent)
+
+    bits = classes.where("size(bits) > 0").select(F.col("class").alias("id"), "bits")
     most = most_apart(bands * rows, percent / 100)
-    parts = connected(members, bits, bit_words(bands * rows), BITS_PER_HASH, most, verify)
+    parts = connected(members, bits, bit_words(bands * rows), BITS_PER_HASH, most, verify, candidates)
     labelled = classes.select("class", "digest", "first").join(parts.toDF("class", "part"), "class", "left")
     labelled = labelled.withColumn("part", F.coalesce("part", "class"))
     lowest = labelled.groupBy("part").agg(F.min("first").alias("lowest"))

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xrel.llm.repeated_bytes import bit_table, judged_runs
 from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, scan, shingles, text_slices
 
@@ -18,6 +20,7 @@ SIZE = 50
 ANCHOR = 20
 # Windows to a batch.
 CHUNK = 50_000
+_RUNS = "anchor bigint, text_a bigint, text_b bigint, id bigint, place bigint, more int, close boolean"
 
 
 def anchor_runs(hashes: np.ndarray, row: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -48,25 +51,61 @@ def anchor_runs(hashes: np.ndarray, row: np.ndarray, size: int, anchor: int) ->
 
 
 def _anchors(size: int, anchor: int):
+    """The anchor of every run, and nothing else."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, offsets in text_slices(batch.column(2)):
+            for *_, data, offsets in text_slices(batch.column(0)):
                 words = scan(data.translate(LOWER), offsets, BETWEEN_SPACES)
+                hashes = anchor_runs(words.hashes(), words.row, size, anchor)[3]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["anchor"])
+
+    return cut
+
+
+def _close(row: np.ndarray, anchors: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Runs with another of the same anchor less than `size` words before them in their row."""
+    order = np.lexsort((first, anchors, row))
+    r, a, f = row[order], anchors[order], first[order]
+    out = np.zeros(len(row), bool)
+    out[order[1:]] = (r[1:] == r[:-1]) & (a[1:] == a[:-1]) & (f[1:] - f[:-1] < size)
+    return out
+
+
+def _repeated_runs(size: int, anchor: int, table: Broadcast):
+    """Runs whose anchor the bit table marks, with a 128-bit digest of their words; `place` is n in the high half, then the start."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = table.value
+        for batch in batches:
+            ids, ns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, _, data, offsets in text_slices(batch.column(2)):
+                lowered = data.translate(LOWER)
+                words = scan(lowered, offsets, BETWEEN_SPACES)
                 row, first, last, hashes = anchor_runs(words.hashes(), words.row, size, anchor)
-                at = pa.array(lo + row, pa.int64())
-                base = words.first[row]
+                anchors = hashes.view(np.int64)
+                at = anchors & (8 * len(marked) - 1)
+                own = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                row, first, last, anchors = row[own], first[own], last[own], anchors[own]
+                digests = []
+                for a, b in zip(words.start[first].tolist(), words.end[last + size - 1].tolist(), strict=True):
+                    digests.append(hashlib.blake2b(b" ".join(lowered[a:b].split()), digest_size=16).digest())
+                text = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                place = first - words.first[row]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes.view(np.int64)),
-                        batch.column(0).take(at),
-                        batch.column(1).take(at),
-                        pa.array((first - base).astype(np.int32)),
-                        pa.array((last - base).astype(np.int32)),
+                        pa.array(anchors),
+                        pa.array(np.ascontiguousarray(text[:, 0])),
+                        pa.array(np.ascontiguousarray(text[:, 1])),
+                        pa.array(ids[lo + row]),
+                        pa.array((ns[lo + row].astype(np.int64) << 32) | place),
+                        pa.array((last - first).astype(np.int32)),
+                        pa.array(_close(row, anchors, first, size)),
                     ],
-                    names=["anchor", "id", "n", "first", "last"],
+                    names=["anchor", "text_a", "text_b", "id", "place", "more", "close"],
                 )
 
-    return cut
+    return find
 
 
 def _windows(size: int):
@@ -105,20 +144,20 @@ def _cut(size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept = [], []
-            for text, places in zip(batch.column(2), batch.column(3), strict=True):
-                places = sorted(places.as_py() or [])
-                if not places:
+            for text, runs in zip(batch.column(2), batch.column(3), strict=True):
+                runs = sorted((r["first"], r["last"]) for r in runs.as_py() or [])
+                if not runs:
                     spans.append([])
                     kept.append(text.as_py())
                     continue
                 data = text.as_py().encode()
                 words = scan(data, np.array([0, len(data)]), BETWEEN_SPACES)
                 gone: list[list[int]] = []
-                for k in places:
-                    if gone and k <= gone[-1][1]:
-                        gone[-1][1] = k + size
+                for a, b in runs:
+                    if gone and a <= gone[-1][1]:
+                        gone[-1][1] = max(gone[-1][1], b + size)
                     else:
-                        gone.append([k, k + size])
+                        gone.append([a, b + size])
                 own = [(int(words.start[a]), int(words.end[b - 1])) for a, b in gone]
                 parts, at = [], 0
                 for a, b in own:
@@ -143,26 +182,36 @@ def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = A
     Windows are judged on the given texts; what goes is there before. White space around a passage stays. Null texts
     stay null. Other columns are passed on.
 
-    Windows are brought together by anchors. Only those at anchors that repeat are written out, by 128 bits of a
-    cryptographic digest; the first of each is found by a sum that combines before it shuffles.
+    Windows are brought together by anchors, and runs of them around one anchor by 128-bit digests of their words: a run
+    that repeats an earlier one goes as a whole. Only where an anchor has different runs are the windows of the first of
+    each written out, by 128-bit digests too; the first of each is found by a least value that combines before it
+    shuffles. Runs that may overlap an equal one in their own row are judged by windows always.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more"))
     keyed = stored(with_row_key(packed, "more").withColumn("n", F.col("n").cast("int")), "passage-texts")
-    texts = keyed.select("id", "n", "text")
-    found = map_arrow(texts.where("text is not null"), _anchors(size, anchor), "anchor bigint, id bigint, n int, first int, last int")
-    repeated = stored(found.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-passages")
-    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    runs = found.join(few, "anchor").groupBy("id", "n").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    runs = stored(runs, "passage-runs")
-    asked = F.broadcast(runs) if runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS else runs
-    windows = map_arrow(texts.join(asked, ["id", "n"]).select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, place int")
+    texts = keyed.where("text is not null").select("id", "n", "text")
+    anchors = map_arrow(texts.select("text"), _anchors(size, anchor), "anchor bigint")
+    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-passages")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, repeated.count()))
+    found = stored(map_arrow(texts, _repeated_runs(size, anchor, table), _RUNS), "passage-runs")
+    close = found.where("close").select("anchor", "id", "place", "more")
+    leaders, copies = judged_runs(found.where("not close").drop("close"))
+    kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = kinds.unionByName(close.select("anchor")).distinct()
+    unlike = leaders.join(mixed, "anchor", "left_semi").unionByName(close)
+    n, first = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
+    span = F.struct(first.alias("first"), (first + F.col("more")).alias("last"))
+    runs = stored(unlike.groupBy("id", n.alias("n")).agg(F.collect_list(span).alias("runs")), "different-passages")
+    few = F.broadcast(runs) if runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS else runs
+    windows = map_arrow(texts.join(few, ["id", "n"]).select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, place int")
     windows = stored(windows, "windows")
     where = F.struct("id", "n", "place")
     origin = windows.groupBy("digest").agg(F.min(where).alias("origin"), F.count("*").alias("count")).where("count > 1").drop("count")
     apart = (F.col("id") != F.col("origin.id")) | (F.col("n") != F.col("origin.n")) | (F.col("place") >= F.col("origin.place") + size)
-    again = windows.join(origin, "digest").where(apart)
-    places = again.groupBy("id", "n").agg(F.collect_list("place").alias("places"))
-    final = keyed.join(places, ["id", "n"], "left").select("doc_id", "more", "text", "places")
+    again = windows.join(origin, "digest").where(apart).select("id", "n", F.struct(F.col("place").alias("first"), F.col("place").alias("last")).alias("span"))
+    gone = copies.select("id", n.alias("n"), span.alias("span")).unionByName(again)
+    by_row = gone.groupBy("id", "n").agg(F.collect_list("span").alias("spans"))
+    final = keyed.join(by_row, ["id", "n"], "left").select("doc_id", "more", "text", "spans")
     kind = f"doc_id bigint, more {packed.schema['more'].dataType.simpleString()}, passages array<struct<begin:int,end:int>>, text string"
     return map_arrow(final, _cut(size), kind).select("doc_id", *(f"more.{c}" for c in more), "passages", "text")
