@@ -126,7 +126,7 @@ def _sketch_rows(counters: int):
         for batch in batches:
             for items in batch.column(0):
                 places = np.frombuffer(items.as_py(), np.uint64) & np.uint64(counters - 1)
-                total += np.bincount(places.view(np.int64), minlength=counters)
+                np.add.at(total, places.view(np.int64), 1)
         if total.any():
             pieces = np.minimum(total, (1 << 31) - 1).astype("<i4").reshape(-1, PIECE)
             yield pa.RecordBatch.from_arrays(
