@@ -188,8 +188,8 @@ def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = A
     shuffles. Runs that may overlap an equal one in their own row are judged by windows always.
     """
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more"))
-    keyed = stored(with_row_key(packed, "more").withColumn("n", F.col("n").cast("int")), "passage-texts")
+    packed = stored(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more")), "passage-texts")
+    keyed = with_row_key(packed, "more").withColumn("n", F.col("n").cast("int"))
     texts = keyed.where("text is not null").select("id", "n", "text")
     anchors = map_arrow(texts.select("text"), _anchors(size, anchor), "anchor bigint")
     repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-passages")
