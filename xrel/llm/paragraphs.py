@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xrel.llm.buckets import connected, most_apart
+from xrel.llm.key_tables import key_blocks, marked, repeated_keys, stored_by_table
 from xrel.llm.near_duplicates import rarest_pairs
-from xrel.llm.repeated_bytes import bit_table
-from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
+from xrel.llm.shared import BROADCAST_ROWS, dropped, drops_shuffles, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
 
 SHINGLE = 5
@@ -24,11 +24,11 @@ LEAST_WORDS = 20
 # A pair at the threshold may be missed with this chance at most, and one at STRAY may collide with this chance.
 MISSED = 1e-4
 STRAY, COLLIDING = 0.3, 0.15
-_PRINTS = "id bigint, n int, place int, begin int, end int, digest binary, n_shingles int, keys array<bigint>, bits array<bigint>"
+_PLACED = "id bigint, n int, place int, begin int, end int, digest binary, n_shingles int"
+_SIGNED = f"{_PLACED}, signature binary"
+_PRINTS = f"{_PLACED}, keys array<bigint>, bits array<bigint>"
 # Bits of each hash, one byte, that tell distant pairs apart before their sets are fetched.
 BITS_PER_HASH = 8
-# Room in the bit table of repeated band keys, in keys of its own measure: a paragraph has many keys.
-TABLE_ROOM = 16
 
 
 def tuned_bands(similarity: float, missed: float = MISSED) -> tuple[int, int]:
@@ -100,37 +100,21 @@ def _band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((minima.reshape(-1, bands, rows) * weights).sum(axis=2, dtype=np.uint64) + _seeds(bands)[0])
 
 
-def _all_keys(bands: int, rows: int, least: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for *_, data, offsets in text_slices(batch.column(0)):
-                *_, starts, grams = _paragraph_sets(data, offsets, least)
-                keys = _band_keys(_minima(starts, grams, bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64))], names=["anchor"])
-
-    return cut
-
-
-def _prints(bands: int, rows: int, least: int, table: Broadcast):
-    """Every paragraph with the digest of its set; signatures only where the bit table marks a band key."""
+def _signed(bands: int, rows: int, least: int):
+    """Every paragraph with the digest of its set and its signature: all band keys, then the low bits of its minima."""
     width = 8 * bit_words(bands * rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = table.value
         for batch in batches:
             for lo, _, data, offsets in text_slices(batch.column(2)):
                 row, place, begin, end, starts, grams = _paragraph_sets(data, offsets, least)
                 minima = _minima(starts, grams, bands * rows)
-                keys = _band_keys(minima, bands, rows).view(np.int64)
-                at = keys & (8 * len(marked) - 1)
-                shared = ((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                some = shared.any(axis=1)
-                low = np.zeros((int(some.sum()), width), np.uint8)
-                low[:, : bands * rows] = minima[some] & np.uint64((1 << BITS_PER_HASH) - 1)
+                low = np.zeros((len(row), width), np.uint8)
+                low[:, : bands * rows] = minima & np.uint64((1 << BITS_PER_HASH) - 1)
+                signatures = np.concatenate([_band_keys(minima, bands, rows), low.view(np.uint64)], axis=1)
+                bounds = np.arange(len(row) + 1, dtype=np.int32) * (8 * bands + width)
                 raw, cuts = grams.tobytes(), (8 * starts).tolist()
                 digests = [hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b in zip(cuts, cuts[1:])]
-                key_bounds = np.concatenate([[0], np.cumsum(shared.sum(axis=1))]).astype(np.int32)
-                bit_bounds = np.concatenate([[0], np.cumsum(some * (width // 8))]).astype(np.int32)
                 where = pa.array(lo + row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -139,15 +123,49 @@ def _prints(bands: int, rows: int, least: int, table: Broadcast):
                         *(pa.array(x.astype(np.int32)) for x in (place, begin, end)),
                         pa.array(digests, pa.binary()),
                         pa.array(np.diff(starts).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(key_bounds), pa.array(keys[shared])),
-                        pa.ListArray.from_arrays(pa.array(bit_bounds), pa.array(low.reshape(-1).view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(signatures)]),
                     ],
-                    names=["id", "n", "place", "begin", "end", "digest", "n_shingles", "keys", "bits"],
+                    names=["id", "n", "place", "begin", "end", "digest", "n_shingles", "signature"],
                 )
 
     return cut
 
 
+def _signatures(column: pa.Array, bands: int, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bands + bit_words(bands * rows))
+
+
+def _all_keys(bands: int, rows: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return key_blocks(_signatures(batch.column(0), bands, rows)[:, :bands].ravel() for batch in batches)
+
+    return cut
+
+
+def _prints(bands: int, rows: int, table: Broadcast):
+    """Every paragraph; of its signature only the keys that the table marks, and the bits where it marks any."""
+    words = bit_words(bands * rows)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signatures = _signatures(batch.column(7), bands, rows).view(np.int64)
+            keys = np.ascontiguousarray(signatures[:, :bands])
+            shared = marked(table.value, keys)
+            some = shared.any(axis=1)
+            key_bounds = np.concatenate([[0], np.cumsum(shared.sum(axis=1))]).astype(np.int32)
+            bit_bounds = np.concatenate([[0], np.cumsum(some * words)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:7],
+                    pa.ListArray.from_arrays(pa.array(key_bounds), pa.array(keys[shared])),
+                    pa.ListArray.from_arrays(pa.array(bit_bounds), pa.array(signatures[some, bands:].ravel())),
+                ],
+                names=[*batch.schema.names[:7], "keys", "bits"],
+            )
+
+    return cut
+
+
 def _wanted_sets(least: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,6 +215,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@drops_shuffles
 def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_removed (bytes), removed (places of lines, from 0), kept_text.
 
@@ -206,16 +225,17 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     then by place. The others go with their line feed. Null texts stay null. Other columns are ignored.
 
     Equal sets are one class before anything is compared. Bands are tuned so that a pair at the threshold is missed
-    with a chance of MISSED at most. A first pass counts band keys; those that repeat are marked in a bit table, and
-    only paragraphs with a marked key carry keys and signatures. What stays apart in buckets meets by its rarest shingles.
+    with a chance of MISSED at most. Signatures are worked out once and stored; band keys that repeat are marked in a
+    bit table, and only paragraphs with a marked key carry keys and signatures further. What stays apart in buckets meets by its rarest shingles.
     """
     bands, rows = tuned_bands(percent / 100)
     keyed = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
     texts = keyed.select("id", "n", F.coalesce("text", F.lit("")).alias("text"))
-    keys = map_arrow(texts.select("text"), _all_keys(bands, rows, least), "anchor bigint")
-    repeated = stored(keys.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-keys")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, TABLE_ROOM * repeated.count()))
-    prints = stored(map_arrow(texts, _prints(bands, rows, least, table), _PRINTS), "paragraphs")
+    signed = stored(map_arrow(texts, _signed(bands, rows, least), _SIGNED), "signed-paragraphs")
+    repeated = repeated_keys(signed.select("signature"), _all_keys(bands, rows), "repeated-keys")
+    prints = stored_by_table(signed, lambda table: _prints(bands, rows, table), _PRINTS, repeated, "paragraphs")
+    dropped(signed)
+    dropped(repeated)
     place = F.struct("id", "n", "place")
     classes = stored(
         prints.groupBy("digest")
@@ -226,7 +246,12 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     members = classes.select(F.explode("keys").alias("key"), F.col("class").alias("id"))
     size = classes.select("class", "size")
 
+    spent: list[DataFrame] = []
+
     def sets_of(both: DataFrame) -> DataFrame:
+        # What earlier sets were wanted for is stored by now.
+        while spent:
+            dropped(spent.pop())
         wanted = (
             classes.join(both, "class", "left_semi")
             .groupBy("first.id", "first.n")
@@ -237,7 +262,8 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         # Texts move only where more paragraphs are wanted than may be broadcast.
         few = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
         own = texts.join(few, ["id", "n"]).select("text", "wanted")
-        return stored(map_arrow(own, _wanted_sets(least), "class bigint, items binary"), "sets")
+        spent.append(stored(map_arrow(own, _wanted_sets(least), "class bigint, items binary"), "sets"))
+        return spent[-1]
 
     def verify(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")

@@ -11,8 +11,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.repeated_bytes import bit_table, judged_runs
-from xrel.llm.shared import BROADCAST_ROWS, map_arrow, stored, with_row_key
+from xrel.llm.key_tables import key_blocks, marked, repeated_keys, stored_by_table
+from xrel.llm.repeated_bytes import judged_runs
+from xrel.llm.shared import BROADCAST_ROWS, drops_shuffles, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, scan, shingles, text_slices
 
 SIZE = 50
@@ -53,14 +54,13 @@ def anchor_runs(hashes: np.ndarray, row: np.ndarray, size: int, anchor: int) ->
 def _anchors(size: int, anchor: int):
     """The anchor of every run, and nothing else."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for *_, data, offsets in text_slices(batch.column(0)):
                 words = scan(data.translate(LOWER), offsets, BETWEEN_SPACES)
-                hashes = anchor_runs(words.hashes(), words.row, size, anchor)[3]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["anchor"])
+                yield anchor_runs(words.hashes(), words.row, size, anchor)[3]
 
-    return cut
+    return lambda batches: key_blocks(anchors(batches))
 
 
 def _close(row: np.ndarray, anchors: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
@@ -76,7 +76,6 @@ def _repeated_runs(size: int, anchor: int, table: Broadcast):
     """Runs whose anchor the bit table marks, with a 128-bit digest of their words; `place` is n in the high half, then the start."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = table.value
         for batch in batches:
             ids, ns = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, _, data, offsets in text_slices(batch.column(2)):
@@ -84,8 +83,7 @@ def _repeated_runs(size: int, anchor: int, table: Broadcast):
                 words = scan(lowered, offsets, BETWEEN_SPACES)
                 row, first, last, hashes = anchor_runs(words.hashes(), words.row, size, anchor)
                 anchors = hashes.view(np.int64)
-                at = anchors & (8 * len(marked) - 1)
-                own = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                own = np.flatnonzero(marked(table.value, anchors))
                 row, first, last, anchors = row[own], first[own], last[own], anchors[own]
                 digests = []
                 for a, b in zip(words.start[first].tolist(), words.end[last + size - 1].tolist(), strict=True):
@@ -173,6 +171,7 @@ def _cut(size: int):
     return cut
 
 
+@drops_shuffles
 def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
     """docs with passages (spans of bytes of the given text) and with text less these passages.
 
@@ -191,10 +190,8 @@ def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = A
     packed = stored(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more")), "passage-texts")
     keyed = with_row_key(packed, "more").withColumn("n", F.col("n").cast("int"))
     texts = keyed.where("text is not null").select("id", "n", "text")
-    anchors = map_arrow(texts.select("text"), _anchors(size, anchor), "anchor bigint")
-    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("count")).where("count > 1").select("anchor"), "repeated-passages")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, repeated.count()))
-    found = stored(map_arrow(texts, _repeated_runs(size, anchor, table), _RUNS), "passage-runs")
+    repeated = repeated_keys(texts.select("text"), _anchors(size, anchor), "repeated-passages")
+    found = stored_by_table(texts, lambda table: _repeated_runs(size, anchor, table), _RUNS, repeated, "passage-runs")
     close = found.where("close").select("anchor", "id", "place", "more")
     leaders, copies = judged_runs(found.where("not close").drop("close"))
     kinds = leaders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")

@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +48,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table that stored() has written, once all that reads it is stored too."""
+    files = table.inputFiles()
+    if files:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drops_shuffles(operator: Callable) -> Callable:
+    """An operator on docs whose steps are all stored: the shuffle files of a step go when it ends, not when the driver
+    happens to collect its garbage."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        conf, name = docs.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, None)
+        conf.set(name, "true")
+        try:
+            return operator(docs, *args, **named)
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
+    return run
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, n_table: int, how: str = "left") -> DataFrame:
     """Join rows with a table of unique keys: broadcast while its counted size is within the bound, salted beyond."""
     if n_table <= BROADCAST_ROWS:
