@@ -107,6 +107,22 @@ def marked(table: bytearray, keys: np.ndarray) -> np.ndarray:
     return out.reshape(keys.shape)
 
 
+def among(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """rows with `_among`: false only where no row of table has the same keys, true for few others.
+
+    A bit table as above, in pages that are joined with every task's rows: wide rows without a partner need not move.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (table.count() * BITS_PER_KEY - 1).bit_length()))
+    at = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1)) + 1
+    page, place = F.bitmap_bucket_number(at).alias("_page"), F.bitmap_bit_position(at)
+    same = table.select(*(F.col(k).cast(rows.schema[k].dataType).alias(k) for k in keys))
+    pages = same.select(page, place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    marked_rows = rows.withColumn("_page", page).join(F.broadcast(pages), "_page", "left")
+    return marked_rows.withColumn("_among", F.coalesce(bit, F.lit(False))).drop("_page", "_bits")
+
+
 def stored_by_table(rows: DataFrame, function: Callable[[Broadcast], Callable], schema: str, repeated: DataFrame, name: str) -> DataFrame:
     """rows mapped by function(table of `repeated`), stored; neither the driver nor a task holds the table after that."""
     table = rows.sparkSession.sparkContext.broadcast(key_table(repeated))

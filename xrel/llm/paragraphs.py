@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xrel.llm.buckets import connected, most_apart
-from xrel.llm.key_tables import key_blocks, marked, repeated_keys, stored_by_table
+from xrel.llm.key_tables import among, key_blocks, marked, repeated_keys, stored_by_table
 from xrel.llm.near_duplicates import rarest_pairs
 from xrel.llm.shared import BROADCAST_ROWS, dropped, drops_shuffles, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, joined_hash, mix, scan, shingles, text_slices
@@ -88,11 +88,14 @@ def _paragraph_sets(data: bytes, offsets: np.ndarray, least: int) -> tuple[np.nd
 def _minima(starts: np.ndarray, grams: np.ndarray, hashes: int) -> np.ndarray:
     """The least value of every set under each of `hashes` hash functions."""
     seeds, factors = _seeds(hashes)
-    out = np.empty((len(starts) - 1, hashes), np.uint64)
-    if len(out):
+    out = np.empty((hashes, len(starts) - 1), np.uint64)
+    if len(starts) > 1:
+        own = np.empty(len(grams), np.uint64)
         for k in range(hashes):
-            out[:, k] = np.minimum.reduceat((grams ^ seeds[k]) * factors[k], starts[:-1])
-    return mix(out)
+            np.bitwise_xor(grams, seeds[k], out=own)
+            np.multiply(own, factors[k], out=own)
+            np.minimum.reduceat(own, starts[:-1], out=out[k])
+    return mix(np.ascontiguousarray(out.T))
 
 
 def _band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -197,27 +200,29 @@ def _confirmed(percent: int):
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, bytes_, kept = [], [], []
+        removed, bytes_, kept, shared = [], [], [], []
         for text, marks in zip(batch.column(1), batch.column(2), strict=True):
             data = (text.as_py() or "").encode()
-            gone = sorted((m["begin"], m["end"], m["place"]) for m in marks.as_py() or [])
+            gone = sorted((m["begin"], m["end"], m["place"], m["shared"]) for m in marks.as_py() or [])
             parts, at = [], 0
-            for a, b, _ in gone:
+            for a, b, *_ in gone:
                 parts.append(data[at:a])
                 at = b
             parts.append(data[at:])
-            removed.append([p for _, _, p in gone])
-            bytes_.append(sum(b - a for a, b, _ in gone))
+            removed.append([p for _, _, p, _ in gone])
+            bytes_.append(sum(b - a for a, b, *_ in gone))
+            shared.append(sum(s for *_, s in gone))
             kept.append(None if text.as_py() is None else b"".join(parts).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(bytes_, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())],
-            names=["doc_id", "n_removed", "removed", "kept_text"],
+            [batch.column(0), pa.array(bytes_, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string()), pa.array(shared, pa.int64())],
+            names=["doc_id", "n_removed", "removed", "kept_text", "n_shared"],
         )
 
 
 @drops_shuffles
 def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_removed (bytes), removed (places of lines, from 0), kept_text.
+    """Per row of docs: doc_id, n_removed (bytes), removed (places of lines, from 0), kept_text, n_shared (of
+    the removed lines, those whose first stands in another row).
 
     A paragraph is a line with at least `least` words. Two are linked when their sets of distinct five-word shingles
     (white-space words, A-Z lowered) have 100 * intersection >= percent * union, checked on the full sets. Of every
@@ -227,6 +232,7 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     Equal sets are one class before anything is compared. Bands are tuned so that a pair at the threshold is missed
     with a chance of MISSED at most. Signatures are worked out once and stored; band keys that repeat are marked in a
     bit table, and only paragraphs with a marked key carry keys and signatures further. What stays apart in buckets meets by its rarest shingles.
+    Texts move only where a line is wanted or goes, and a few others.
     """
     bands, rows = tuned_bands(percent / 100)
     keyed = with_row_key(docs).select("id", F.col("n").cast("int").alias("n"), "doc_id", "text")
@@ -239,7 +245,7 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     place = F.struct("id", "n", "place")
     classes = stored(
         prints.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max("n_shingles").alias("size"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
+        .agg(F.min(place).alias("first"), F.count("*").alias("members"), F.max("n_shingles").alias("size"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
         .withColumn("class", F.monotonically_increasing_id()),
         "paragraph-classes",
     )
@@ -260,8 +266,11 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         wanted = stored(wanted, "wanted")
         n_wanted = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
         # Texts move only where more paragraphs are wanted than may be broadcast.
-        few = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
-        own = texts.join(few, ["id", "n"]).select("text", "wanted")
+        if n_wanted <= BROADCAST_ROWS:
+            own = texts.join(F.broadcast(wanted), ["id", "n"])
+        else:
+            own = among(texts, wanted, "id", "n").where("_among").join(wanted, ["id", "n"])
+        own = own.select("text", "wanted")
         spent.append(stored(map_arrow(own, _wanted_sets(least), "class bigint, items binary"), "sets"))
         return spent[-1]
 
@@ -280,11 +289,19 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
     bits = classes.where("size(bits) > 0").select(F.col("class").alias("id"), "bits")
     most = most_apart(bands * rows, percent / 100)
     parts = connected(members, bits, bit_words(bands * rows), BITS_PER_HASH, most, verify, candidates)
-    labelled = classes.select("class", "digest", "first").join(parts.toDF("class", "part"), "class", "left")
+    labelled = classes.select("class", "digest", "first", "members").join(parts.toDF("class", "part"), "class", "left")
     labelled = labelled.withColumn("part", F.coalesce("part", "class"))
     lowest = labelled.groupBy("part").agg(F.min("first").alias("lowest"))
-    named = stored(labelled.join(lowest, "part").select("digest", "lowest"), "named-classes")
-    later = prints.join(named, "digest").where(place != F.col("lowest"))
-    marks = later.groupBy("id", "n").agg(F.collect_list(F.struct("begin", "end", "place")).alias("marks"))
-    final = keyed.join(marks, ["id", "n"], "left").select("doc_id", "text", "marks")
-    return map_arrow(final, _kept, "doc_id bigint, n_removed bigint, removed array<int>, kept_text string")
+    # A class of one paragraph that is the first of its component takes nothing out.
+    named = labelled.join(lowest, "part").where("members > 1 or first <> lowest").select("digest", "lowest")
+    named = stored(named, "named-classes")
+    later = among(prints.drop("keys", "bits"), named, "digest").where("_among").join(named, "digest").where(place != F.col("lowest"))
+    elsewhere = (F.col("id") != F.col("lowest.id")) | (F.col("n") != F.col("lowest.n"))
+    mark = F.struct("begin", "end", "place", elsewhere.alias("shared"))
+    marks = stored(later.groupBy("id", "n").agg(F.collect_list(mark).alias("marks")), "marks")
+    dealt = among(keyed, marks, "id", "n")
+    whole = dealt.where("not _among").select(
+        "doc_id", F.lit(0).cast("bigint").alias("n_removed"), F.array().cast("array<int>").alias("removed"), F.col("text").alias("kept_text"), F.lit(0).cast("bigint").alias("n_shared")
+    )
+    cut = dealt.where("_among").join(marks, ["id", "n"], "left").select("doc_id", "text", "marks")
+    return whole.unionByName(map_arrow(cut, _kept, "doc_id bigint, n_removed bigint, removed array<int>, kept_text string, n_shared bigint"))

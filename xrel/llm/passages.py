@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrel.llm.key_tables import key_blocks, marked, repeated_keys, stored_by_table
+from xrel.llm.key_tables import among, key_blocks, marked, repeated_keys, stored_by_table
 from xrel.llm.repeated_bytes import judged_runs
 from xrel.llm.shared import BROADCAST_ROWS, drops_shuffles, map_arrow, stored, with_row_key
 from xrel.llm.words import BETWEEN_SPACES, LOWER, scan, shingles, text_slices
@@ -34,16 +34,19 @@ def anchor_runs(hashes: np.ndarray, row: np.ndarray, size: int, anchor: int) ->
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     # Runs over two rows are no part of a window within one row.
     grams = shingles(hashes, np.zeros(len(hashes), np.int64), anchor)[1]
-    at = np.arange(n)
-    best, low = at.copy(), grams[:n].copy()
-    for k in range(1, choices):
-        less = grams[k : k + n] < low
-        low = np.where(less, grams[k : k + n], low)
-        best = np.where(less, at + k, best)
+    # The first least of spans that double, then of two spans that cover all choices.
+    best, low, span = np.arange(len(grams)), grams, 1
+    while span < choices:
+        step = min(span, choices - span)
+        left, right = low[:-step], low[step:]
+        less = right < left
+        best = np.where(less, best[step:], best[:-step])
+        low = np.minimum(left, right)
+        span += step
     whole = np.flatnonzero(row[:n] == row[size - 1 :])
     if not len(whole):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    best, own = best[whole], row[whole]
+    best, own = best[:n][whole], row[whole]
     new = np.ones(len(whole), bool)
     new[1:] = (best[1:] != best[:-1]) | (own[1:] != own[:-1])
     first = np.flatnonzero(new)
@@ -141,22 +144,25 @@ def _cut(size: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept = [], []
+            spans, kept, shared = [], [], []
             for text, runs in zip(batch.column(2), batch.column(3), strict=True):
-                runs = sorted((r["first"], r["last"]) for r in runs.as_py() or [])
+                runs = sorted((r["first"], r["last"], r["shared"]) for r in runs.as_py() or [])
                 if not runs:
                     spans.append([])
                     kept.append(text.as_py())
+                    shared.append(0)
                     continue
                 data = text.as_py().encode()
                 words = scan(data, np.array([0, len(data)]), BETWEEN_SPACES)
                 gone: list[list[int]] = []
-                for a, b in runs:
+                for a, b, elsewhere in runs:
                     if gone and a <= gone[-1][1]:
                         gone[-1][1] = max(gone[-1][1], b + size)
+                        gone[-1][2] |= elsewhere
                     else:
-                        gone.append([a, b + size])
-                own = [(int(words.start[a]), int(words.end[b - 1])) for a, b in gone]
+                        gone.append([a, b + size, elsewhere])
+                own = [(int(words.start[a]), int(words.end[b - 1])) for a, b, _ in gone]
+                shared.append(sum(x for *_, x in gone))
                 parts, at = [], 0
                 for a, b in own:
                     parts.append(data[at:a])
@@ -165,16 +171,19 @@ def _cut(size: int):
                 spans.append([{"begin": a, "end": b} for a, b in own])
                 kept.append(b"".join(parts).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.string())], names=["doc_id", "more", "passages", "text"]
+                [batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(kept, pa.string()), pa.array(shared, pa.int64())],
+                names=["doc_id", "more", "passages", "text", "n_shared"],
             )
 
     return cut
 
 
 @drops_shuffles
-def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, shared: str | None = None) -> DataFrame:
     """docs with passages (spans of bytes of the given text) and with text less these passages.
 
+    A column `shared`, if named, counts the passages of which a window stands in another row first.
+
     A passage is a run of `size` or more words (between ASCII white space, A-Z lowered, line ends like other white
     space). A word goes if a window of `size` words over it also starts earlier: in a row of smaller doc_id, null last,
     rows of one doc_id in the order of their texts, or earlier in the same row without overlapping its copy there.
@@ -200,15 +209,33 @@ def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = A
     n, first = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
     span = F.struct(first.alias("first"), (first + F.col("more")).alias("last"))
     runs = stored(unlike.groupBy("id", n.alias("n")).agg(F.collect_list(span).alias("runs")), "different-passages")
-    few = F.broadcast(runs) if runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS else runs
-    windows = map_arrow(texts.join(few, ["id", "n"]).select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, place int")
+    # Texts move only where there are more such runs than may be broadcast.
+    if runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        own = texts.join(F.broadcast(runs), ["id", "n"])
+    else:
+        own = among(texts, runs, "id", "n").where("_among").join(runs, ["id", "n"])
+    windows = map_arrow(own.select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, place int")
     windows = stored(windows, "windows")
     where = F.struct("id", "n", "place")
     origin = windows.groupBy("digest").agg(F.min(where).alias("origin"), F.count("*").alias("count")).where("count > 1").drop("count")
     apart = (F.col("id") != F.col("origin.id")) | (F.col("n") != F.col("origin.n")) | (F.col("place") >= F.col("origin.place") + size)
-    again = windows.join(origin, "digest").where(apart).select("id", "n", F.struct(F.col("place").alias("first"), F.col("place").alias("last")).alias("span"))
-    gone = copies.select("id", n.alias("n"), span.alias("span")).unionByName(again)
-    by_row = gone.groupBy("id", "n").agg(F.collect_list("span").alias("spans"))
-    final = keyed.join(by_row, ["id", "n"], "left").select("doc_id", "more", "text", "spans")
-    kind = f"doc_id bigint, more {packed.schema['more'].dataType.simpleString()}, passages array<struct<begin:int,end:int>>, text string"
-    return map_arrow(final, _cut(size), kind).select("doc_id", *(f"more.{c}" for c in more), "passages", "text")
+    elsewhere = (F.col("id") != F.col("origin.id")) | (F.col("n") != F.col("origin.n"))
+    again = windows.join(origin, "digest").where(apart).select("id", "n", F.struct(F.col("place").alias("first"), F.col("place").alias("last"), elsewhere.alias("shared")).alias("span"))
+    if shared:
+        # Kinds of runs that several rows have: a copy in a row after the first of them repeats another row.
+        kind, row = ("anchor", "text_a", "text_b"), F.struct("id", n.alias("n"))
+        several = found.where("not close").groupBy(*kind).agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low <> high").drop("high")
+        found_elsewhere = found.where("not close").join(several, list(kind)).where(row != F.col("low")).select("id", "place", F.lit(True).alias("_shared"))
+        copies = copies.join(found_elsewhere, ["id", "place"], "left")
+    else:
+        copies = copies.withColumn("_shared", F.lit(False))
+    copied = F.struct(span["first"].alias("first"), span["last"].alias("last"), F.coalesce("_shared", F.lit(False)).alias("shared"))
+    gone = copies.select("id", n.alias("n"), copied.alias("span")).unionByName(again)
+    by_row = stored(gone.groupBy("id", "n").agg(F.collect_list("span").alias("spans")), "spans")
+    dealt = among(keyed, by_row, "id", "n")
+    kinds = {"doc_id": "bigint", "more": packed.schema["more"].dataType.simpleString(), "passages": "array<struct<begin:int,end:int>>", "text": "string", "n_shared": "bigint"}
+    whole = dealt.where("not _among").select("doc_id", "more", F.array().cast(kinds["passages"]).alias("passages"), "text", F.lit(0).cast("bigint").alias("n_shared"))
+    cut = dealt.where("_among").join(by_row, ["id", "n"], "left").select("doc_id", "more", "text", "spans")
+    cut = map_arrow(cut, _cut(size), ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    counted = [F.col("n_shared").alias(shared)] if shared else []
+    return whole.unionByName(cut).select("doc_id", *(f"more.{c}" for c in more), "passages", *counted, "text")

@@ -131,9 +131,10 @@ def op5_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("paragraphs"),
         F.sha2(kept, 256).alias("kept_sha256"),
         F.col("kept_text").alias("text"),
+        F.col("n_shared").alias("n_shared_lines"),
     )
     width = F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
-    return without_repeated_passages(lines).select(
+    return without_repeated_passages(lines, shared="n_shared_passages").select(
         "doc_id",
         "n_removed",
         "n_paragraphs",
@@ -143,6 +144,8 @@ def op5_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         width.alias("n_passage_bytes"),
         F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["begin"], s["end"])), ",").alias("passages"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("rest_sha256"),
+        # What goes because another document has it first, whole lines and passages together.
+        (F.col("n_shared_lines") + F.col("n_shared_passages")).alias("n_shared"),
     )
 
 
