@@ -16,6 +16,12 @@ from xrel.llm.words import LOWER, Words, scan, text_slices
 
 # A worker's table of encoded units starts anew when it holds this many.
 CACHED = 1 << 21
+# Bits for the number of ids of one unit; a pool of ids takes the others.
+SIZE_BITS = 31
+# Texts are encoded in slices of so many bytes, whose arrays stay near the processor.
+ENCODED_BYTES = 1 << 18
+# So many new units go to the library in one text.
+JOINED = 4096
 ROWS_PER_INDEX_ENTRY = 1_000
 STRIPE_BYTES = 16 << 20
 COLUMNS = "seq bigint, doc_id bigint, n_tokens bigint, ids array<int>"
@@ -32,40 +38,45 @@ _NOT_SPACE = bytes(int(k > 0) for k in _KIND)
 
 
 class UnitTable:
-    """Ids of units by a 64-bit hash of their bytes: open addressing in arrays, looked up for many at once."""
+    """Ids of units by a 64-bit hash of their bytes: open addressing in arrays, looked up for many at once.
+
+    A free slot has the key 0. `where` has the place of a unit's ids in the pool, and their number in the low bits.
+    """
 
     def __init__(self, slots: int = 2 * CACHED):
         self.mask = np.uint64(slots - 1)
         self.keys = np.zeros(slots, np.uint64)
-        self.start = np.zeros(slots, np.int64)
-        self.size = np.full(slots, -1, np.int32)
+        self.where = np.zeros(slots, np.int64)
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = self.count = 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or the free slot where it would go."""
-        slot = (keys & self.mask).astype(np.int64)
-        open_ = np.flatnonzero((self.size[slot] >= 0) & (self.keys[slot] != keys))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each key, or the free slot where it would go, and whether the key is there."""
+        slot = (keys & self.mask).view(np.int64)
+        held = self.keys[slot]
+        there = held == keys
+        open_ = np.flatnonzero(~there & (held != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(self.mask)
-            at = slot[open_]
-            open_ = open_[(self.size[at] >= 0) & (self.keys[at] != keys[open_])]
-        return slot
+            held = self.keys[slot[open_]]
+            there[open_] = held == keys[open_]
+            open_ = open_[(held != keys[open_]) & (held != 0)]
+        return slot, there
 
     def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New keys, all different, with their ids one after the other."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        starts = self.used + np.cumsum(sizes) - sizes
+        places = ((self.used + np.cumsum(sizes, dtype=np.int64) - sizes) << SIZE_BITS) | sizes
         self.used += len(ids)
         self.count += len(keys)
         left = np.arange(len(keys))
         while len(left):
-            slot = self.find(keys[left])
+            slot, _ = self.find(keys[left])
             _, first = np.unique(slot, return_index=True)
             put, slot = left[first], slot[first]
-            self.keys[slot], self.start[slot], self.size[slot] = keys[put], starts[put], sizes[put]
+            self.keys[slot], self.where[slot] = keys[put], places[put]
             left = np.delete(left, first)
 
 
@@ -74,8 +85,9 @@ class TextEncoder:
 
     The tokenizer drops white space and never joins text across it, and Unicode composition never reaches over a
     space, so texts are cut at spaces first. What lies between is cut further, and its letters lowered, only where it
-    is plain ASCII: letters, single digits and runs of other characters, as the tokenizer's own split does. Every
-    different unit goes to the library once per worker; texts are then put together from the table.
+    is plain: ASCII and the letters from U+00C0 to U+00FF, which composition leaves alone and which have one small letter
+    each. It is cut into runs of letters, single digits and runs of other characters, as the tokenizer's own split does.
+    Every different unit goes to the library once per worker; texts are then put together from the table.
     """
 
     def __init__(self, path: str):
@@ -84,31 +96,69 @@ class TextEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.table = UnitTable()
-
-    def _units(self, data: bytes, offsets: np.ndarray) -> Words:
-        kind = np.frombuffer(data.translate(_KIND), np.uint8)
+        # The ids that end a word, if the tokenizer marks them: plain units are one word each.
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab() if suffix else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _units(self, data: bytes, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+        """All units, and which of them are plain."""
+        raw, kind = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(_KIND)), np.uint8)
+        # The letters from U+00C0 to U+00FF take two bytes, the first C3; 97 and B7 after it are signs.
+        lead = np.flatnonzero(raw == 0xC3)
+        lead = lead[(raw[lead + 1] & 0xDF) != 0x97]
+        kind[lead] = kind[lead + 1] = 1
         between = scan(data, offsets, _NOT_SPACE)
         n = len(data)
-        hard = np.concatenate([[0], np.cumsum(kind == 4)])
-        whole = hard[between.end] > hard[between.start]
-        cover = np.zeros(n + 1, np.int8)
-        cover[between.start[whole]] += 1
-        cover[between.end[whole]] -= 1
-        inside = np.cumsum(cover[:n], dtype=np.int8) > 0
+        hard = np.flatnonzero(kind == 4)
+        whole = np.searchsorted(hard, between.end) > np.searchsorted(hard, between.start)
         begins = np.zeros(n, bool)
-        begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0) & ~inside[1:]
+        begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & (kind[1:] > 0)
+        lowered = np.frombuffer(bytearray(data.translate(LOWER)), np.uint8)
+        lowered[lead[raw[lead + 1] < 0x9F] + 1] += 32
+        if whole.any():
+            cover = np.zeros(n + 1, np.int8)
+            cover[between.start[whole]] += 1
+            cover[between.end[whole]] -= 1
+            inside = np.cumsum(cover[:n], dtype=np.int8) > 0
+            begins &= ~inside
+            lowered = np.where(inside, raw, lowered)
         begins[between.start] = True
         start = np.flatnonzero(begins)
         # A unit ends where the next begins, or where its text between spaces ends.
-        last = between.end[np.searchsorted(between.start, start, "right") - 1]
-        end = np.minimum(np.append(start[1:], n), last)
-        raw = np.frombuffer(data, np.uint8)
-        lowered = np.where(inside, raw, np.frombuffer(data.translate(LOWER), np.uint8)).tobytes()
-        row = np.searchsorted(offsets, start, "right") - 1
-        return Words(lowered, start, end, row, np.searchsorted(start, offsets))
-
-    def _learn(self, units: Words, hashes: np.ndarray, at: np.ndarray) -> None:
-        """Encode the units at these places, joined by spaces in texts of a few hundred."""
+        opens = np.zeros(n, bool)
+        opens[between.start] = True
+        owner = np.cumsum(opens[start]) - 1
+        end = np.minimum(np.append(start[1:], n), between.end[owner])
+        first = np.searchsorted(start, offsets)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        return Words(lowered.tobytes(), start, end, row, first), ~whole[owner]
+
+    def _joined(self, units: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids per unit) of plain units; None if the words found are not these units."""
+        raw, ids = np.frombuffer(units.data, np.uint8), []
+        for k in range(0, len(at), JOINED):
+            start, size = units.start[at[k : k + JOINED]], (units.end - units.start)[at[k : k + JOINED]] + 1
+            begin = np.cumsum(size) - size
+            places = np.arange(int(size.sum())) + np.repeat(start - begin, size)
+            text = raw[np.minimum(places, len(raw) - 1)]
+            text[begin + size - 1] = 32
+            (got,) = self.library.encode_batch_fast([text[:-1].tobytes().decode()], add_special_tokens=False)
+            ids.append(np.array(got.ids, np.int32))
+        flat = np.concatenate(ids)
+        last = np.flatnonzero(self.ends[np.minimum(flat, len(self.ends) - 1)])
+        if len(last) != len(at) or last[-1] != len(flat) - 1:
+            return None
+        return flat, np.diff(last, prepend=-1).astype(np.int32)
+
+    def _learn(self, units: Words, plain: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
+        """Encode the units at these places, joined by spaces: where words do not tell units apart, by the places of ids."""
+        own = at[plain[at]]
+        found = self._joined(units, own) if len(own) else None
+        if found:
+            self.table.add(hashes[own], *found)
+            at = at[~plain[at]]
         for k in range(0, len(at), 256):
             some = at[k : k + 256]
             texts = [units.text(i) for i in some.tolist()]
@@ -123,25 +173,27 @@ class TextEncoder:
         rows = len(offsets) - 1
         if not data:
             return np.ones(rows, np.int64), np.full(rows, end_id, np.int32)
-        units = self._units(data, offsets)
+        units, plain = self._units(data, offsets)
         hashes = units.hashes()
+        hashes[hashes == 0] = 1
         table = self.table
-        slot = table.find(hashes)
-        missing = np.flatnonzero(table.size[slot] < 0)
+        slot, there = table.find(hashes)
+        missing = np.flatnonzero(~there)
         if len(missing):
             if table.count + len(missing) > CACHED:
                 # Grown only for a slice with more different units than the table holds.
                 self.table = table = UnitTable(1 << max(int(2 * CACHED).bit_length() - 1, int(2 * len(hashes)).bit_length()))
                 missing = np.arange(len(hashes))
             _, first = np.unique(hashes[missing], return_index=True)
-            self._learn(units, hashes, missing[first])
-            slot = table.find(hashes)
-        sizes = table.size[slot].astype(np.int64)
+            self._learn(units, plain, hashes, missing[first])
+            slot, _ = table.find(hashes)
+        where = table.where[slot]
+        sizes, start = where & ((1 << SIZE_BITS) - 1), where >> SIZE_BITS
         counts = np.bincount(units.row, weights=sizes, minlength=rows).astype(np.int64)
         total = int(sizes.sum())
         run = np.cumsum(sizes) - sizes
         step = np.arange(total)
-        source = np.repeat(table.start[slot] - run, sizes) + step
+        source = np.repeat(start - run, sizes) + step
         out = np.full(total + rows, end_id, np.int32)
         out[step + np.repeat(units.row, sizes)] = table.pool[source]
         return counts + 1, out
@@ -155,7 +207,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             _WORKER.update(path=tokenizer, encoder=TextEncoder(tokenizer))
         encoder = _WORKER["encoder"]
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), ENCODED_BYTES):
                 counts, flat = encoder.encode(data, offsets, end_id)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))

@@ -14,6 +14,8 @@ BETWEEN_SPACES = bytes(0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256))
 # Runs of digits, lower-case letters and everything beyond ASCII.
 LETTERS_DIGITS = bytes(1 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256))
 SLICE_BYTES = 1 << 20
+# Words are hashed in blocks of so many bytes, whose arrays stay near the processor.
+HASHED_BYTES = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,11 +66,14 @@ class Words:
         out = np.empty(len(self.start), np.uint64)
         at = 0
         while at < len(out):
-            stop = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SLICE_BYTES, "right")))
+            stop = max(at + 1, int(np.searchsorted(self.end, self.start[at] + HASHED_BYTES, "right")))
             lo, hi = int(self.start[at]), int(self.end[stop - 1])
             powers, inverse = _powers(hi - lo + 1)
             sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[: hi - lo], out=sums[1:])
+            terms = raw[lo:hi].astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= powers[: hi - lo]
+            np.cumsum(terms, out=sums[1:])
             s, e = self.start[at:stop] - lo, self.end[at:stop] - lo
             out[at:stop] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
             at = stop
