@@ -73,9 +73,12 @@ def _paragraph_sets(data: bytes, offsets: np.ndarray, least: int) -> tuple[np.nd
         whole = [joined_hash(hashes[words.first[k] : words.first[k + 1]]) if counts[k] else np.uint64(0) for k in short.tolist()]
         line, grams = np.concatenate([line, short]), np.concatenate([grams, np.array(whole, np.uint64)])
     own = np.flatnonzero((counts >= least)[line])
+    if len(short):
+        own = own[np.argsort(line[own], kind="stable")]
     line, grams = line[own], grams[own]
-    order = np.lexsort((grams, line))
-    line, grams = line[order], grams[order]
+    bounds_of = np.append(np.searchsorted(line, chosen), len(line)).tolist()
+    for a, b in zip(bounds_of, bounds_of[1:]):
+        grams[a:b].sort()
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (grams[1:] != grams[:-1])
     line, grams = line[new], grams[new]
