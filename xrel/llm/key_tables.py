@@ -16,6 +16,8 @@ from xrel.llm.shared import map_arrow, stored
 PROBES, BITS_PER_KEY, MOST_BITS = 4, 16, 1 << 29
 # Keys travel in blocks by their low bits; a task gathers this many keys before it sends blocks.
 PIECE_BITS, GATHERED = 12, 1 << 21
+# Bits to a page of the table: a place within one fits 16 bits.
+PAGE_BITS = 1 << 16
 
 
 def _turned(keys: np.ndarray) -> np.ndarray:
@@ -72,23 +74,69 @@ def repeated_keys(rows: DataFrame, blocks: Callable, name: str) -> DataFrame:
     return stored(map_arrow(dealt, _twice, "anchor bigint"), name)
 
 
+def _places(bits: int):
+    """The bits that keys set, as blocks (page, places within it)."""
+    page = min(bits, PAGE_BITS)
+
+    def done(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(parts).view(np.uint64)
+        low, step = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
+        at = np.concatenate([(low + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(PROBES)]).astype(np.uint32)
+        at.sort()
+        pages, first = np.unique((at // np.uint32(page)).astype(np.int32), return_index=True)
+        bounds = np.append(2 * first, 2 * len(at)).astype(np.int32)
+        within = (at & np.uint32(page - 1)).astype("<u2")
+        blocks = pa.Array.from_buffers(pa.binary(), len(pages), [None, pa.py_buffer(bounds), pa.py_buffer(within)])
+        return pa.RecordBatch.from_arrays([pa.array(pages), blocks], names=["page", "bits"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(batch.column(0).to_numpy(zero_copy_only=False))
+            n += len(batch)
+            if n >= GATHERED:
+                yield done(parts)
+                parts, n = [], 0
+        if n:
+            yield done(parts)
+
+    return cut
+
+
+def _pages(bits: int):
+    """The bits of each page that any block sets; blocks come in order of pages."""
+    size = min(bits, PAGE_BITS)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(page: int, places: np.ndarray) -> pa.RecordBatch:
+            packed = np.packbits(places, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([packed], pa.binary())], names=["page", "bits"])
+
+        last, places = None, np.zeros(size, bool)
+        for batch in batches:
+            for page, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if page != last:
+                    if last is not None:
+                        yield done(last, places)
+                    last, places = page, np.zeros(size, bool)
+                places[np.frombuffer(block.as_buffer(), "<u2")] = True
+        if last is not None:
+            yield done(last, places)
+
+    return join
+
+
 def key_table(repeated: DataFrame) -> bytearray:
     """Bits for all keys (anchor) of `repeated`; a fuller table lets more others through, which changes no result.
 
     The driver takes its pages one partition at a time and holds one copy.
     """
     bits = min(MOST_BITS, 1 << max(15, (repeated.count() * BITS_PER_KEY - 1).bit_length()))
-    low, step = F.col("anchor").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("anchor", 32).bitwiseOR(F.lit(1))
-    places = F.array(*((low + k * step).bitwiseAND(F.lit(bits - 1)) + 1 for k in range(PROBES)))
-    at = F.col("at")
-    pages = (
-        repeated.select(F.explode(places).alias("at"))
-        .groupBy(F.bitmap_bucket_number(at).alias("page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    )
+    schema = "page int, bits binary"
+    blocks = map_arrow(repeated.select("anchor"), _places(bits), schema).repartition("page").sortWithinPartitions("page")
     out = bytearray(bits // 8)
-    for row in pages.toLocalIterator():
-        begin = (row["page"] - 1) * 4096
+    for row in map_arrow(blocks, _pages(bits), schema).toLocalIterator():
+        begin = row["page"] * PAGE_BITS // 8
         out[begin : begin + len(row["bits"])] = row["bits"]
     return out
 

@@ -27,6 +27,8 @@ BITS, BIT_WORDS = 4, 4
 LEAST_COUNTERS, MOST_COUNTERS, PIECE = 1 << 16, 1 << 22, 1 << 13
 # Buckets whose parity bounds how far two sets are apart.
 ODD_BITS = 512
+# Sets whose rarest shingles are found at once.
+PREFIXED_BYTES = 1 << 17
 _PREFIXES = "shingle bigint, id bigint, part bigint, n bigint, place bigint, odd array<bigint>"
 _PRINTS = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, signature binary"
 
@@ -124,8 +126,8 @@ def _sketch_rows(counters: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for batch in batches:
-            for items in batch.column(0):
-                places = np.frombuffer(items.as_py(), np.uint64) & np.uint64(counters - 1)
+            for *_, data, _ in text_slices(batch.column(0)):
+                places = np.frombuffer(data, np.uint64) & np.uint64(counters - 1)
                 np.add.at(total, places.view(np.int64), 1)
         if total.any():
             pieces = np.minimum(total, (1 << 31) - 1).astype("<i4").reshape(-1, PIECE)
@@ -159,10 +161,11 @@ def _frequencies(sets: DataFrame, n_items: int) -> np.ndarray:
     return out
 
 
-def _odd(items: np.ndarray) -> np.ndarray:
-    """Which of ODD_BITS buckets hold an odd number of the items. Where two sets' buckets differ, so do the sets."""
-    odd = np.bincount((mix(items) & np.uint64(ODD_BITS - 1)).view(np.int64), minlength=ODD_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+def _odd(items: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row, which of ODD_BITS buckets hold an odd number of its items. Where two sets' buckets differ, so do the sets."""
+    bucket = (mix(items) & np.uint64(ODD_BITS - 1)).view(np.int64)
+    odd = np.bincount(row * ODD_BITS + bucket, minlength=rows * ODD_BITS).reshape(rows, ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<i8")
 
 
 def _prefixes(frequencies: Broadcast, percent: int):
@@ -171,20 +174,21 @@ def _prefixes(frequencies: Broadcast, percent: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequencies.value
         for batch in batches:
-            for row in range(len(batch)):
-                items = np.frombuffer(batch.column(2)[row].as_py(), np.uint64)
-                n = len(items)
-                if not n:
-                    continue
-                rare = np.lexsort((items, counts[(items & np.uint64(len(counts) - 1)).view(np.int64)]))
-                first = items[rare[: n - -(-percent * n // 100) + 1]].view(np.int64)
-                m = len(first)
-                same = lambda value, kind: pa.array(np.full(m, value, kind))
+            ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, data, offsets in text_slices(batch.column(2), PREFIXED_BYTES):
+                items, sizes = np.frombuffer(data, np.uint64), np.diff(offsets) // 8
+                row = np.repeat(np.arange(hi - lo), sizes)
+                # Sets are sorted, so of items met equally often the smaller come first.
+                rare = np.lexsort((counts[(items & np.uint64(len(counts) - 1)).view(np.int64)], row))
+                place = np.arange(len(items)) - (offsets[:-1] // 8)[row]
+                own = place < (sizes - -(-percent * sizes // 100) + 1)[row]
+                first, row, place = items[rare[own]].view(np.int64), row[own], place[own]
                 words = ODD_BITS // 64
-                odd = pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * words, np.tile(_odd(items), m))
-                own = (same(batch.column(i)[row].as_py(), np.int64) for i in (0, 1))
+                odd = _odd(items, np.repeat(np.arange(hi - lo), sizes), hi - lo)[row]
+                bounds = np.arange(len(row) + 1, dtype=np.int32) * words
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), *own, same(n, np.int64), pa.array(np.arange(m)), odd], names=["shingle", "id", "part", "n", "place", "odd"]
+                    [*(pa.array(x) for x in (first, ids[lo + row], parts[lo + row], sizes[row], place)), pa.ListArray.from_arrays(bounds, odd.ravel())],
+                    names=["shingle", "id", "part", "n", "place", "odd"],
                 )
 
     return cut

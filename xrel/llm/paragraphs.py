@@ -149,7 +149,10 @@ def _all_keys(bands: int, rows: int):
 
 
 def _prints(bands: int, rows: int, table: Broadcast):
-    """Every paragraph; of its signature only the keys that the table marks, and the bits where it marks any."""
+    """Paragraphs of which the table marks a key, with these keys and the bits of their signatures.
+
+    Equal sets have equal keys, so a paragraph without a marked key has no equal and shares no bucket.
+    """
     words = bit_words(bands * rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +160,13 @@ def _prints(bands: int, rows: int, table: Broadcast):
             signatures = _signatures(batch.column(7), bands, rows).view(np.int64)
             keys = np.ascontiguousarray(signatures[:, :bands])
             shared = marked(table.value, keys)
-            some = shared.any(axis=1)
+            some = np.flatnonzero(shared.any(axis=1))
+            shared, keys = shared[some], keys[some]
             key_bounds = np.concatenate([[0], np.cumsum(shared.sum(axis=1))]).astype(np.int32)
-            bit_bounds = np.concatenate([[0], np.cumsum(some * words)]).astype(np.int32)
+            bit_bounds = np.arange(len(some) + 1, dtype=np.int32) * words
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:7],
+                    *batch.select(list(range(7))).take(pa.array(some)).columns,
                     pa.ListArray.from_arrays(pa.array(key_bounds), pa.array(keys[shared])),
                     pa.ListArray.from_arrays(pa.array(bit_bounds), pa.array(signatures[some, bands:].ravel())),
                 ],
@@ -234,7 +238,7 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
 
     Equal sets are one class before anything is compared. Bands are tuned so that a pair at the threshold is missed
     with a chance of MISSED at most. Signatures are worked out once and stored; band keys that repeat are marked in a
-    bit table, and only paragraphs with a marked key carry keys and signatures further. What stays apart in buckets meets by its rarest shingles.
+    bit table, and only paragraphs with a marked key go further. What stays apart in buckets meets by its rarest shingles.
     Texts move only where a line is wanted or goes, and a few others.
     """
     bands, rows = tuned_bands(percent / 100)
@@ -289,13 +293,13 @@ def without_repeated_paragraphs(docs: DataFrame, percent: int = 80, least: int =
         sets = sets_of(apart.select(F.col("id").alias("class"))).toDF("id", "items")
         return rarest_pairs(apart, sets, size.toDF("id", "n"), percent)
 
-    bits = classes.where("size(bits) > 0").select(F.col("class").alias("id"), "bits")
+    bits = classes.select(F.col("class").alias("id"), "bits")
     most = most_apart(bands * rows, percent / 100)
     parts = connected(members, bits, bit_words(bands * rows), BITS_PER_HASH, most, verify, candidates)
     labelled = classes.select("class", "digest", "first", "members").join(parts.toDF("class", "part"), "class", "left")
-    labelled = labelled.withColumn("part", F.coalesce("part", "class"))
+    # A class of one paragraph that is linked with none, or the first of its component, takes nothing out.
+    labelled = labelled.where("members > 1 or part is not null").withColumn("part", F.coalesce("part", "class"))
     lowest = labelled.groupBy("part").agg(F.min("first").alias("lowest"))
-    # A class of one paragraph that is the first of its component takes nothing out.
     named = labelled.join(lowest, "part").where("members > 1 or first <> lowest").select("digest", "lowest")
     named = stored(named, "named-classes")
     later = among(prints.drop("keys", "bits"), named, "digest").where("_among").join(named, "digest").where(place != F.col("lowest"))

@@ -76,7 +76,10 @@ def _close(row: np.ndarray, anchors: np.ndarray, first: np.ndarray, size: int) -
 
 
 def _repeated_runs(size: int, anchor: int, table: Broadcast):
-    """Runs whose anchor the bit table marks, with a 128-bit digest of their words; `place` is n in the high half, then the start."""
+    """Runs whose anchor the bit table marks, with a 128-bit digest of their words; `place` is n in the high half, then the start.
+
+    Runs that are close to another have no digest: only their windows are judged.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +91,12 @@ def _repeated_runs(size: int, anchor: int, table: Broadcast):
                 anchors = hashes.view(np.int64)
                 own = np.flatnonzero(marked(table.value, anchors))
                 row, first, last, anchors = row[own], first[own], last[own], anchors[own]
+                close = _close(row, anchors, first, size)
                 digests = []
-                for a, b in zip(words.start[first].tolist(), words.end[last + size - 1].tolist(), strict=True):
+                for a, b in zip(words.start[first[~close]].tolist(), words.end[last[~close] + size - 1].tolist(), strict=True):
                     digests.append(hashlib.blake2b(b" ".join(lowered[a:b].split()), digest_size=16).digest())
-                text = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                text = np.zeros((len(row), 2), np.int64)
+                text[~close] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 place = first - words.first[row]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -101,7 +106,7 @@ def _repeated_runs(size: int, anchor: int, table: Broadcast):
                         pa.array(ids[lo + row]),
                         pa.array((ns[lo + row].astype(np.int64) << 32) | place),
                         pa.array((last - first).astype(np.int32)),
-                        pa.array(_close(row, anchors, first, size)),
+                        pa.array(close),
                     ],
                     names=["anchor", "text_a", "text_b", "id", "place", "more", "close"],
                 )
@@ -110,27 +115,31 @@ def _repeated_runs(size: int, anchor: int, table: Broadcast):
 
 
 def _windows(size: int):
-    """A 128-bit digest of the words of every window in the runs asked for."""
+    """128-bit digests of the words of all windows in the runs asked for, each once a row, with the places it starts at."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ns, places, digests = [], [], [], []
 
             def done():
-                arrays = [pa.array(x, t) for x, t in ((digests, pa.binary()), (ids, pa.int64()), (ns, pa.int32()), (places, pa.int32()))]
-                return pa.RecordBatch.from_arrays(arrays, names=["digest", "id", "n", "place"])
+                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+                arrays = [pa.array(x, t) for x, t in zip((digests, ids, ns, places), kinds, strict=True)]
+                return pa.RecordBatch.from_arrays(arrays, names=["digest", "id", "n", "places"])
 
             for i, n, text, runs in zip(*(batch.column(k) for k in range(4)), strict=True):
                 own = text.as_py().encode().translate(LOWER).split()
                 sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
                 begin = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 joined = b" ".join(own)
-                for run in runs.as_py():
-                    for k in range(run["first"], run["last"] + 1):
-                        places.append(k)
-                        digests.append(hashlib.blake2b(joined[begin[k] : begin[k + size] - 1], digest_size=16).digest())
-                ids += [i.as_py()] * (len(places) - len(ids))
-                ns += [n.as_py()] * (len(places) - len(ns))
+                found: dict[bytes, list[int]] = {}
+                for first, last in sorted((run["first"], run["last"]) for run in runs.as_py()):
+                    for k in range(first, last + 1):
+                        digest = hashlib.blake2b(joined[begin[k] : begin[k + size] - 1], digest_size=16).digest()
+                        found.setdefault(digest, []).append(k)
+                digests += found
+                places += found.values()
+                ids += [i.as_py()] * len(found)
+                ns += [n.as_py()] * len(found)
                 if len(places) > CHUNK:
                     yield done()
                     ids, ns, places, digests = [], [], [], []
@@ -214,13 +223,16 @@ def without_repeated_passages(docs: DataFrame, size: int = SIZE, anchor: int = A
         own = texts.join(F.broadcast(runs), ["id", "n"])
     else:
         own = among(texts, runs, "id", "n").where("_among").join(runs, ["id", "n"])
-    windows = map_arrow(own.select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, place int")
+    windows = map_arrow(own.select("id", "n", "text", "runs"), _windows(size), "digest binary, id bigint, n int, places array<int>")
     windows = stored(windows, "windows")
-    where = F.struct("id", "n", "place")
-    origin = windows.groupBy("digest").agg(F.min(where).alias("origin"), F.count("*").alias("count")).where("count > 1").drop("count")
-    apart = (F.col("id") != F.col("origin.id")) | (F.col("n") != F.col("origin.n")) | (F.col("place") >= F.col("origin.place") + size)
+    where = F.struct("id", "n", F.get("places", 0).alias("place"))
+    origin = windows.groupBy("digest").agg(F.min(where).alias("origin"), F.sum(F.size("places")).alias("count")).where("count > 1").drop("count")
+    origin = stored(origin, "origins")
     elsewhere = (F.col("id") != F.col("origin.id")) | (F.col("n") != F.col("origin.n"))
-    again = windows.join(origin, "digest").where(apart).select("id", "n", F.struct(F.col("place").alias("first"), F.col("place").alias("last"), elsewhere.alias("shared")).alias("span"))
+    apart = F.when(elsewhere, F.col("places")).otherwise(F.filter("places", lambda k: k >= F.col("origin.place") + size))
+    # Windows that no other is equal to need not move.
+    again = among(windows, origin, "digest").where("_among").join(origin, "digest").select("id", "n", F.explode(apart).alias("place"), elsewhere.alias("shared"))
+    again = again.select("id", "n", F.struct(F.col("place").alias("first"), F.col("place").alias("last"), "shared").alias("span"))
     if shared:
         # Kinds of runs that several rows have: a copy in a row after the first of them repeats another row.
         kind, row = ("anchor", "text_a", "text_b"), F.struct("id", n.alias("n"))
