@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tests import small
+from xrel.operators import docs
 from xrel.operators import maintain as M
 from xrel.operators.edges import all_edges
-from xrel.session import cut_lineage
+from xrel.session import cut_lineage, in_slices
 
 
 def plan(df):
@@ -21,3 +24,23 @@ def test_a_rebuild_is_written_type_by_type(spark):
     built = M.rebuild(es, edges, touched)
     assert "Exchange" not in plan(built)
     assert built.where("type = 'event' and id = 'event:e1' and status = 'ok'").count() == 1
+
+
+def test_documents_of_many_edges_are_built_in_slices(spark, monkeypatch):
+    es = small.entities(spark)
+    edges = cut_lineage(all_edges(es).where("src_type = 'event'"))
+    for part_rows in (docs.PART_ROWS, 1):
+        want = docs.build_docs(es, "event", part_rows, edges=edges)
+        assert "hashpartitioning(src_id" in plan(want)
+        with monkeypatch.context() as m:
+            m.setattr(docs, "SLICE_ROWS", 0)
+            m.setattr(docs, "in_slices", partial(in_slices, least=0))
+            got = docs.build_docs(es, "event", part_rows, edges=edges)
+        assert "Exchange" not in plan(got) and got.columns == want.columns
+        assert sorted(map(str, docs.flat_docs(got, "event").collect())) == sorted(map(str, docs.flat_docs(want, "event").collect()))
+
+
+def test_documents_without_hubs_are_not_shuffled_again_for_their_headers(spark):
+    es = small.entities(spark)
+    built = plan(docs.build_docs(es, "event", edges=cut_lineage(all_edges(es).where("src_type = 'event'"))))
+    assert "hashpartitioning(src_id, 0" not in built and "hashpartitioning(src_id, part_no" not in built
