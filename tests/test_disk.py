@@ -10,6 +10,7 @@ from tests import small
 from xrel.operators import docs
 from xrel.operators import maintain as M
 from xrel.operators.edges import all_edges
+from xrel.plans import QUERIES
 from xrel.session import cut_lineage, in_slices
 
 
@@ -44,3 +45,8 @@ def test_documents_without_hubs_are_not_shuffled_again_for_their_headers(spark):
     es = small.entities(spark)
     built = plan(docs.build_docs(es, "event", edges=cut_lineage(all_edges(es).where("src_type = 'event'"))))
     assert "hashpartitioning(src_id, 0" not in built and "hashpartitioning(src_id, part_no" not in built
+
+
+def test_rankings_are_worked_out_once(spark):
+    last = plan(QUERIES["doc_ranking"](spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in last and "Window" not in last
